@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_lists, line_runs, mixing, near_duplicates
+from . import decision_lists, line_runs, mixing, near_duplicates, toxicity, webp
 from .tables import read
 
 SEED = 20
@@ -23,6 +23,14 @@ def with_domain(docs: DataFrame) -> DataFrame:
     })
 
 
+def op1_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media_columns(read(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -44,6 +52,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.picked(slim, plan, TREE, SEED, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op6_near_duplicates, op7_quality_rules, op8_line_runs, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_lossless_webp, op5_toxicity, op6_near_duplicates, op7_quality_rules, op8_line_runs, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
