@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_lists, line_runs, mixing, near_duplicates, toxicity, webp
+from . import decision_lists, line_runs, mixing, near_duplicates, packing, toxicity, warc, webp
 from .tables import read
 
 SEED = 20
@@ -27,6 +27,16 @@ def op1_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.media_columns(read(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(read(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -52,6 +62,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.picked(slim, plan, TREE, SEED, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_lossless_webp, op5_toxicity, op6_near_duplicates, op7_quality_rules, op8_line_runs, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_lossless_webp, op2_packing, op9_warc, op5_toxicity, op6_near_duplicates, op7_quality_rules, op8_line_runs, op10_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
