@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_lists, line_runs, mixing, near_duplicates, packing, toxicity, warc, webp
-from .tables import read
+from . import decision_lists, line_runs, mixing, near_duplicates, packing, quotations, toxicity, warc, webp, wrappers
+from .tables import read, stored
 
 SEED = 20
 TREE = ("domain", "lang", "source")
@@ -14,13 +14,10 @@ WEIGHTS = {"domain": {"bulk": 2, "curated": 3}, "lang": {"en": 5, "de": 2, "fr":
 SHARE = (3, 5)
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
-    """The tree above lang and source: one bulk source, all others curated."""
-    return docs.withColumns({
-        "domain": F.when(F.col("source") == "src0", "bulk").otherwise("curated"),
-        "lang": F.coalesce("lang", F.lit("")),
-        "source": F.coalesce("source", F.lit("")),
-    })
+def tree_columns() -> list[Column]:
+    """Domain (one bulk source, all others curated), language and source."""
+    domain = F.when(F.col("source") == "src0", "bulk").otherwise("curated")
+    return [domain, F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))]
 
 
 def op1_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +34,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(read(spark, sf_dir, "pages"))
 
 
+def op3_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.linked(read(spark, sf_dir, "conversations"))
+
+
+def op4_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(read(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -54,14 +59,19 @@ def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .tables import stored
-
-    docs = with_domain(read(spark, sf_dir, "documents"))
-    slim = stored(docs.select("doc_id", *TREE, mixing.n_tokens(F.col("text")).alias("n_tokens")), "tokens")
+    docs = read(spark, sf_dir, "documents")
+    columns = [c.alias(name) for c, name in zip(tree_columns(), TREE)]
+    slim = stored(docs.select("doc_id", *columns, mixing.n_tokens(F.col("text")).alias("n_tokens")), "tokens")
     plan = mixing.leaf_plan(slim, TREE, WEIGHTS, SHARE, 2, SEED, "doc_id")
     return mixing.picked(slim, plan, TREE, SEED, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_lossless_webp, op2_packing, op9_warc, op5_toxicity, op6_near_duplicates, op7_quality_rules, op8_line_runs, op10_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_lossless_webp, op2_packing, op3_quotation_links, op4_wrapper_text, op5_toxicity,
+        op6_near_duplicates, op7_quality_rules, op8_line_runs, op9_warc, op10_mixing,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
