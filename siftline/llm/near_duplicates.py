@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -33,7 +33,7 @@ from .tables import stored
 CHUNKS, WIDTH = 26, 5
 SYMBOLS = CHUNKS * WIDTH
 LIMIT = 2 * CHUNKS - 1
-ROUNDS = 4
+ROUNDS, TRIES = 6, 4
 BLOCK = 4096
 
 
@@ -144,18 +144,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     signed = stored(docs.mapInPandas(_signed(size), "doc_id long, n_shingles long, class string, sig binary"), "signatures")
     known = signed.where("doc_id is not null and n_shingles > 0")
     first = known.groupBy("class").agg(F.min("doc_id").alias("id"))
-    classes = stored(known.join(first, "class").where("doc_id = id").select("id", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["id"]), "classes")
+    classes = stored(known.join(first, "class").where("doc_id = id").select("id", F.col("n_shingles").alias("n"), "sig"), "classes")
+    # one exchange by key: buckets of more than one id, each with a centre drawn by hash
+    bucket = Window.partitionBy("key")
+    drawn = lambda turn: F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), "id", "n")
     keys = classes.mapInPandas(_keyed, "key long, id long, n long")
-    buckets = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    members = stored(keys.join(buckets, "key"), "members")
+    keys = keys.withColumns({"lo": F.min("id").over(bucket), "hi": F.max("id").over(bucket), "r": F.min(drawn(0)).over(bucket)})
+    members = stored(keys.where("lo < hi").select("key", "id", "n", F.col("r.id").alias("b"), F.col("r.n").alias("n2")), "members")
     labels, links = None, None
     near = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
 
     def live() -> DataFrame:
         """Members of the buckets that hold more than one component, with their components."""
-        at = members.withColumn("c", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        if labels is None:
-            return at
+        at = members.select("key", "id", "n")
+        at = at.withColumn("c", F.col("id")) if labels is None else at.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
         return at.join(mixed, "key")
 
@@ -164,22 +166,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         of_a, of_b = classes.select(F.col("id").alias("a"), F.col("sig").alias("x")), classes.select(F.col("id").alias("b"), F.col("sig").alias("y"))
         return pairs.join(of_a, "a").join(of_b, "b").where(distance("x", "y") <= LIMIT).select("a", "b")
 
-    def link(pairs: DataFrame) -> int:
+    def link(pairs: DataFrame) -> None:
         nonlocal labels, links
         new = stored(confirmed(pairs, docs, size, percent), "confirmed")
         if not new.isEmpty():
             links = new if links is None else labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new)
             labels = stored(components(links), "labels")
 
-    for turn in range(ROUNDS):
-        now = live() if turn == 0 else stored(live(), "live")
-        if turn and now.isEmpty():
+    def tries(shared: DataFrame, n: int) -> DataFrame:
+        """For each member the centres that it shares most buckets with."""
+        order = Window.partitionBy("a").orderBy(F.desc("count"), "b")
+        return shared.groupBy(F.col("id").alias("a"), "b").count().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).select("a", "b")
+
+    link(stored(close(tries(members.where("id <> b").where(near), 1)), "pairs"))
+    for turn in range(1, ROUNDS):
+        members = now = stored(live(), "live")
+        if now.isEmpty():
             break
         centre = now.groupBy("key").agg(F.min_by(F.struct("id", "c", "n"), F.xxhash64("id", F.lit(turn))).alias("r"))
-        shared = now.join(centre, "key").select("id", "c", "n", F.col("r.id").alias("b"), F.col("r.c").alias("c2"), F.col("r.n").alias("n2")).where("c <> c2").where(near)
-        pairs = shared.groupBy(F.col("id").alias("a"), "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-        link(stored(close(pairs), "pairs"))
-        members = now.select("key", "id", "n") if turn else members
+        shared = now.join(centre, "key").select("id", "c", "n", F.col("r.id").alias("b"), F.col("r.c").alias("c2"), F.col("r.n").alias("n2"))
+        link(stored(close(tries(shared.where("c <> c2").where(near), TRIES)), "pairs"))
     rest = stored(live(), "live")
     if not rest.isEmpty():
         # every pair in different components: each member meets the other components of its bucket, then their members
