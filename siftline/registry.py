@@ -1,11 +1,17 @@
-"""Names of all queries and of the SQL that gives the same rows."""
+"""Names of all queries of the core library and of the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 
 def queries():
-    return {}
+    from siftline.plans.queries import QUERIES
+    from siftline.streaming.queries import STREAMS
+
+    return QUERIES | STREAMS
 
 
 def oracle_sql():
-    return {}
+    from siftline.plans.queries import ORACLE
+    from siftline.streaming.queries import ORACLE as STREAM_ORACLE
+
+    return ORACLE | STREAM_ORACLE
