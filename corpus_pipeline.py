@@ -10,27 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import line_runs, mixing, near_duplicates, packing, toxicity
-from siftline.llm.queries import SEED, WEIGHTS, tree_columns
-from siftline.llm.tables import read, stored
+from siftline.llm.queries import SEED, TREE, WEIGHTS, tree_columns
+from siftline.llm.tables import held, read, released, stored
 
 MIN_WORDS = 50
 SHARE = (4, 5)
-TREE = ("_domain", "_lang", "_source")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold; learnt from labels of rows that are not held out."""
     open_rows = ~F.coalesce(toxicity.held_out(), F.lit(False))
     model = toxicity.fit(docs.where(open_rows), read(spark, sf_dir, "labels").where(open_rows))
-    return toxicity.scored(docs, model, name="_score").where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    at = toxicity.scored(docs.select("text", held(docs, "text").alias("row")), model)
+    return at.where(F.col("score") < toxicity.THRESHOLD).select(*released(docs, "text"), "text").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs of MIN_WORDS words or more; those of which nothing is left go."""
-    cut = line_runs.drop_repeated_runs(docs, MIN_WORDS)
+    cut = line_runs.drop_repeated_runs(docs.select("doc_id", "text", held(docs, "text").alias("doc")), MIN_WORDS)
     gone = (F.col("n_removed") > 0) & (F.length(F.translate("text", line_runs.BLANK, "")) == 0)
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.where(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", n_chars).select(*docs.columns)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    kept = cut.where(~F.coalesce(gone, F.lit(False)))
+    return kept.select(*released(docs, "text", "n_chars", row="doc"), "text", n_chars.alias("n_chars")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +42,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The share of all tokens that the weights of domain, language and source give, no document more than once."""
-    at = docs.withColumns(dict(zip(TREE, tree_columns())))
-    slim = stored(at.select("doc_id", *TREE, mixing.n_tokens(F.col("text")).alias("n_tokens")), "tokens")
-    weights = {f"_{k}": v for k, v in WEIGHTS.items()}
-    plan = mixing.leaf_plan(slim, TREE, weights, SHARE, 1, SEED, "doc_id")
-    return mixing.picked(at, plan, TREE, SEED, "doc_id").select(*docs.columns)
+    tree = [c.alias(name) for c, name in zip(tree_columns(), TREE)]
+    at = docs.select("doc_id", *tree, held(docs).alias("doc"))
+    slim = stored(docs.select("doc_id", *tree, mixing.n_tokens(F.col("text")).alias("n_tokens")), "tokens")
+    plan = mixing.leaf_plan(slim, TREE, WEIGHTS, SHARE, 1, SEED, "doc_id")
+    return mixing.picked(at, plan, TREE, SEED, "doc_id").select(*released(docs, row="doc"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

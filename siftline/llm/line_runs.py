@@ -14,7 +14,8 @@ min_words, as every line has a word: there are at most log2(min_words) + 1 level
 
 Defined results: null text stays null and blank lines stay; runs never cross texts; a text may repeat itself;
 rows of equal id and text are one text and lose the same lines; an empty table gives an empty result; a text all
-of whose lines go becomes empty (or its blank lines); other columns are handed on.
+of whose lines go becomes empty (or its blank lines); other columns are handed on, but for one named n_removed, whose place
+the result takes.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .tables import stored
+from .tables import held, in_order, map_frames, released, stored
 
 BLANK = " \t\n\x0b\f\r"
 
@@ -81,7 +82,7 @@ def without(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
 
 def later_runs(docs: DataFrame, min_words: int) -> DataFrame:
     """(rid, at, need): lines at .. at + need - 1 of text rid have an earlier copy."""
-    names = docs.mapInPandas(_positions(min_words), "rid long, doc_id long, at int, need int, name long")
+    names = map_frames(docs, _positions(min_words), "rid long, doc_id long, at int, need int, name long")
     out, level = None, 0
     while True:
         repeated = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
@@ -106,8 +107,10 @@ def drop_repeated_runs(docs: DataFrame, min_words: int = 50, key: str = "doc_id"
     """All columns of ``docs`` with the text rid of later copies of repeated line runs, and n_removed (lines)."""
     rid = F.xxhash64(F.col(key), F.col(text))
     slim = docs.select(rid.alias("rid"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    runs = later_runs(slim, min_words).distinct().groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("at", "need")).alias("_runs"))
-    at = docs.withColumn("_rid", rid).join(runs, "_rid", "left")
-    at = at.withColumn("_cut", without(F.when(F.col("_runs").isNotNull(), F.col(text)), "_runs"))
-    changed = F.col("_runs").isNotNull()
-    return at.withColumn(text, F.when(changed, F.col("_cut.text")).otherwise(F.col(text))).withColumn("n_removed", F.when(changed, F.col("_cut.n_removed")).otherwise(F.lit(0))).drop("_rid", "_runs", "_cut")
+    runs = later_runs(slim, min_words).distinct().groupBy("rid").agg(F.collect_list(F.struct("at", "need")).alias("runs"))
+    at = docs.select(held(docs, text, "n_removed").alias("row"), F.col(text).alias("text"), rid.alias("rid")).join(runs, "rid", "left")
+    changed = F.col("runs").isNotNull()
+    at = at.withColumn("cut", without(F.when(changed, F.col("text")), "runs"))
+    new_text = F.when(changed, F.col("cut.text")).otherwise(F.col("text")).alias(text)
+    n_removed = F.when(changed, F.col("cut.n_removed")).otherwise(F.lit(0)).alias("n_removed")
+    return at.select(*released(docs, text, "n_removed"), new_text, n_removed).select(*in_order(docs, "n_removed"))

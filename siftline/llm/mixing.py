@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import SPACE, stored
+from .tables import SPACE, held, in_order, released, stored
 
 ROWS_IN_BUCKET = 4096
 MAX_DIGITS = 7
@@ -103,8 +103,11 @@ def leaf_plan(slim: DataFrame, tree: Sequence[str], weights: dict[str, dict[str,
 
 
 def picked(docs: DataFrame, plan: DataFrame, tree: Sequence[str], seed: int, key: str) -> DataFrame:
-    """``docs`` with a row for each epoch it is taken in; further column ``epoch``. docs has the tree columns."""
-    at = docs.join(plan.select(*tree, "epochs", "threshold"), list(tree))
-    part = F.coalesce(order_key(key, F.col("epochs"), seed) <= F.col("threshold"), F.lit(False))
-    n = (F.col("epochs") + part.cast("long")).cast("int")
-    return at.withColumn("_n", n).where("_n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n", "epochs", "threshold")
+    """``docs`` with a row for each epoch it is taken in; further column ``epoch``, in place of one of that name. docs has the
+    tree columns."""
+    tree = list(tree)
+    at = docs.select(held(docs, "epoch").alias("_row"), F.col(key).alias("_key"), *[F.col(c) for c in tree])
+    part = F.coalesce(order_key("_key", F.col("epochs"), seed) <= F.col("threshold"), F.lit(False))
+    at = at.join(plan.select(*tree, "epochs", "threshold"), tree).withColumn("times", (F.col("epochs") + part.cast("long")).cast("int"))
+    at = at.where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    return at.select(*released(docs, "epoch", row="_row"), "epoch").select(*in_order(docs, "epoch"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from .components import components
-from .tables import stored
+from .tables import map_frames, stored
 
 CHUNKS, WIDTH = 26, 5
 SYMBOLS = CHUNKS * WIDTH
@@ -141,7 +141,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) and kept (the id is the component's)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = stored(docs.mapInPandas(_signed(size), "doc_id long, n_shingles long, class string, sig binary"), "signatures")
+    signed = stored(map_frames(docs, _signed(size), "doc_id long, n_shingles long, class string, sig binary"), "signatures")
     known = signed.where("doc_id is not null and n_shingles > 0")
     first = known.groupBy("class").agg(F.min("doc_id").alias("id"))
     classes = stored(known.join(first, "class").where("doc_id = id").select("id", F.col("n_shingles").alias("n"), "sig"), "classes")

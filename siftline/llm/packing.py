@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import map_frames, stored
 
 ANCHORS, DEEPEST, SWEEPS = 48, 8, 60
 KEPT_WORDS = 600_000
@@ -229,12 +229,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1) -> D
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset. ``tokenizer``: path of a
     vocabulary file that every machine has."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    tokens = stored(docs.select("doc_id", "text").mapInPandas(_tokenized(tokenizer, window, end), f"doc_id {kind}, ids binary, n long, rest int, part long, rank long, full long"), "tokens")
+    tokens = stored(map_frames(docs.select("doc_id", "text"), _tokenized(tokenizer, window, end), f"doc_id {kind}, ids binary, n long, rest int, part long, rank long, full long"), "tokens")
     sizes = tokens.groupBy("part", "rest").count()
     before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = stored(sizes.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))), "sizes")
     counts = {n: c for n, c in sizes.where("rest > 0").groupBy("rest").agg(F.sum("count")).collect()}
     placed = tokens.join(sizes.select("part", "rest", "before"), ["part", "rest"])
-    return placed.select("doc_id", "ids", "n", "rest", "part", "rank", "full", "before").mapInPandas(
-        _pieces(Plan.of(counts, window)), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    placed = placed.select("doc_id", "ids", "n", "rest", "part", "rank", "full", "before")
+    return map_frames(
+        placed, _pieces(Plan.of(counts, window)), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )

@@ -11,7 +11,8 @@ passage at most, however common a passage is. Positions in a thread come from co
 
 Defined results: null text has no words and stays null; an unquoted message keeps its text as it is; rows of equal scope and
 turn are one message for links, and each keeps its own text; a null scope or turn links to nothing and is a root; quotations
-of what nobody said before link to nothing; an empty table gives an empty result; further columns are handed on.
+of what nobody said before link to nothing; an empty table gives an empty result; further columns are handed on, but for
+those of a result's name, whose place the result takes.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import held, in_order, released, stored
 
 QUOTED = r"(?m)^[ \t]*>"
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
@@ -71,8 +72,10 @@ def units(words: Column) -> Column:
 
 def linked(messages: DataFrame, scope: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """``messages`` with their own words as text, n_passages, parent, root, depth and position in the thread."""
-    at = stored(parsed(messages, text), "parsed")
-    ids = at.where(F.col(scope).isNotNull() & F.col(turn).isNotNull()).select(F.col(scope).alias("s"), F.col(turn).alias("t"), "own", "passages")
+    new = ("n_passages", "parent", "root", "depth", "position")
+    at = messages.select(F.col(scope).alias("s"), F.col(turn).alias("t"), F.col(text).alias("text"), held(messages, text, *new).alias("row"))
+    at = stored(parsed(at, "text"), "parsed")
+    ids = at.where("s is not null and t is not null").select("s", "t", "own", "passages")
     quoted = ids.where(F.size("passages") > 0).select("s", "t", F.explode("passages").alias("p")).select("s", "t", "p.depth", F.explode(units(F.col("p.words"))).alias("h"))
     said = ids.where(F.coalesce(F.col("own"), F.lit("")) != "").select("s", "t", F.explode(units(F.col("own"))).alias("h"))
     first = said.groupBy("s", "h").agg(F.min("t").alias("o"))
@@ -86,12 +89,16 @@ def linked(messages: DataFrame, scope: str = "conv_id", turn: str = "turn", text
             break
         up = stored(up.join(on, ["s", "root"], "left").select("s", "t", F.coalesce("root2", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "roots")
     ranks = positions(up)
-    answers = up.join(links, ["s", "t"]).join(ranks, ["s", "root", "t"]).withColumnRenamed("root", "_root")
-    out = at.join(answers, (F.col(scope) == F.col("s")) & (F.col(turn) == F.col("t")), "left")
-    return out.withColumns({
-        text: F.col("own"), "n_passages": F.coalesce(F.size("passages"), F.lit(0)),
-        "root": F.coalesce("_root", F.col(turn)), "depth": F.coalesce("depth", F.lit(0)), "position": F.coalesce("position", F.lit(0)).cast("long"),
-    }).select(*messages.columns, "n_passages", "parent", "root", "depth", "position")
+    answers = up.join(links, ["s", "t"]).join(ranks, ["s", "root", "t"])
+    return at.join(answers, ["s", "t"], "left").select(
+        *released(messages, text, *new),
+        F.col("own").alias(text),
+        F.coalesce(F.size("passages"), F.lit(0)).alias("n_passages"),
+        "parent",
+        F.coalesce("root", "t").alias("root"),
+        F.coalesce("depth", F.lit(0)).alias("depth"),
+        F.coalesce("position", F.lit(0)).cast("long").alias("position"),
+    ).select(*in_order(messages, *new))
 
 
 def positions(up: DataFrame) -> DataFrame:

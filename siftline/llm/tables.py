@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -34,6 +39,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_frames(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """As ``mapInPandas``, but whole numbers stay whole where a column has nulls, too: large ids are not rounded."""
+    out = to_arrow_schema(StructType.fromDDL(schema))
+    kinds = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype(), pa.int16(): pd.Int16Dtype(), pa.int8(): pd.Int8Dtype()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made in f(b.to_pandas(types_mapper=kinds.get) for b in batches):
+            yield pa.RecordBatch.from_pandas(made, schema=out, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
 def words(text: Column) -> Column:
     """Words of a text; null counts as empty."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """Columns of ``df`` that none of ``names`` takes the place of."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def held(df: DataFrame, *names: str) -> Column:
+    """The other columns as one struct, so that they meet no name of an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in others(df, *names)] or [F.lit(0).alias("none")])
+
+
+def released(df: DataFrame, *names: str, row: str = "row") -> list[Column]:
+    """The columns of a struct that ``held`` made of ``df``."""
+    return [F.col(row)[c].alias(c) for c in others(df, *names)]
+
+
+def in_order(df: DataFrame, *new: str) -> list[str]:
+    """Names of ``df`` and then those of ``new`` that it does not have."""
+    names = {c.lower() for c in df.columns}
+    return [f"`{c}`" for c in df.columns] + [n for n in new if n.lower() not in names]

@@ -14,7 +14,7 @@ by the sample) goes to the tasks, and every text is scored whole.
 Defined results: null, empty and blank texts have no expressions and get the probability at mean 0 (that of no
 evidence); label rows with a null id or label are not learned from, nor are conflicting ones told apart (each
 counts); without labels of both classes every score is 0; repeated rows score alike; an empty table gives an
-empty result; further columns are ignored.
+empty result; further columns are handed on by ``scored``, but for one of the score's name.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 ORDER, SHARED, DISCOUNT = 5, 2, 0.75
 TOP = 3
@@ -267,14 +268,14 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", name: str =
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(DoubleType())
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         seen: dict[str, float] = {}
-        for b in batches:
-            yield b.assign(**{name: sent.value.probability(sent.value.features(b.iloc[:, at], seen))})
+        for texts in batches:
+            yield pd.Series(sent.value.probability(sent.value.features(texts, seen)))
 
-    return docs.mapInPandas(run, docs.withColumn(name, F.lit(0.0)).schema)
+    return docs.withColumn(name, score(F.col(text)))
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -1,9 +1,9 @@
 """WARC archives of individually compressed records with a shared Zstandard dictionary.
 
-A file begins with a skippable frame that holds the dictionary, then each record is one frame compressed with it. Tasks
-write their files next to their final names and rename them, so a task that is run again leaves the same files; the
-dictionary of a file is built from its own first records, up to DICTIONARY_FROM bytes of them. All files are
-read back with Spark's binary reader.
+A file begins with a skippable frame that holds the dictionary, then each record is one frame compressed with it. The
+dictionary of a file is built from its own first records, up to DICTIONARY_FROM bytes of them. Each attempt of a task
+writes files of its own names; the manifest, which Spark commits once for each task, lists those that count, and
+only these are read back. Files of lost attempts stay unread.
 
 Records of equal payloads of at least ``min_bytes`` bytes: that with the smallest page_id is a response, the others
 are revisits that name it and keep digest and length, but no payload. The first of a payload is found by a grouped
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import new_path, stored
+from .tables import map_frames, new_path, stored
 
 DICTIONARY_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 1 << 16
@@ -139,12 +139,11 @@ def _written(folder: str):
 
         def close() -> pd.DataFrame:
             nonlocal held, size, files
-            name = f"{path}/{at.partitionId():06d}-{files:04d}.warc.zst"
-            with store.open_output_stream(f"{name}.{at.taskAttemptId()}.part", compression=None) as f:
+            name = f"{at.partitionId():06d}-{at.taskAttemptId()}-{files:04d}.warc.zst"
+            with store.open_output_stream(f"{path}/{name}", compression=None) as f:
                 f.write(archive(held))
-            store.move(f"{name}.{at.taskAttemptId()}.part", name)
             n, held, size, files = len(held), [], 0, files + 1
-            return pd.DataFrame({"file": [name], "records": [n]})
+            return pd.DataFrame({"file": [f"{folder}/{name}"], "records": [n]})
 
         for b in batches:
             for page, url, payload, refers in zip(b["page_id"], b["url"], b["payload"], b["refers_to"]):
@@ -159,8 +158,8 @@ def _written(folder: str):
     return run
 
 
-def write_archives(pages: DataFrame, min_bytes: int = 0) -> tuple[str, DataFrame]:
-    """The folder of the archives, and their names and numbers of records."""
+def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """The manifest: files of the archives and their numbers of records."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     long_enough = F.octet_length("payload") >= min_bytes
@@ -173,52 +172,52 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> tuple[str, DataFrame
     spark = pages.sparkSession
     at = spark._jvm.org.apache.hadoop.fs.Path(uri)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
-    return uri, stored(rows.mapInPandas(_written(uri), "file string, records long"), "manifest")
+    return stored(map_frames(rows, _written(uri), "file string, records long"), "manifest")
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from urllib.parse import unquote
 
-    for b in batches:
-        for data in b["content"]:
-            out = []
-            for r in map(parsed, records(bytes(data))):
-                revisit = r["warc-type"] == "revisit"
-                if revisit:
-                    size = int(r["http"].rsplit(b"Content-Length: ", 1)[1])
-                    digest, payload = r["warc-payload-digest"].removeprefix("sha1:"), None
-                else:
-                    payload = r["payload"]
-                    size, digest = len(payload), base32(hashlib.sha1(payload).digest())
-                    if f"sha1:{digest}" != r["warc-payload-digest"]:
-                        raise ValueError(f"{r['warc-record-id']}: the payload does not have its digest")
-                url = unquote(r["warc-target-uri"]) if "warc-target-uri" in r else None
-                out.append((id_of(r["warc-record-id"]), url, size, digest, r["warc-type"], id_of(r["warc-refers-to"]) if revisit else None, payload))
-                if len(out) == 500:
-                    yield _frame(out)
-                    out = []
-            if out:
+    from pyarrow import fs
+
+    for file in (f for b in batches for f in b["file"]):
+        store, path = fs.FileSystem.from_uri(file)
+        with store.open_input_stream(path, compression=None) as f:
+            data = f.read()
+        out = []
+        for r in map(parsed, records(data)):
+            revisit = r["warc-type"] == "revisit"
+            if revisit:
+                size = int(r["http"].rsplit(b"Content-Length: ", 1)[1])
+                digest, payload = r["warc-payload-digest"].removeprefix("sha1:"), None
+            else:
+                payload = r["payload"]
+                size, digest = len(payload), base32(hashlib.sha1(payload).digest())
+                if f"sha1:{digest}" != r["warc-payload-digest"]:
+                    raise ValueError(f"{r['warc-record-id']}: the payload does not have its digest")
+            url = unquote(r["warc-target-uri"]) if "warc-target-uri" in r else None
+            out.append((id_of(r["warc-record-id"]), url, size, digest, r["warc-type"], id_of(r["warc-refers-to"]) if revisit else None, payload))
+            if len(out) == 500:
                 yield _frame(out)
+                out = []
+        if out:
+            yield _frame(out)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+    return pd.DataFrame(rows, columns=names, dtype=object)
 
 
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def read_archives(spark, folder: str) -> DataFrame:
-    """The records of all archives in a folder; revisits have no payload."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    return files.select("content").mapInPandas(_read, RECORD)
+def read_archives(manifest: DataFrame) -> DataFrame:
+    """The records of the archives that a manifest lists; revisits have no payload. Files are dealt out by name."""
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return map_frames(manifest.select("file").repartition(n, "file"), _read, RECORD)
 
 
 def archived(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Pages written and read back."""
-    folder, manifest = write_archives(pages, min_bytes)
-    spark = pages.sparkSession
-    if manifest.isEmpty():
-        return spark.createDataFrame([], RECORD).drop("payload", "url")
-    return read_archives(spark, folder).drop("payload", "url")
+    return read_archives(write_archives(pages, min_bytes)).drop("payload", "url")

@@ -1,15 +1,16 @@
 """Main text of pages by wrappers: union-free regular expressions inferred from the pages of a host.
 
-Each page is read as a stream of block tags and text slots. Tandem repeats in a stream fold into repeated groups, so that
-pages which differ in the number of their paragraphs or links have one form. The distinct forms of a host are aligned
-one after another: where they disagree, text becomes a slot, one or more copies of a group become the repeated group,
-and what is in one alone becomes optional. The outcome is one expression for each host, and its slots get a role
-once: what the markup names as navigation, header, footer, sidebar, advert, form or comment, and what is mostly links over
-all pages of the host, is left out. A page's text is what its tokens put in the other slots, within article or main
-elements where the expression and the page have them.
-
-Forms and slot statistics are grouped sums, and a host's distinct forms are aligned in salted groups first, then
-the groups' expressions; so a host with a third of all pages brings its distinct forms together, not its pages.
+Each page is read as a stream of block tags and text slots; a slot is named by its path, in which elements that the
+markup names as navigation, header, footer, sidebar, advert, form, comment and the like are marked. Tandem repeats in a
+stream fold into repeated groups, so that pages which differ in the number of their paragraphs or links have one form. The
+distinct forms of a host are aligned one after another: where they disagree, one or more copies of a group become the
+repeated group, and what is in one alone becomes optional. The outcome is one expression for each host, and each of its
+slots gets its role there: article (within article or main elements), body (the others, unless most of the slot's
+letters on the host's pages are links), or none (marked elements). A page's text is what its tokens put in article slots;
+if there is nothing, what they put in body slots.
+
+Forms and slot statistics are grouped sums. A host's distinct forms are aligned in salted groups of about PER_GROUP,
+then the groups' expressions in the same way until one is left; so no task holds all forms of a host.
 
 Defined results: a null or empty html has an empty text; a null url or one without a host shares the host ''; rows of equal
 page_id each get a result; an unfinished tag or script runs to the end of the page; an empty table gives an empty
@@ -27,11 +28,13 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .tables import stored
+from .tables import map_frames, stored
 
 LONGEST_GROUP = 16
-SALTS = 8
+DEEPEST = 256  # elements around a slot; those further in belong to the last of these
+PER_GROUP = 32
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|[^>]*>)|<[!?/][^>]*>", re.S)
 OPEN_END = re.compile(r"<[a-zA-Z/!?][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?(?=[\s/>]|\Z)""", re.I)
@@ -53,8 +56,6 @@ class Block:
     path: str
     text: str
     linked: int  # letters in links
-    out: bool
-    main: bool
 
 
 def signature(name: str, attributes: str) -> tuple[str, bool]:
@@ -65,7 +66,7 @@ def signature(name: str, attributes: str) -> tuple[str, bool]:
             key, value = key.lower(), next((v for v in values if v), "")
             if key in ("class", "id"):
                 if not sign and value.split():
-                    sign = ("." if key == "class" else "#") + re.sub(r"\d+|[\s()+?|/<>]", "N", value.split()[0])
+                    sign = ("." if key == "class" else "#") + re.sub(r"\d+|[\s()+?|/<>!]", "N", value.split()[0])
                 left_out |= any(w.lower() in NAMES for w in WORD.findall(value))
             elif key == "role":
                 left_out |= value.lower() in ROLES
@@ -75,12 +76,13 @@ def signature(name: str, attributes: str) -> tuple[str, bool]:
 
 
 def parse(page: str | None) -> tuple[list[Block], list[str]]:
-    """Blocks of text in page order, and the stream of tokens: <name>, </name> and #."""
+    """Blocks of text in page order, and the stream of tokens: <name>, </name> and #path."""
     page = page or ""
-    stack: list[tuple[str, str, bool, bool, str]] = []  # name, signature, left out, in main, path
+    stack: list[tuple[str, str, bool, str]] = []  # name, signature, in main, path
     blocks: list[Block] = []
     tokens: list[str] = []
     held: list[str] = []
+    paths: dict[str, str] = {}  # one string for equal paths
     links = linked = 0
 
     def put(raw: str) -> None:
@@ -96,9 +98,9 @@ def parse(page: str | None) -> tuple[list[Block], list[str]]:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                top = stack[-1] if stack else ("", "", False, False, "")
-                blocks.append(Block(top[4], text, min(linked, len(text)), top[2], top[3]))
-                tokens.append("#")
+                path = stack[-1][3] if stack else "/"
+                blocks.append(Block(path, text, min(linked, len(text))))
+                tokens.append(f"#{path}")
         linked = 0
 
     def close(name: str, stop: frozenset = frozenset()) -> None:
@@ -147,14 +149,15 @@ def parse(page: str | None) -> tuple[list[Block], list[str]]:
             close("th", TABLES)
             if name == "tr":
                 close("tr", TABLES)
-        if name in VOID:
+        if name in VOID or len(stack) >= DEEPEST:
             continue
         sign, left_out = signature(name, m[3])
-        above = stack[-1] if stack else ("", "", False, False, "")
-        inside = above[3] or name in MAIN
+        above = stack[-1] if stack else ("", "", False, "")
         # a header of the page is none of the article
-        left_out |= name == "header" and not above[3]
-        stack.append((name, sign, above[2] or left_out, inside, f"{above[4]}/{sign}"))
+        left_out |= name == "header" and not above[2]
+        sign = re.sub(r"[\s()+?|/<>!]", "N", sign) + "!" * left_out
+        path = f"{above[3]}/{sign}"
+        stack.append((name, sign, above[2] or name in MAIN, paths.setdefault(path, path)))
         tokens.append(f"<{sign}>")
         if m[3].endswith("/>") and name not in ENDS_P:
             close(name)
@@ -184,9 +187,11 @@ def fold(nodes: list[str]) -> list[str]:
         while i < len(nodes):
             body = nodes[i : i + size]
             n = 1
-            while nodes[i + n * size : i + (n + 1) * size] == body and len(body) == size:
-                n += 1
-            if n > 1 and balanced(body):
+            # only bodies that may repeat and are whole elements are compared on
+            if i + size < len(nodes) and nodes[i + size] == body[0] and balanced(body):
+                while nodes[i + n * size : i + (n + 1) * size] == body:
+                    n += 1
+            if n > 1:
                 out.append(body[0] if size == 1 and body[0].endswith(")+") else group(body, "+"))
                 i += n * size
                 folded = True
@@ -256,30 +261,11 @@ def fold_options(nodes: list[str]) -> list[str]:
     return [x for i, x in enumerate(nodes) if not (i and x == nodes[i - 1] and x.endswith(")?"))]
 
 
-def tokens_in(expression: str) -> list[str]:
-    return re.findall(r"<[^>]*>|#", expression)
-
-
-def slots(expression: str) -> set[str]:
-    """Paths of the text slots of an expression."""
-    stack, out = [], set()
-    for t in tokens_in(expression):
-        if t == "#":
-            out.add("".join(f"/{x}" for x in stack))
-        elif t.startswith("</"):
-            if t[2:-1] in stack:
-                while stack.pop() != t[2:-1]:
-                    pass
-        else:
-            stack.append(t[1:-1])
-    return out
-
-
 def infer(forms: list[tuple[str, int]]) -> str:
     """The expression of forms with their numbers of pages, the most frequent first."""
     out: list[str] | None = None
     for form, _ in sorted(forms, key=lambda x: (-x[1], len(x[0]), x[0])):
-        nodes = form.split(" ")
+        nodes = form.split()
         out = nodes if out is None else align(out, nodes)
     return " ".join(out or [])
 
@@ -303,44 +289,53 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*k, *v) for k, v in out.items()], columns=["host", "kind", "value", "n", "linked"])
 
 
-def _merged(group: pd.DataFrame) -> pd.DataFrame:
-    forms = group[group["kind"] == "form"]
-    rest = group[group["kind"] == "slot"][["host", "kind", "value", "n", "linked"]]
-    if not len(forms):
-        return rest
-    made = pd.DataFrame([(forms["host"].iloc[0], "form", infer(list(zip(forms["value"], forms["n"]))), int(forms["n"].sum()), 0)], columns=rest.columns)
-    return pd.concat([rest, made])
+@F.pandas_udf(StringType())
+def inferred(forms: pd.Series) -> pd.Series:
+    return forms.map(lambda group: infer([(x["form"], x["n"]) for x in group]))
 
 
-def _wrapper(group: pd.DataFrame) -> pd.DataFrame:
-    forms, of = group[group["kind"] == "form"], group[group["kind"] == "slot"]
-    expression = infer(list(zip(forms["value"], forms["n"])))
-    dense = {p for p, n, m in zip(of["value"], of["n"], of["linked"]) if 2 * m > n}
-    # of a page whose only text is a link, too, something is main text
-    roles = sorted(p for p in slots(expression) if p not in dense)
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [expression], "roles": [roles]})
+def expressions(forms: DataFrame) -> DataFrame:
+    """(host, form, n) of distinct forms to one expression for each host; each round aligns groups of about PER_GROUP forms."""
+    while True:
+        sizes = forms.groupBy("host").count()
+        if sizes.where("count > 1").isEmpty():
+            return forms
+        salt = F.pmod(F.xxhash64("form"), F.ceil(F.col("count") / PER_GROUP))
+        groups = forms.join(sizes, "host").groupBy("host", salt.alias("salt"))
+        groups = groups.agg(F.collect_list(F.struct("form", "n")).alias("forms"), F.sum("n").alias("n"))
+        form = F.when(F.size("forms") > 1, inferred("forms")).otherwise(F.col("forms")[0]["form"])
+        forms = stored(groups.select("host", form.alias("form"), "n").groupBy("host", "form").agg(F.sum("n").alias("n")), "expressions")
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (its expression) and roles (paths of the slots that may hold main text)."""
-    table = "host string, kind string, value string, n long, linked long"
-    read = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(_read, table)
-    found = read.groupBy("host", "kind", "value").agg(F.sum("n").alias("n"), F.sum("linked").alias("linked"))
-    salt = F.pmod(F.xxhash64("value"), F.lit(SALTS))
-    merged = found.groupBy("host", salt.alias("salt")).applyInPandas(_merged, table)
-    return merged.groupBy("host").applyInPandas(_wrapper, "host string, wrapper string, roles array<string>")
+    """host, wrapper (its expression), article and body (paths of its slots by role)."""
+    read = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(_read, "host string, kind string, value string, n long, linked long")
+    found = stored(read.groupBy("host", "kind", "value").agg(F.sum("n").alias("n"), F.sum("linked").alias("linked")), "forms")
+    made = expressions(found.where("kind = 'form'").select("host", F.col("value").alias("form"), "n"))
+    slots = made.select("host", F.explode(F.array_distinct(F.regexp_extract_all("form", F.lit(SLOT), 1))).alias("path")).where(~F.contains("path", F.lit("!")))
+    dense = found.where("kind = 'slot' and 2 * linked > n").select("host", F.col("value").alias("path"), F.lit(True).alias("dense"))
+    main = F.col("path").rlike(IN_MAIN)
+    # links in an article are part of it; elsewhere slots that are mostly links are not
+    roles = slots.join(dense, ["host", "path"], "left").withColumn("role", F.when(main, "article").when(F.col("dense").isNull(), "body"))
+    roles = roles.groupBy("host").agg(*[F.collect_list(F.when(F.col("role") == r, F.col("path"))).alias(r) for r in ("article", "body")])
+    return made.select("host", F.col("form").alias("wrapper")).join(roles, "host", "left")
+
 
+#: A slot in an expression, and a path through an article.
+SLOT = r"#(/[^ |()?+]*)"
+IN_MAIN = rf"/({'|'.join(MAIN)})([.#][^/]*)?(/|$)"
 
-def main_text(page: str | None, roles: set[str]) -> str:
+
+def main_text(page: str | None, article: set[str], body: set[str]) -> str:
     blocks, _ = parse(page)
-    inside = any(b.main and not b.out for b in blocks)
-    # links in an article are part of it; elsewhere slots that are mostly links are not
-    return "\n".join(b.text for b in blocks if not b.out and (b.main if inside else b.path in roles))
+    found = [b.text for b in blocks if b.path in article] or [b.text for b in blocks if b.path in body]
+    return "\n".join(found)
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        texts = [main_text(p, set(() if r is None else r)) for p, r in zip(b["html"], b["roles"])]
+        roles = ([set(() if r is None else r) for r in b[name]] for name in ("article", "body"))
+        texts = [main_text(*x) for x in zip(b["html"], *roles)]
         yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts], "host": b["host"]})
 
 
@@ -349,6 +344,6 @@ def extract(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     made = stored(wrappers(pages), "wrappers")
     at = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    return at.join(made.select("host", "roles"), "host", "left").select("page_id", "url", "html", "host", "roles").mapInPandas(
-        _texts, f"page_id {kind}, url string, text string, n_chars long, host string"
+    return map_frames(
+        at.join(made.select("host", "article", "body"), "host", "left"), _texts, f"page_id {kind}, url string, text string, n_chars long, host string"
     )
