@@ -6,10 +6,13 @@ with a chance of about 1e-7. Pigeonhole: among 26 chunks, 51 = 2 * 26 - 1 errors
 one. Each chunk is therefore entered WIDTH times, once without each of its symbols: two chunks with at most one
 error share such an entry. So every pair within LIMIT meets in a bucket, whatever the data.
 
-Equal sets are one class from the start. In a bucket, links are first sought to one member, drawn anew each
-round; what shares a component needs no more checks, and buckets of one component go away. The pairs left in
-different components are then all checked, so no link between different components is missed, and no bucket
-has all its pairs listed. Every link is confirmed on full sets: 100 * |A and B| >= 80 * |A or B|.
+Equal sets are one class from the start. In a bucket, links are first sought to one member, that which shares most buckets
+(the middle of a group of near copies); what shares a component needs no more checks, and buckets of one component go
+away. Members of what is left are told apart by rare shingles, those of at most RARE of them: a pair whose sets cannot be
+similar enough by their common shingles alone has to share rare ones, and is found by them, with no more than RARE
+members to a shingle. Only pairs that common shingles alone could link, in different components of a bucket, are then
+listed. So no link between different components is missed, and no bucket has all its pairs listed. Every link is
+confirmed on full sets: 100 * |A and B| >= 80 * |A or B|.
 
 Defined results: null, empty and blank texts have no shingles, are linked with nothing and kept; a text with
 fewer words than a shingle is one shingle; a row with a null id is returned unlinked and kept; rows of one id
@@ -33,7 +36,7 @@ from .tables import map_frames, stored
 CHUNKS, WIDTH = 26, 5
 SYMBOLS = CHUNKS * WIDTH
 LIMIT = 2 * CHUNKS - 1
-ROUNDS, TRIES = 6, 4
+ROUNDS, TRIES, RARE = 2, 2, 16
 BLOCK = 4096
 
 
@@ -113,6 +116,17 @@ def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": keys.ravel(), "id": np.repeat(part["id"].to_numpy(), SYMBOLS), "n": np.repeat(part["n"].to_numpy(), SYMBOLS)})
 
 
+def _shingles(size: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, int] = {}
+        for b in batches:
+            for doc, t in zip(b["doc_id"], b["text"]):
+                h = shingle_hashes(t, size, known).view(np.int64)
+                yield pd.DataFrame({"id": np.full(len(h), doc, np.int64), "h": h})
+
+    return run
+
+
 def _sets(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
@@ -145,12 +159,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     known = signed.where("doc_id is not null and n_shingles > 0")
     first = known.groupBy("class").agg(F.min("doc_id").alias("id"))
     classes = stored(known.join(first, "class").where("doc_id = id").select("id", F.col("n_shingles").alias("n"), "sig"), "classes")
-    # one exchange by key: buckets of more than one id, each with a centre drawn by hash
+    # one exchange by key: buckets of more than one id
     bucket = Window.partitionBy("key")
-    drawn = lambda turn: F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), "id", "n")
     keys = classes.mapInPandas(_keyed, "key long, id long, n long")
-    keys = keys.withColumns({"lo": F.min("id").over(bucket), "hi": F.max("id").over(bucket), "r": F.min(drawn(0)).over(bucket)})
-    members = stored(keys.where("lo < hi").select("key", "id", "n", F.col("r.id").alias("b"), F.col("r.n").alias("n2")), "members")
+    keys = keys.withColumns({"lo": F.min("id").over(bucket), "hi": F.max("id").over(bucket), "size": F.count("*").over(bucket)})
+    members = stored(keys.where("lo < hi").select("key", "id", "n", "size"), "members")
     labels, links = None, None
     near = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
 
@@ -158,7 +171,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         """Members of the buckets that hold more than one component, with their components."""
         at = members.select("key", "id", "n")
         at = at.withColumn("c", F.col("id")) if labels is None else at.join(labels, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+        mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
         return at.join(mixed, "key")
 
     def close(pairs: DataFrame) -> DataFrame:
@@ -178,22 +191,38 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         order = Window.partitionBy("a").orderBy(F.desc("count"), "b")
         return shared.groupBy(F.col("id").alias("a"), "b").count().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).select("a", "b")
 
-    link(stored(close(tries(members.where("id <> b").where(near), 1)), "pairs"))
-    for turn in range(1, ROUNDS):
-        members = now = stored(live(), "live")
+    for turn in range(ROUNDS):
+        members = now = stored(live(), "live") if turn else members.withColumn("c", F.col("id"))
         if now.isEmpty():
             break
-        centre = now.groupBy("key").agg(F.min_by(F.struct("id", "c", "n"), F.xxhash64("id", F.lit(turn))).alias("r"))
+        weights = now.groupBy("id").agg(F.sum("size").alias("weight"))
+        centre = now.join(weights, "id").groupBy("key").agg(F.max_by(F.struct("id", "c", "n"), F.struct("weight", "id")).alias("r"))
         shared = now.join(centre, "key").select("id", "c", "n", F.col("r.id").alias("b"), F.col("r.c").alias("c2"), F.col("r.n").alias("n2"))
         link(stored(close(tries(shared.where("c <> c2").where(near), TRIES)), "pairs"))
     rest = stored(live(), "live")
     if not rest.isEmpty():
-        # every pair in different components: each member meets the other components of its bucket, then their members
-        seats = rest.groupBy("key", "c").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("c", "c2")
+        members = rest
+        left = docs.select("doc_id", "text").join(rest.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        shingles = stored(left.mapInPandas(_shingles(size), "id long, h long"), "shingles")
+        rare = stored(shingles.join(shingles.groupBy("h").count().where(F.col("count") <= RARE), "h"), "rare")
+        # of an id with several texts the least size and all shingles count, so that no pair is ruled out wrongly
+        counts = shingles.groupBy("id").agg(F.count("*").alias("all")).join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left")
+        counts = counts.select("id", (F.col("all") - F.coalesce("rare", F.lit(0))).alias("common"))
+        sizes = stored(classes.groupBy("id").agg(F.min("n").alias("n")).join(counts, "id"), "sizes")
+        enough = lambda both, n, n2: 100 * both >= percent * (n + n2 - both)  # noqa: E731  the measure of two sets
+        of = lambda x, k: sizes.select(F.col("id").alias(x), F.col("n").alias(f"n{k}"), F.col("common").alias(f"common{k}"))
+        posted = rare.where("count > 1").select("h", "id")
+        met = posted.withColumnRenamed("id", "a").join(posted.withColumnRenamed("id", "b"), "h").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+        most = F.least("common1", "common2") + F.col("shared")
+        link(stored(met.join(of("a", 1), "a").join(of("b", 2), "b").where(enough(most, F.col("n1"), F.col("n2"))).select("a", "b"), "pairs"))
+        # pairs in different components that common shingles alone could link: members meet components, then their members
+        rest = stored(live().drop("n").join(sizes, "id"), "rest")
+        seats = rest.groupBy("key", F.col("c").alias("c2")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("common").alias("common2"))
         fit = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
-        meets = rest.join(seats, "key").where("c < c2").where(fit).select("key", F.col("id").alias("a"), "n", "c2")
-        other = rest.select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-        pairs = meets.join(other, ["key", "c2"]).where(near).select("a", "b").distinct()
+        fit &= enough(F.least("common", "common2"), F.col("n"), F.greatest("least", F.col("n") * percent / 100))
+        meets = rest.join(seats, "key").where("c < c2").where(fit).select("key", F.col("id").alias("a"), "n", "common", "c2")
+        other = rest.select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("common").alias("common2"), F.col("c").alias("c2"))
+        pairs = meets.join(other, ["key", "c2"]).where(near & enough(F.least("common", "common2"), F.col("n"), F.col("n2"))).select("a", "b").distinct()
         link(stored(close(pairs), "pairs"))
     out = signed.join(first, "class", "left")
     out = out.withColumn("component", F.col("id")) if labels is None else out.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
