@@ -35,12 +35,23 @@ BLANK = " \t\n\x0b\f\r"
 
 
 def _positions(min_words: int):
+    def frame(parts: list[tuple]) -> pd.DataFrame:
+        sizes = [len(p[2]) for p in parts]
+        docs = pd.Series([p[1] for p in parts], dtype="Int64")
+        return pd.DataFrame({
+            "rid": np.repeat(np.array([p[0] for p in parts], np.int64), sizes),
+            "doc_id": docs.repeat(sizes).reset_index(drop=True),
+            "at": np.concatenate([np.arange(n) for n in sizes]),
+            "need": np.concatenate([p[2] for p in parts]),
+            "name": np.fromiter((x for p in parts for x in p[3]), np.uint64, sum(sizes)).view(np.int64),
+        })
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = []
+            parts, held = [], 0
             for rid, doc, text in zip(b["rid"], b["doc_id"], b["text"]):
-                lines = (text or "").split("\n")
-                counts = np.array([len(x.encode("utf-8", "surrogatepass").split()) for x in lines])
+                lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
+                counts = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
                 at = np.flatnonzero(counts)
                 if not len(at):
                     continue
@@ -48,15 +59,13 @@ def _positions(min_words: int):
                 # lines that the shortest sufficient prefix takes; 0: the text ends before
                 need = np.searchsorted(ends, ends[:-1] + min_words) - np.arange(len(at))
                 need[ends[:-1] + min_words > ends[-1]] = 0
-                parts.append(pd.DataFrame({
-                    "rid": rid, "doc_id": doc, "at": np.arange(len(at)), "need": need,
-                    "name": np.array([xxhash.xxh3_64_intdigest(lines[i].encode("utf-8", "surrogatepass")) for i in at], np.uint64).view(np.int64),
-                }))
-                if sum(map(len, parts)) > 50_000:
-                    yield pd.concat(parts)
-                    parts = []
+                parts.append((rid, doc, need, [xxhash.xxh3_64_intdigest(lines[i]) for i in at]))
+                held += len(at)
+                if held > 50_000:
+                    yield frame(parts)
+                    parts, held = [], 0
             if parts:
-                yield pd.concat(parts)
+                yield frame(parts)
 
     return run
 
@@ -82,7 +91,7 @@ def without(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
 
 def later_runs(docs: DataFrame, min_words: int) -> DataFrame:
     """(rid, at, need): lines at .. at + need - 1 of text rid have an earlier copy."""
-    names = map_frames(docs, _positions(min_words), "rid long, doc_id long, at int, need int, name long")
+    names = stored(map_frames(docs, _positions(min_words), "rid long, doc_id long, at int, need int, name long"), "lines")
     out, level = None, 0
     while True:
         repeated = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
