@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 def queries():
+    from siftline.plans import more  # noqa: F401  (registers its queries)
     from siftline.plans.queries import QUERIES
     from siftline.streaming.queries import STREAMS
 
@@ -11,6 +12,7 @@ def queries():
 
 
 def oracle_sql():
+    from siftline.plans import more  # noqa: F401
     from siftline.plans.queries import ORACLE
     from siftline.streaming.queries import ORACLE as STREAM_ORACLE
 
