@@ -94,7 +94,8 @@ def later_runs(docs: DataFrame, min_words: int) -> DataFrame:
     names = stored(map_frames(docs, _positions(min_words), "rid long, doc_id long, at int, need int, name long"), "lines")
     out, level = None, 0
     while True:
-        repeated = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+        # written first: a join of two plain exchanges is one whose common lines Spark can split
+        repeated = stored(names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), f"repeated{level}")
         names = names.join(repeated, "name")
         names = stored(names if level else names.dropDuplicates(["rid", "at"]), f"level{level}")
         step = 1 << level
