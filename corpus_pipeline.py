@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs of MIN_WORDS words or more; those of which nothing is left go."""
-    cut = line_runs.drop_repeated_runs(docs.select("doc_id", "text", held(docs, "text").alias("doc")), MIN_WORDS)
+    cut = line_runs.drop_repeated_runs(docs.select("doc_id", "text", held(docs, "text").alias("doc")), MIN_WORDS, whole=True)
     gone = (F.col("n_removed") > 0) & (F.length(F.translate("text", line_runs.BLANK, "")) == 0)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
     kept = cut.where(~F.coalesce(gone, F.lit(False)))

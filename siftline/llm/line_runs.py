@@ -34,7 +34,7 @@ from .tables import held, in_order, map_frames, released, stored
 BLANK = " \t\n\x0b\f\r"
 
 
-def _positions(min_words: int):
+def _positions(min_words: int, whole: bool):
     def frame(parts: list[tuple]) -> pd.DataFrame:
         sizes = [len(p[2]) for p in parts]
         docs = pd.Series([p[1] for p in parts], dtype="Int64")
@@ -43,7 +43,8 @@ def _positions(min_words: int):
             "doc_id": docs.repeat(sizes).reset_index(drop=True),
             "at": np.concatenate([np.arange(n) for n in sizes]),
             "need": np.concatenate([p[2] for p in parts]),
-            "name": np.fromiter((x for p in parts for x in p[3]), np.uint64, sum(sizes)).view(np.int64),
+            "most": np.concatenate([p[3] for p in parts]),
+            "name": np.fromiter((x for p in parts for x in p[4]), np.uint64, sum(sizes)).view(np.int64),
         })
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,7 +60,10 @@ def _positions(min_words: int):
                 # lines that the shortest sufficient prefix takes; 0: the text ends before
                 need = np.searchsorted(ends, ends[:-1] + min_words) - np.arange(len(at))
                 need[ends[:-1] + min_words > ends[-1]] = 0
-                parts.append((rid, doc, need, [xxhash.xxh3_64_intdigest(lines[i]) for i in at]))
+                # lines of the longest window of which this is the last start that will do
+                most = np.append(need[1:], 0)
+                most = np.where(need == 0, 0, np.maximum(need, np.where(most == 0, len(at) - np.arange(len(at)), most)))
+                parts.append((rid, doc, need, most if whole else need, [xxhash.xxh3_64_intdigest(lines[i]) for i in at]))
                 held += len(at)
                 if held > 50_000:
                     yield frame(parts)
@@ -89,9 +93,9 @@ def without(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_removed"])
 
 
-def later_runs(docs: DataFrame, min_words: int) -> DataFrame:
+def later_runs(docs: DataFrame, min_words: int, whole: bool = False) -> DataFrame:
     """(rid, at, need): lines at .. at + need - 1 of text rid have an earlier copy."""
-    names = stored(map_frames(docs, _positions(min_words), "rid long, doc_id long, at int, need int, name long"), "lines")
+    names = stored(map_frames(docs, _positions(min_words, whole), "rid long, doc_id long, at int, need int, most int, name long"), "lines")
     out, level = None, 0
     while True:
         # written first: a join of two plain exchanges is one whose common lines Spark can split
@@ -99,25 +103,27 @@ def later_runs(docs: DataFrame, min_words: int) -> DataFrame:
         names = names.join(repeated, "name")
         names = stored(names if level else names.dropDuplicates(["rid", "at"]), f"level{level}")
         step = 1 << level
-        here = names.where(f"need >= {step} and need < {2 * step}")
+        here = names.where(f"most >= {step} and need between 1 and {2 * step - 1}")
+        here = here.withColumn("need", F.explode(F.expr(f"sequence(greatest(need, {step}), least(most, {2 * step - 1}))")))
         then = names.select("rid", F.col("at").alias("to"), F.col("name").alias("then"))
         prefixes = here.withColumn("to", F.col("at") + F.col("need") - step).join(then, ["rid", "to"])
         prefixes = prefixes.withColumn("place", F.struct("doc_id", "rid", "at"))
         first = prefixes.groupBy("need", "name", "then").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         later = stored(prefixes.join(first, ["need", "name", "then"]).where(~F.col("place").eqNullSafe(F.col("first"))).select("rid", "at", "need"), f"later{level}")
         out = later if out is None else out.union(later)
-        if 2 * step > min_words or names.where(f"need >= {2 * step}").isEmpty():
+        if 2 * step > min_words or names.where(f"most >= {2 * step}").isEmpty():
             return out
         after = names.select("rid", (F.col("at") - step).alias("at"), F.col("name").alias("then"))
         names = names.join(after, ["rid", "at"]).withColumn("name", F.xxhash64("name", "then", F.lit(level))).drop("then")
         level += 1
 
 
-def drop_repeated_runs(docs: DataFrame, min_words: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the text rid of later copies of repeated line runs, and n_removed (lines)."""
+def drop_repeated_runs(docs: DataFrame, min_words: int = 50, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """All columns of ``docs`` with the text rid of later copies of repeated line runs, and n_removed (lines); ``whole``:
+    of all their lines, not only those in a shortest prefix."""
     rid = F.xxhash64(F.col(key), F.col(text))
     slim = docs.select(rid.alias("rid"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    runs = later_runs(slim, min_words).distinct().groupBy("rid").agg(F.collect_list(F.struct("at", "need")).alias("runs"))
+    runs = later_runs(slim, min_words, whole).distinct().groupBy("rid").agg(F.collect_list(F.struct("at", "need")).alias("runs"))
     at = docs.select(held(docs, text, "n_removed").alias("row"), F.col(text).alias("text"), rid.alias("rid")).join(runs, "rid", "left")
     changed = F.col("runs").isNotNull()
     at = at.withColumn("cut", without(F.when(changed, F.col("text")), "runs"))

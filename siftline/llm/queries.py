@@ -55,7 +55,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_runs.drop_repeated_runs(read(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
+    return line_runs.drop_repeated_runs(read(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50, whole=True)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
