@@ -35,7 +35,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotations.linked(read(spark, sf_dir, "conversations"))
+    return quotations.linked(read(spark, sf_dir, "conversations"), excerpts=True)
 
 
 def op4_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:

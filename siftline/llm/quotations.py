@@ -7,7 +7,9 @@ in its own words. A message answers the latest original of its shallowest linked
 depths follow by pointer doubling over linked messages only, in as many joins as the logarithm of the longest chain.
 
 Originals are a grouped minimum by (scope, hash) before they meet quotations, so the join gives a row for each quoted
-passage at most, however common a passage is. Positions in a thread come from counts of buckets of TURNS turns.
+passage at most, however common a passage is. With ``excerpts``, a passage that meets no original so is looked for as a run
+of whole lines or sentences, of any length and wrapped in any way: its first letters pick the lines or sentences where it
+may begin, and only there as many letters as it has are hashed and compared. Positions in a thread come from counts of buckets of TURNS turns.
 
 Defined results: null text has no words and stays null; an unquoted message keeps its text as it is; rows of equal scope and
 turn are one message for links, and each keeps its own text; a null scope or turn links to nothing and is a root; quotations
@@ -27,6 +29,9 @@ MARKS = r"^[ \t]*(?:>[ \t]?)+"
 #: The line above a quotation that says whose it is.
 SAID = r"(?i)\b(wrote|writes|said|schrieb|schreibt|écrit|escribió)\b[^\n]*:[ \t\r]*$"
 LEAST = 20  # letters of a single line that may link
+#: A line or sentence ends here.
+ENDS = r"\n|(?<=[.!?…])[\s ]+"
+BEGINS = (1, 4, 16, 64)  # letters that a passage and an original begin with alike
 TURNS = 1024
 
 
@@ -70,16 +75,50 @@ def units(words: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.concat(F.array(whole), lines), lambda x: x != ""), lambda x: F.xxhash64(x)))
 
 
-def linked(messages: DataFrame, scope: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """``messages`` with their own words as text, n_passages, parent, root, depth and position in the thread."""
+def from_excerpts(loose: DataFrame, ids: DataFrame) -> DataFrame:
+    """(s, t, depth, o): the first message whose own words have passage ``words`` of ``loose`` as a run of lines or sentences."""
+    begin = F.greatest(*[F.when(F.length("words") >= c, F.lit(c)) for c in BEGINS])
+    loose = loose.withColumns({"n": F.length("words"), "begin": begin})
+    loose = stored(loose.withColumns({"key": F.xxhash64(F.col("words").substr(F.lit(1), F.col("begin"))), "h": F.xxhash64("words")}).drop("words"), "loose")
+    said = ids.where(F.coalesce(F.col("own"), F.lit("")) != "").join(loose.select("s").distinct(), "s", "left_semi")
+    said = said.groupBy("s", F.xxhash64("own").alias("text")).agg(F.min("t").alias("o"), F.first("own").alias("own"))
+    parts = F.filter(F.transform(F.split("own", ENDS), normalised), lambda x: x != "")
+    said = stored(said.select("s", "text", "o", parts.alias("parts")).where(F.size("parts") > 0), "parts")
+    # each part and the blank after it are two letters at least
+    heads = F.transform("parts", lambda _, i: F.array_join(F.slice("parts", i + 1, F.lit(BEGINS[-1] // 2)), " "))
+    heads = said.select("s", "text", F.posexplode(heads).alias("at", "head"))
+    heads = heads.select("s", "text", "at", "head", F.explode(F.array(*map(F.lit, BEGINS))).alias("begin")).where(F.length("head") >= F.col("begin"))
+    heads = heads.select("s", "text", "at", "begin", F.xxhash64(F.col("head").substr(F.lit(1), F.col("begin"))).alias("key"))
+    asked = heads.join(loose.select("s", "begin", "key", "n").distinct(), ["s", "begin", "key"])
+    asked = asked.groupBy("s", "text").agg(F.collect_set(F.struct("at", "n")).alias("asked"))
+
+    def run(x: Column) -> Column:
+        # parts hold no line break, so one marks where they end
+        rest = F.array_join(F.slice("parts", x["at"] + 1, F.floor(x["n"] / 2).cast("int") + 1), "\n")
+        return F.when(rest.substr(x["n"] + 1, F.lit(1)).isin("", "\n"), F.xxhash64(F.translate(rest.substr(F.lit(1), x["n"]), "\n", " ")))
+
+    runs = said.join(asked, ["s", "text"]).select("s", "o", F.explode(F.transform("asked", run)).alias("h")).where("h is not null")
+    return loose.join(runs.groupBy("s", "h").agg(F.min("o").alias("o")), ["s", "h"]).where("o < t").select("s", "t", "depth", "o")
+
+
+def linked(messages: DataFrame, scope: str = "conv_id", turn: str = "turn", text: str = "text", excerpts: bool = False) -> DataFrame:
+    """``messages`` with their own words as text, n_passages, parent, root, depth and position in the thread; ``excerpts``:
+    passages that are neither a whole message nor have a longer line of one may be any lines or sentences of one."""
     new = ("n_passages", "parent", "root", "depth", "position")
     at = messages.select(F.col(scope).alias("s"), F.col(turn).alias("t"), F.col(text).alias("text"), held(messages, text, *new).alias("row"))
     at = stored(parsed(at, "text"), "parsed")
     ids = at.where("s is not null and t is not null").select("s", "t", "own", "passages")
-    quoted = ids.where(F.size("passages") > 0).select("s", "t", F.explode("passages").alias("p")).select("s", "t", "p.depth", F.explode(units(F.col("p.words"))).alias("h"))
+    passages = ids.where(F.size("passages") > 0).select("s", "t", F.explode("passages").alias("p")).select("s", "t", "p.depth", "p.words")
+    passages = passages.withColumn("whole", F.xxhash64(normalised(F.col("words"))))
+    quoted = passages.select("s", "t", "depth", "whole", F.explode(units(F.col("words"))).alias("h"))
     said = ids.where(F.coalesce(F.col("own"), F.lit("")) != "").select("s", "t", F.explode(units(F.col("own"))).alias("h"))
     first = said.groupBy("s", "h").agg(F.min("t").alias("o"))
     met = quoted.join(first, ["s", "h"]).where("o < t")
+    if excerpts:
+        met = stored(met, "met")
+        loose = passages.withColumn("words", normalised(F.col("words"))).where("words != ''")
+        loose = loose.join(met, ["s", "t", "depth", "whole"], "left_anti").select("s", "t", "depth", "words").distinct()
+        met = met.select("s", "t", "depth", "o").union(from_excerpts(loose, ids))
     # the shallowest linked depth, and there the latest original
     links = stored(met.groupBy("s", "t").agg(F.max(F.struct(-F.col("depth"), "o"))["o"].alias("parent")), "links")
     up = stored(links.select("s", "t", F.col("parent").alias("root"), F.lit(1).alias("depth")), "roots")

@@ -107,3 +107,51 @@ def test_clashing_columns_repeated_rows_and_empty_table(spark):
 def test_main_path_is_native(spark):
     plan = Q.linked(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def first_with(said, passage, before):
+    """Turn of the first message that has the passage as a run of whole lines or sentences, by trying all."""
+    for t, own in sorted(said):
+        parts = [norm(x) for x in re.split(r"\n|(?<=[.!?…])[\s ]+", own)]
+        parts = [x for x in parts if x]
+        if t < before and any(" ".join(parts[i:j]) == norm(passage) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1)):
+            return t
+    return None
+
+
+def test_excerpts_of_lines_and_sentences(spark):
+    one = [(1, 0, "Thanks for the note.\nYes, let's do it"), (1, 1, "> Yes, let's do it\nfine")]
+    two = [
+        (2, 0, "We could meet on\nMonday at noon. Bring tea.\nOr not.\nBye"),
+        (2, 1, "> We could meet on Monday\n> at noon.\nyes"),
+        (2, 2, "> Bring tea.\n> Or not.\nno"),
+        (2, 3, "> tea.\nhalf a sentence is none"),
+        (2, 4, "> We could meet on Monday at noon. Bring tea. Or not. Bye\nall"),
+        (2, 5, ">> Or   NOT.\n> yes\nboth"),
+    ]
+    rnd = random.Random(3)
+    many = []
+    for t in range(80):
+        lines = [" ".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 4))) + rnd.choice(("", ".", "!")) for _ in range(rnd.randrange(1, 5))]
+        quote = "\n".join("> " + " ".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 4))) + rnd.choice(("", ".")) for _ in range(rnd.randrange(1, 3)))
+        many.append((3, t, (quote + "\n" if t % 2 else "") + "\n".join(lines)))
+    df = spark.createDataFrame(one + two + many, "conv_id long, turn long, text string")
+    got = {(r.conv_id, r.turn): r.parent for r in Q.linked(df, excerpts=True).collect()}
+    assert got[1, 1] == 0
+    assert [got[2, t] for t in range(6)] == [None, 0, 0, None, 0, 1]
+    old = {(r.conv_id, r.turn): r.parent for r in Q.linked(df).collect()}
+    said = [(t, parse(x)[0]) for _, t, x in many]
+    for _, t, x in many:
+        passages = parse(x)[1]
+        assert got[3, t] == (old[3, t] if old[3, t] is not None or not passages else first_with(said, passages[0][1], t)), x
+    assert any(got[3, t] is not None and old[3, t] is None for t in range(80))
+
+
+def test_query_finds_excerpts(spark, tmp_path):
+    from siftline.llm import queries
+
+    spark.createDataFrame([(1, 0, "u", "Thanks for the note.\nYes, let's do it"), (1, 1, "v", "> Yes, let's do it\nfine")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = queries.op3_quotation_links(spark, str(tmp_path))
+    assert {r.turn: r.parent for r in out.collect()} == {0: None, 1: 0}
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
