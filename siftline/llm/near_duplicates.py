@@ -8,11 +8,13 @@ error share such an entry. So every pair within LIMIT meets in a bucket, whateve
 
 Equal sets are one class from the start. In a bucket, links are first sought to one member, that which shares most buckets
 (the middle of a group of near copies); what shares a component needs no more checks, and buckets of one component go
-away. Members of what is left are told apart by rare shingles, those of at most RARE of them: a pair whose sets cannot be
-similar enough by their common shingles alone has to share rare ones, and is found by them, with no more than RARE
-members to a shingle. Only pairs that common shingles alone could link, in different components of a bucket, are then
-listed. So no link between different components is missed, and no bucket has all its pairs listed. Every link is
-confirmed on full sets: 100 * |A and B| >= 80 * |A or B|.
+away. The pairs of what is left are not listed by bucket but by prefix: with the shingles of each set in one order, the
+rarest first, two sets of similarity 0.8 share one among the first fifth of each, at places i and j from which on enough
+shingles are left in both. So a shingle that stands near the front of two sets of different components makes a pair, which
+counts if its signatures are within LIMIT (they are if, and only if, the bucket join may find it). Sets whose rare part is too
+large to be similar to anything meet nobody, however many share a template or passage with them. No link between different
+components is missed, and no group has all its pairs listed. Every link is confirmed on full sets:
+100 * |A and B| >= 80 * |A or B|.
 
 Defined results: null, empty and blank texts have no shingles, are linked with nothing and kept; a text with
 fewer words than a shingle is one shingle; a row with a null id is returned unlinked and kept; rows of one id
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -36,7 +38,7 @@ from .tables import map_frames, stored
 CHUNKS, WIDTH = 26, 5
 SYMBOLS = CHUNKS * WIDTH
 LIMIT = 2 * CHUNKS - 1
-ROUNDS, TRIES, RARE = 2, 2, 16
+ROUNDS, TRIES = 2, 2
 BLOCK = 4096
 
 
@@ -121,8 +123,9 @@ def _shingles(size: int):
         known: dict[bytes, int] = {}
         for b in batches:
             for doc, t in zip(b["doc_id"], b["text"]):
-                h = shingle_hashes(t, size, known).view(np.int64)
-                yield pd.DataFrame({"id": np.full(len(h), doc, np.int64), "h": h})
+                h = shingle_hashes(t, size, known)
+                own = xxhash.xxh3_64_intdigest(h.tobytes(), doc & (2**64 - 1))
+                yield pd.DataFrame({"set": np.full(len(h), own, np.uint64).view(np.int64), "id": np.full(len(h), doc, np.int64), "n": np.full(len(h), len(h), np.int64), "h": h.view(np.int64)})
 
     return run
 
@@ -152,6 +155,38 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return pairs.join(of_a, "a").join(of_b, "b").where(100 * both >= percent * (F.size("s") + F.size("t") - both)).select("a", "b")
 
 
+def prefix_pairs(docs: DataFrame, own: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``own`` (id, c: its component) in different components whose sets may be similar enough by size and by the
+    places of a common shingle, rarest first. All similar pairs are among them."""
+    left = docs.select("doc_id", "text").join(own.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    shingles = stored(left.mapInPandas(_shingles(size), "set long, id long, n long, h long"), "shingles")
+    # shingles of one set alone make no pair, but stand first in it
+    counts = stored(shingles.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    by_set, order = Window.partitionBy("set"), Window.partitionBy("set").orderBy("df", "h")
+    at = shingles.join(counts, "h").withColumn("r", F.dense_rank().over(order))
+    at = at.withColumn("i", F.col("n") - F.max("r").over(by_set) + F.col("r") - 1)
+    at = at.where((F.col("n") - F.col("i")) * 100 >= F.col("n") * percent).select("h", "id", "n", "i").join(own, "id")
+    prefixes = stored(at, "prefixes")
+
+    def enough(n: str, i: str, n2: str, j: str) -> Column:
+        """Similar sets have as many shingles from these places on."""
+        return F.least(F.col(n) - F.col(i), F.col(n2) - F.col(j)) * (100 + percent) >= percent * (F.col(n) + F.col(n2))
+
+    # places so far back that no set with the shingle is short enough go at once
+    spread = prefixes.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("h", "least")
+    short = F.greatest(F.col("least"), (F.col("n") * percent + 99) / 100)
+    front = prefixes.join(spread, "h").where((F.col("n") - F.col("i")) * (100 + percent) >= percent * (F.col("n") + F.floor(short)) - percent)
+    front = stored(front.drop("least"), "front")
+    # members meet components, then those of the components' members that fit
+    seats = front.groupBy("h", F.col("c").alias("c2")).agg(F.min("n").alias("n2"), F.max("n").alias("most"), F.max(F.col("n") - F.col("i")).alias("room"))
+    seats = seats.withColumn("j", F.col("n2") - F.col("room"))
+    fit = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("n2") * percent)
+    meets = front.join(seats, "h").where("c < c2").where(fit & enough("n", "i", "n2", "j")).select("h", F.col("id").alias("a"), "n", "i", "c2")
+    other = front.select("h", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("i").alias("j"), F.col("c").alias("c2"))
+    near = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
+    return meets.join(other, ["h", "c2"]).where(near & enough("n", "i", "n2", "j")).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) and kept (the id is the component's)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -199,31 +234,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         centre = now.join(weights, "id").groupBy("key").agg(F.max_by(F.struct("id", "c", "n"), F.struct("weight", "id")).alias("r"))
         shared = now.join(centre, "key").select("id", "c", "n", F.col("r.id").alias("b"), F.col("r.c").alias("c2"), F.col("r.n").alias("n2"))
         link(stored(close(tries(shared.where("c <> c2").where(near), TRIES)), "pairs"))
-    rest = stored(live(), "live")
-    if not rest.isEmpty():
-        members = rest
-        left = docs.select("doc_id", "text").join(rest.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        shingles = stored(left.mapInPandas(_shingles(size), "id long, h long"), "shingles")
-        rare = stored(shingles.join(shingles.groupBy("h").count().where(F.col("count") <= RARE), "h"), "rare")
-        # of an id with several texts the least size and all shingles count, so that no pair is ruled out wrongly
-        counts = shingles.groupBy("id").agg(F.count("*").alias("all")).join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left")
-        counts = counts.select("id", (F.col("all") - F.coalesce("rare", F.lit(0))).alias("common"))
-        sizes = stored(classes.groupBy("id").agg(F.min("n").alias("n")).join(counts, "id"), "sizes")
-        enough = lambda both, n, n2: 100 * both >= percent * (n + n2 - both)  # noqa: E731  the measure of two sets
-        of = lambda x, k: sizes.select(F.col("id").alias(x), F.col("n").alias(f"n{k}"), F.col("common").alias(f"common{k}"))
-        posted = rare.where("count > 1").select("h", "id")
-        met = posted.withColumnRenamed("id", "a").join(posted.withColumnRenamed("id", "b"), "h").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-        most = F.least("common1", "common2") + F.col("shared")
-        link(stored(met.join(of("a", 1), "a").join(of("b", 2), "b").where(enough(most, F.col("n1"), F.col("n2"))).select("a", "b"), "pairs"))
-        # pairs in different components that common shingles alone could link: members meet components, then their members
-        rest = stored(live().drop("n").join(sizes, "id"), "rest")
-        seats = rest.groupBy("key", F.col("c").alias("c2")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("common").alias("common2"))
-        fit = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
-        fit &= enough(F.least("common", "common2"), F.col("n"), F.greatest("least", F.col("n") * percent / 100))
-        meets = rest.join(seats, "key").where("c < c2").where(fit).select("key", F.col("id").alias("a"), "n", "common", "c2")
-        other = rest.select("key", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("common").alias("common2"), F.col("c").alias("c2"))
-        pairs = meets.join(other, ["key", "c2"]).where(near & enough(F.least("common", "common2"), F.col("n"), F.col("n2"))).select("a", "b").distinct()
-        link(stored(close(pairs), "pairs"))
+    own = stored(live().select("id", "c").distinct(), "rest")
+    if not own.isEmpty():
+        link(stored(close(prefix_pairs(docs, own, size, percent)), "pairs"))
     out = signed.join(first, "class", "left")
     out = out.withColumn("component", F.col("id")) if labels is None else out.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     component = F.coalesce("component", "doc_id")
