@@ -3,8 +3,9 @@
 Documents become token ids with an end id. Whole windows of a long document are sequences of their own; what is left
 of each document has a length under the window. The histogram of these lengths (at most window - 1 bins, at any
 corpus size) is what the driver solves: shallow combinations of lengths that fill a window exactly are enumerated,
-non-negative least squares gives the number of times each is repeated, rounded down to what the histogram holds. What
-remains is packed greedily, one after another, cut at the window. The last, partial window is cut at powers of two,
+non-negative least squares gives the number of times each is repeated, rounded to what the histogram holds, and again for what
+rounding leaves, up to ROUNDS times. Combinations are shallow: all pairs, and triples and repeats (up to DEEPEST) with the ANCHORS
+most frequent lengths; these bound the work on the driver, not what is packed. What remains is packed greedily, one after another, cut at the window. The last, partial window is cut at powers of two,
 where sequences need no padding; so nothing is padded.
 
 Each row finds its place by arithmetic from its rank among rows of equal length. Ranks need no sort: a row's rank in its
@@ -17,11 +18,14 @@ an empty result; further columns are ignored. Texts with special token names fol
 
 from __future__ import annotations
 
+import functools
+import json
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -31,45 +35,129 @@ from pyspark.sql import functions as F
 
 from .tables import map_frames, stored
 
-ANCHORS, DEEPEST, SWEEPS = 48, 8, 60
-KEPT_WORDS = 600_000
-#: Words of these letters, with punctuation at the end, are tokenized as their small letters and their punctuation.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+ANCHORS, DEEPEST, SWEEPS, ROUNDS = 48, 8, 60, 8
+KEPT_WORDS = 300_000
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+#: Words of these letters, of digits and of ASCII punctuation but the apostrophe; their pieces; \x01 stands between words.
+PLAIN = re.compile(rf"[{LETTERS}0-9{MARKS}]+")
+PIECE = re.compile(rf"[{LETTERS}]+|[0-9\x01]|[{MARKS}]+")
 #: Where a text must be tokenized in one piece: special tokens, and separators that are white space to Python alone.
-WHOLE = re.compile(r"<\||[\x1c-\x1f]")
+WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+#: Marks side by side are one piece; where a text of Latin-1 has none, small letters and marks on their own give the same pieces.
+DOUBLE = re.compile(r"[\x00-\x08\x0e-\x1b!-/:-@\[-`{-\xbf×÷]{2}")
+SINGLE = ".,;:!?()"
+
+
+def _letters() -> dict[str, int]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, then others in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
+
+
+def _reached(parts: list[str], ranks: dict[tuple[str, str], int]) -> bool:
+    """Whether merging, by rank, makes one token of the parts."""
+    while len(parts) > 1:
+        best = min(zip(parts, parts[1:]), key=lambda p: ranks.get(p, 1 << 30))
+        if best not in ranks:
+            return False
+        out, i = [], 0
+        while i < len(parts):
+            if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
+                out.append(parts[i] + parts[i + 1])
+                i += 2
+            else:
+                out.append(parts[i])
+                i += 1
+        parts = out
+    return True
+
+
+def unreached(path: str) -> frozenset[str]:
+    """Tokens that the merges of their parts do not make."""
+    vocab, end, merges = _merges(path)
+    ranks = {m: i for i, m in enumerate(merges)}
+    return frozenset(a + b for a, b in merges if not _reached(_parts(a + b, end), ranks))
+
+
+def _merges(path: str) -> tuple[dict[str, int], str, list[tuple[str, str]]]:
+    model = json.loads(Path(path).read_text("utf-8"))["model"]
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    order = [model["vocab"][a + b] for a, b in merges]
+    if order != sorted(order):
+        raise ValueError("ids do not follow the order of merges")
+    return model["vocab"], model["end_of_word_suffix"], merges
+
+
+def _parts(token: str, end: str) -> list[str]:
+    body = token.removesuffix(end)
+    return list(body) if body == token else [*body[:-1], body[-1] + end]
+
+
+@functools.cache
+def vocabulary(path: str, left_out: frozenset[str]):
+    """The tokenizer, and its merges by byte rank with b"\\0" for the end of a piece: (tokenizer, encoding, mark between words).
+
+    Ranks join any neighbours that make a token, where the tokenizer joins only those of a merge. Both give the same ids if no
+    token is kept that its own merges do not reach: such tokens (``left_out``) can occur in no text."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    (vocab, end, merges), letters = _merges(path), _letters()
+    merged = {a + b for a, b in merges}
+
+    def raw(token: str) -> bytes:
+        body = token.removesuffix(end)
+        return bytes(map(letters.__getitem__, body)) + b"\0" * (body != token)
+
+    known = {raw(t): i for t, i in vocab.items() if (t in merged and t not in left_out) or (t not in merged and t.removesuffix(end) in letters)}
+    encoding = tiktoken.Encoding("pieces", pat_str="[^\0]+\0", mergeable_ranks=known, special_tokens={})
+    return Tokenizer.from_file(path), encoding, encoding.encode_ordinary("\x01\0")[0]
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class WordTokens:
     """Ids of texts by a tokenizer that drops white space and looks at each word alone; words are kept once tokenized."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.encode("1", add_special_tokens=False).ids[0]
+    def __init__(self, path: str, left_out: frozenset[str] | None = None):
+        self.tokenizer, self.pieces, self.mark = vocabulary(path, unreached(path) if left_out is None else left_out)
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        parts = {w: m for w in words if (m := PLAIN.fullmatch(w))}
-        plain = list({m[1].lower() for m in parts.values()} - self.known.keys())
-        for k in range(0, len(plain), 512):
-            # many words in one call, with a digit, which is a token of its own, between them
-            ids = np.frombuffer(self._encode([" 1 ".join(plain[k : k + 512])])[0], np.uint16)
-            cut = np.flatnonzero(ids == self.mark)
-            self.known.update(zip(plain[k : k + 512], (p.tobytes() for p in np.split(np.delete(ids, cut), cut - np.arange(len(cut))))))
-        others = list({w for w in words if w not in parts} | {m[2] for m in parts.values() if m[2]} - self.known.keys())
+        plain, others = [], []
+        for w in words:
+            (plain if PLAIN.fullmatch(w) else others).append(w)
+        for k in range(0, len(plain), 20_000):
+            part = plain[k : k + 20_000]
+            ids = self.pieces.encode_to_numpy(PIECE.sub("\\g<0>\0", "\x01".join(part).lower())).astype(np.uint16)
+            ends, raw = (2 * np.append(np.flatnonzero(ids == self.mark), len(ids))).tolist(), ids.tobytes()
+            self.known.update(zip(part, [raw[i:j] for i, j in zip([0, *(e + 2 for e in ends)], ends)]))
         self.known.update(zip(others, self._encode(others)))
-        for w, m in parts.items():
-            self.known[w] = self.known[m[1].lower()] + (self.known[m[2]] if m[2] else b"")
+
+    @staticmethod
+    def _split(text: str) -> list[str] | None:
+        if any(x in text for x in WHOLE):
+            return None
+        if _latin(text) and not DOUBLE.search(text):
+            text = text.lower()
+            for c in SINGLE:
+                text = text.replace(c, f" {c} ")
+        return text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """uint16 ids of each text."""
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        split = [None if WHOLE.search(t) else t.split() for t in texts]
+        split = [self._split(t) for t in texts]
         new = set().union(*(s for s in split if s)).difference(self.known)
         if new:
             self._learn(list(new))
@@ -77,8 +165,10 @@ class WordTokens:
 
 
 def _tokenized(path: str, window: int, end: int):
+    left_out = unreached(path)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, part = WordTokens(path), TaskContext.get().partitionId()
+        words, part = WordTokens(path, left_out), TaskContext.get().partitionId()
         ranks: Counter[int] = Counter()
         full, last = 0, np.array([end], np.uint16).tobytes()
         for b in batches:
@@ -149,22 +239,26 @@ class Plan:
 
     @classmethod
     def of(cls, counts: dict[int, int], window: int) -> Plan:
-        found = combinations(counts, window)
-        x = repeat_counts(found, counts)
         used: Counter[int] = Counter()
         runs: dict[int, list[tuple]] = {}
         sequence = 0
-        for i in np.argsort(-x, kind="stable"):
-            c = found[i]
-            times = min(int(x[i] + 1e-6), *((counts[n] - used[n]) // m for n, m in c.items()))
-            if times <= 0:
-                continue
-            offset = 0
-            for n, m in c.items():
-                runs.setdefault(n, []).append((used[n], m, sequence, offset))
-                used[n] += times * m
-                offset += n * m
-            sequence += times
+        for _ in range(ROUNDS):  # what rounding leaves is a histogram of its own, with other frequent lengths
+            have = {n: c - used[n] for n, c in counts.items() if c > used[n]}
+            found, before = combinations(have, window), sequence
+            x = repeat_counts(found, have)
+            for i in np.argsort(-x, kind="stable"):
+                c = found[i]
+                times = min(int(x[i] + 0.5), *((counts[n] - used[n]) // m for n, m in c.items()))
+                if times <= 0:
+                    continue
+                offset = 0
+                for n, m in c.items():
+                    runs.setdefault(n, []).append((used[n], m, sequence, offset))
+                    used[n] += times * m
+                    offset += n * m
+                sequence += times
+            if sequence == before:
+                break
         base, total = {}, 0
         for n in sorted(counts, reverse=True):
             base[n] = total
