@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -118,15 +118,38 @@ def later_runs(docs: DataFrame, min_words: int, whole: bool = False) -> DataFram
         level += 1
 
 
+#: Bits of the filter that tells texts without runs, in bitmaps of 2^15 (4 KB): 4 MB to each executor at any input size.
+FILTER_BITS, BITMAP = 1 << 25, 1 << 15
+
+
+def marks(runs: DataFrame) -> DataFrame:
+    """(bucket, bits): a bitmap of the texts that have runs."""
+    bit = F.pmod("rid", F.lit(FILTER_BITS))
+    return runs.select((bit / BITMAP).cast("long").alias("bucket"), (bit % BITMAP).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def marked(rid: Column, bits: Column) -> Column:
+    """Whether the bit of a text is set; true, too, for a text that shares its bit."""
+    bit = F.pmod(rid, F.lit(BITMAP))
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+
+
 def drop_repeated_runs(docs: DataFrame, min_words: int = 50, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """All columns of ``docs`` with the text rid of later copies of repeated line runs, and n_removed (lines); ``whole``:
-    of all their lines, not only those in a shortest prefix."""
+    of all their lines, not only those in a shortest prefix. Only texts that have runs (and those few that share a bit with
+    one) are moved to them; ``docs`` is read twice."""
     rid = F.xxhash64(F.col(key), F.col(text))
     slim = docs.select(rid.alias("rid"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    runs = later_runs(slim, min_words, whole).distinct().groupBy("rid").agg(F.collect_list(F.struct("at", "need")).alias("runs"))
-    at = docs.select(held(docs, text, "n_removed").alias("row"), F.col(text).alias("text"), rid.alias("rid")).join(runs, "rid", "left")
+    runs = stored(later_runs(slim, min_words, whole).distinct().groupBy("rid").agg(F.collect_list(F.struct("at", "need")).alias("runs")), "runs")
+    bits = F.broadcast(marks(runs))  # FILTER_BITS at most
+    bucket = (F.pmod(rid, F.lit(FILTER_BITS)) / BITMAP).cast("long")
+    at = docs.select(held(docs, text, "n_removed").alias("row"), F.col(text).alias("text"), rid.alias("rid"), bucket.alias("bucket"))
+    at = at.join(bits, "bucket", "left").withColumn("marked", marked(F.col("rid"), F.col("bits"))).drop("bits", "bucket")
+    cut = at.where("marked").join(runs, "rid", "left").withColumn("cut", without("text", "runs"))
     changed = F.col("runs").isNotNull()
-    at = at.withColumn("cut", without(F.when(changed, F.col("text")), "runs"))
     new_text = F.when(changed, F.col("cut.text")).otherwise(F.col("text")).alias(text)
-    n_removed = F.when(changed, F.col("cut.n_removed")).otherwise(F.lit(0)).alias("n_removed")
-    return at.select(*released(docs, text, "n_removed"), new_text, n_removed).select(*in_order(docs, "n_removed"))
+    n_removed = F.when(changed, F.col("cut.n_removed")).otherwise(F.lit(0)).cast("long").alias("n_removed")
+    cut = cut.select(*released(docs, text, "n_removed"), new_text, n_removed)
+    kept = at.where(~F.col("marked")).select(*released(docs, text, "n_removed"), F.col("text").alias(text), F.lit(0).cast("long").alias("n_removed"))
+    return cut.unionByName(kept).select(*in_order(docs, "n_removed"))
