@@ -7,7 +7,9 @@ what its longer letter sequences show, not by sparse counts. A document is as to
 expressions and its mean: a logistic fit on held-back rows of the sample turns those differences into a
 probability. Only the text is an input.
 
-Bound of the fit: at most ``max_docs`` labelled documents of each class, chosen by hash of the id, and of these
+The shared counts are those of all documents: Spark finds their letter sequences of SHARED + 1 letters and counts, for each
+sequence of SHARED letters or fewer, what different letters stand before it. Their number is bounded by the letters that
+there are. Bound of the fit: at most ``max_docs`` labelled documents of each class, chosen by hash of the id, and of these
 one third for the logistic. Spark counts the letter sequences of the sample; the model (their number is bounded
 by the sample) goes to the tasks, and every text is scored whole.
 
@@ -31,8 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .tables import stored
+
 ORDER, SHARED, DISCOUNT = 5, 2, 0.75
 TOP = 3
+KEPT_WORDS = 100_000  # differences that a task remembers
 BLOCK = 256  # texts whose new expressions are scored at once
 LONGEST = 40  # letters of an expression that one look-up holds; longer ones are scored in pieces
 EXPRESSION = re.compile(r"[^\W\d_]+")
@@ -63,6 +68,32 @@ def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"y": y, "gram": list(found), "n": list(found.values())})
 
 
+def short_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(gram, n) of each batch of (text), of at most SHARED + 1 letters."""
+    for b in batches:
+        found: Counter[str] = Counter()
+        for k in range(0, len(b), BLOCK):
+            for word, n in Counter(w for t in b["text"].iloc[k : k + BLOCK] for w in expressions(t)).items():
+                s = f"\x02{word}\x03"
+                for i in range(1, len(s)):
+                    found[s[max(0, i - SHARED) : i + 1]] += n
+        yield pd.DataFrame({"gram": list(found), "n": list(found.values())})
+
+
+def shared_counts(docs: DataFrame) -> list[dict[str, int]]:
+    """For lengths 1 to SHARED, how many different letters stand before each sequence in all documents."""
+    made = docs.select("text").where(F.col("text").isNotNull()).mapInPandas(short_grams, "gram string, n long")
+    grams = stored(made.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    out = []
+    for k in range(1, SHARED + 1):
+        wider = grams.where(F.length("gram") > k).select(F.substring("gram", -(k + 1), k + 1).alias("w")).distinct()
+        kinds = wider.groupBy(F.substring("w", 2, k).alias("gram")).agg(F.count("*").alias("n"))
+        # nothing can stand before a beginning: there its own number counts
+        begins = grams.where((F.length("gram") == k) & F.startswith("gram", F.lit("\x02")))
+        out.append({g: n for g, n in kinds.union(begins.select("gram", "n")).groupBy("gram").agg(F.sum("n")).collect()})
+    return out
+
+
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,19 +150,20 @@ def salted(keys: np.ndarray, k: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
 
 
-def levels(counts: dict[str, int], pooled: dict[str, int] | None) -> list[tuple[dict[str, float], dict[str, float]]]:
+def levels(counts: dict[str, int], shared: list[dict[str, int]]) -> list[tuple[dict[str, float], dict[str, float]]]:
     """Discounted probability of each gram and weight of what lies below each context, for lengths 1 to ORDER.
-    Short lengths come from ``pooled``."""
+    Short lengths come from ``shared``."""
     out = []
     for k in range(1, ORDER + 1):
-        of = counts if k > SHARED else pooled
         n: Counter[str] = Counter()
-        if k == ORDER:
-            n.update({g: c for g, c in of.items() if len(g) == ORDER})
+        if k <= SHARED:
+            n.update(shared[k - 1])
+        elif k == ORDER:
+            n.update({g: c for g, c in counts.items() if len(g) == ORDER})
         else:
-            seen = {g[-k - 1 :] for g in of if len(g) > k}
+            seen = {g[-k - 1 :] for g in counts if len(g) > k}
             n.update(g[1:] for g in seen)  # continuations: different letters before it
-            for g, c in of.items():
+            for g, c in counts.items():
                 if len(g) == k and g[0] == "\x02":  # nothing can stand before a beginning
                     n[g] += c
         total, kinds = Counter(), Counter()
@@ -152,11 +184,9 @@ class Model:
     weights: np.ndarray | None = None
 
     @classmethod
-    def of(cls, counts: pd.DataFrame) -> Model:
+    def of(cls, counts: pd.DataFrame, shared: list[dict[str, int]]) -> Model:
         by = [dict(zip(p["gram"], p["n"])) for p in (counts[counts["y"] == y] for y in (0, 1))]
-        pooled = Counter(by[0])
-        pooled.update(by[1])
-        made = [levels(c, pooled) for c in by]
+        made = [levels(c, shared) for c in by]
         tables = []
         for part, missing in ((0, 0.0), (1, 1.0)):
             keys, values = [], []
@@ -165,7 +195,7 @@ class Model:
                 keys.append(salted(_keys(names), k))
                 values.append(np.array([[m[k - 1][part].get(g, missing) for m in made] for g in names], np.float32).reshape(-1, 2))
             tables.append(Table(np.concatenate(keys), np.concatenate(values)))
-        return cls(*tables, len({g[-1] for g in pooled}) + 1)
+        return cls(*tables, len(shared[0]) + 1)
 
     def differences(self, words: list[str]) -> np.ndarray:
         """Of each word: toxic minus ordinary log-likelihood, over its length."""
@@ -201,7 +231,7 @@ class Model:
         texts = list(texts)
         for k in range(0, len(texts), BLOCK):
             block = [expressions(t) for t in texts[k : k + BLOCK]]
-            if len(known) > 400_000:
+            if len(known) > KEPT_WORDS:
                 known.clear()
             new = list(set().union(*block).difference(known))
             for j in range(0, len(new), 20_000):
@@ -230,8 +260,9 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> Model | None:
-    """The model for ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); both have only rows to learn from."""
+def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_docs: int = 4000) -> Model | None:
+    """The model for ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); both have only rows to learn from. ``corpus`` has
+    all texts, for the shared counts."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("y"))
     shares = dict(known.groupBy("y").count().collect())
     if set(shares) != {0, 1}:
@@ -244,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> Model | Non
     counts = sample.where("not hold").select("y", "text").mapInPandas(counted, "y int, gram string, n long").groupBy("y", "gram").agg(F.sum("n").alias("n")).toPandas()
     if set(counts["y"]) != {0, 1}:
         return None
-    model = Model.of(counts)
+    model = Model.of(counts, shared_counts(corpus))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,6 +317,6 @@ def held_out(key: str = "doc_id") -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame, max_docs: int = 4000) -> DataFrame:
     """doc_id, held_out, score and predicted of each row."""
     open_rows = ~F.coalesce(held_out(), F.lit(False))
-    model = fit(docs.where(open_rows), labels.where(open_rows), max_docs)
+    model = fit(docs.where(open_rows), labels.where(open_rows), docs, max_docs)
     out = scored(docs.select("doc_id", "text"), model)
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

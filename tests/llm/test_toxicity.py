@@ -37,6 +37,23 @@ def kneser_ney(counts, pooled, word, letters):
     return sum(math.log(chance(g, len(g))) for g in T.grams(word))
 
 
+def plain_shared(pooled):
+    """For lengths 1 to SHARED: different letters before each sequence; of a beginning, its number."""
+    out = []
+    for k in range(1, T.SHARED + 1):
+        n = Counter(g[1:] for g in {g[-k - 1 :] for g in pooled if len(g) > k})
+        n.update({g: c for g, c in pooled.items() if len(g) == k and g[0] == "\x02"})
+        out.append(dict(n))
+    return out
+
+
+def test_shared_counts_of_all_documents(spark):
+    texts = ["Calm walk, calm sea", None, "", "vile scum Walk", "a", "été 日本 x1y", "calm walk"]
+    pooled = Counter(g for t in texts for w in T.expressions(t) for g in T.grams(w))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert T.shared_counts(df) == plain_shared(pooled)
+
+
 def test_model_equals_plain_recursion():
     rnd = random.Random(2)
     words = [["".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 7))) for _ in range(40)] for _ in range(2)]
@@ -45,9 +62,9 @@ def test_model_equals_plain_recursion():
         c = Counter(g for w in words[y] for g in T.grams(w))
         by.append(dict(c))
         frames.append(pd.DataFrame({"y": y, "gram": list(c), "n": list(c.values())}))
-    model = T.Model.of(pd.concat(frames))
     pooled = Counter(by[0])
     pooled.update(by[1])
+    model = T.Model.of(pd.concat(frames), plain_shared(pooled))
     asked = words[0][:15] + words[1][:15]
     got = model.differences(asked)
     for w, d in zip(asked, got):
@@ -83,7 +100,7 @@ def test_edges(spark):
     assert {r.score for r in T.toxicity(df, marks.where("toxic = 0")).collect()} == {0.0}
     assert T.toxicity(df.limit(0), marks).count() == 0
     wide = df.selectExpr("*", "'k' as score", "array(doc_id) as extra")
-    open_rows = T.fit(df, marks)
+    open_rows = T.fit(df, marks, df)
     out = T.scored(wide, open_rows)
     assert out.columns == wide.columns and {type(r.score) for r in out.collect()} == {float}
 
