@@ -20,7 +20,7 @@ SHARE = (4, 5)
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold; learnt from labels of rows that are not held out."""
     open_rows = ~F.coalesce(toxicity.held_out(), F.lit(False))
-    model = toxicity.fit(docs.where(open_rows), read(spark, sf_dir, "labels").where(open_rows))
+    model = toxicity.fit(docs.where(open_rows), read(spark, sf_dir, "labels").where(open_rows), docs)
     at = toxicity.scored(docs.select("text", held(docs, "text").alias("row")), model)
     return at.where(F.col("score") < toxicity.THRESHOLD).select(*released(docs, "text"), "text").select(*docs.columns)
 
