@@ -8,7 +8,8 @@ is the MD5 of seed, epoch and id.
 
 The prefix needs no global order: tokens are summed in buckets of leading hash digits, only the bucket in
 which the budget runs out is ordered, and each leaf ends with one threshold hash that every row compares
-itself to. Only leaf-sized tables are joined to the rows.
+itself to. Only leaf-sized tables are joined to the rows: sent to all tasks up to MOST_LEAVES leaves, and beyond that joined
+by leaf and a part of the leaf's rows, so that no leaf has to fit into one task.
 
 Defined results: a null tree column is the node ''; a null or empty text has no tokens, counts as 0 and is
 picked with its neighbours in order; rows of equal id share their place and are picked together; a weight
@@ -26,6 +27,16 @@ from .tables import SPACE, held, in_order, released, stored
 
 ROWS_IN_BUCKET = 4096
 MAX_DIGITS = 7
+MOST_LEAVES, PARTS = 50_000, 64
+
+
+def by_leaf(rows: DataFrame, leaves: DataFrame, tree: Sequence[str], key: str) -> DataFrame:
+    """``rows`` joined to ``leaves`` (written before, one row for each leaf) by the tree's columns."""
+    if leaves.limit(MOST_LEAVES + 1).count() <= MOST_LEAVES:
+        return rows.join(F.broadcast(leaves), list(tree))
+    parts = leaves.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    part = F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+    return rows.withColumn("_part", part).join(parts, [*tree, "_part"]).drop("_part")
 
 
 def n_tokens(text: Column) -> Column:
@@ -88,18 +99,18 @@ def leaf_plan(slim: DataFrame, tree: Sequence[str], weights: dict[str, dict[str,
         "digits": F.least(F.lit(MAX_DIGITS), F.greatest(F.lit(1), F.ceil(F.log(16.0, F.col("rows") / F.lit(float(ROWS_IN_BUCKET)))))).cast("int"),
     })
     plan = stored(plan, "budgets")
-    keyed = slim.join(plan.where("rest > 0").select(*tree, "epochs", "rest", "digits"), tree).select(
+    keyed = by_leaf(slim, plan.where("rest > 0").select(*tree, "epochs", "rest", "digits"), tree, key).select(
         *tree, "n_tokens", "rest", order_key(key, F.col("epochs"), seed).alias("k"), "digits"
     ).withColumn("bucket", F.expr("substring(k, 1, digits)"))
     sums = keyed.groupBy(*tree, "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
     run = F.sum("n").over(Window.partitionBy(*tree).orderBy("bucket"))
     sums = sums.withColumn("end", run).withColumn("begin", F.col("end") - F.col("n"))
     edge = stored(sums.where("begin <= rest").groupBy(*tree).agg(F.max("bucket").alias("bucket"), F.max("begin").alias("begin"), F.max(F.when(F.col("end") <= F.col("rest"), F.col("bucket"))).alias("whole")), "edges")
-    inside = keyed.join(edge, [*tree, "bucket"]).withColumn("sofar", F.col("begin") + F.sum("n_tokens").over(Window.partitionBy(*tree).orderBy("k")))
+    inside = by_leaf(keyed, edge.withColumnRenamed("bucket", "last"), tree, "k").where("bucket = last").withColumn("sofar", F.col("begin") + F.sum("n_tokens").over(Window.partitionBy(*tree).orderBy("k")))
     within = inside.where("sofar <= rest").groupBy(*tree).agg(F.max("k").alias("within"))
     # every hash with a wholly taken prefix sorts below that prefix followed by 'g'
     marks = edge.select(*tree, "whole").join(within, tree, "left").select(*tree, F.coalesce("within", F.concat("whole", F.lit("g"))).alias("threshold"))
-    return plan.join(marks, tree, "left").select(*tree, "tokens", "budget", "epochs", "threshold")
+    return stored(plan.join(marks, tree, "left").select(*tree, "tokens", "budget", "epochs", "threshold"), "plan")
 
 
 def picked(docs: DataFrame, plan: DataFrame, tree: Sequence[str], seed: int, key: str) -> DataFrame:
@@ -108,6 +119,6 @@ def picked(docs: DataFrame, plan: DataFrame, tree: Sequence[str], seed: int, key
     tree = list(tree)
     at = docs.select(held(docs, "epoch").alias("_row"), F.col(key).alias("_key"), *[F.col(c) for c in tree])
     part = F.coalesce(order_key("_key", F.col("epochs"), seed) <= F.col("threshold"), F.lit(False))
-    at = at.join(plan.select(*tree, "epochs", "threshold"), tree).withColumn("times", (F.col("epochs") + part.cast("long")).cast("int"))
+    at = by_leaf(at, plan.select(*tree, "epochs", "threshold"), tree, "_key").withColumn("times", (F.col("epochs") + part.cast("long")).cast("int"))
     at = at.where("times > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
     return at.select(*released(docs, "epoch", row="_row"), "epoch").select(*in_order(docs, "epoch"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,11 +22,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where the session names none."""
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="siftline-"))
-    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    """The folder that the driver and all executors share. Where the session names none, one of this machine if the session
+    runs on it alone, as in tests."""
+    if named := spark.conf.get("spark.checkpoint.dir", ""):
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="siftline-")
+    return _LOCAL[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
