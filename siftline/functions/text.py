@@ -6,8 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACES = r"[ \t\n\r\f\x0b]+"
-TRACKING = r"^(utm_[a-z]+|gclid|fbclid|ref|source)(=|$)"
-LISTING_SEGMENTS = ("", "jobs", "careers", "search", "openings", "positions", "en", "de", "fr", "es")
+# Names of tracking parameters, path segments that name lists, and prefixes of platforms' ids.
+TRACKING = r"^(utm_.*|gh_src|lever-origin|ref|source)$"
+LISTING_SEGMENTS = (
+    "job", "jobs", "joblist", "joblistings", "job-list", "job-listings", "remote", "remote-job", "remote-jobs", "remotejobs", "career", "careers", "opening", "openings",
+    "position", "positions", "vacancy", "vacancies", "opportunity", "opportunities", "listing", "listings", "board", "boards", "search", "browse", "all",
+)
+PLATFORMS = {"greenhouse": "gh", "ashby": "ashby", "lever": "lever", "smartrecruiters": "sr", "amazon": "amazon", "apple": "apple", "meta": "meta"}
 LEGAL_SUFFIX = r"[ ,]+(inc|llc|ltd|gmbh|corp|corporation|company|co|plc|ag|sa)\.?$"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"\+?[0-9][0-9 ().-]{7,}[0-9]"
@@ -39,30 +44,54 @@ def strip_html(x: Column) -> Column:
     return F.trim(F.regexp_replace(bare, SPACES, " "))
 
 
-def canonical_url(url: Column) -> Column:
-    """Host in small letters, no fragment or tracking pairs, parameters sorted and distinct, no slash at the end."""
-    bare = F.regexp_replace(url, "#.*$", "")
-    scheme = F.lower(F.regexp_extract(bare, "^([a-zA-Z]+)://", 1))
-    host = F.lower(F.regexp_extract(bare, "^[a-zA-Z]+://([^/?]*)", 1))
-    path = F.regexp_replace(F.regexp_extract(bare, r"^[a-zA-Z]+://[^/?]*([^?]*)", 1), "/+$", "")
-    query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    pairs = F.array_sort(F.array_distinct(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING))))
-    joined = F.array_join(pairs, "&")
-    return F.concat(scheme, F.lit("://"), host, path, F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(""))
+def url_parts(url: Column) -> dict[str, Column]:
+    """scheme, host (with port), path and query of a URL without fragment and user; one without scheme takes https."""
+    bare = F.trim(url)
+    bare = F.when(F.contains(bare, F.lit("://")), bare).otherwise(F.concat(F.lit("https://"), bare))
+    bare = F.regexp_replace(bare, "#.*$", "")
+    part = lambda pattern: F.regexp_extract(bare, "^([a-zA-Z][a-zA-Z0-9+.-]*)://" + pattern, 2)
+    path = part("[^/?]*([^?]*)")
+    return {
+        "scheme": F.lower(F.regexp_extract(bare, "^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1)), "host": F.lower(part("(?:[^/?@]*@)?([^/?]*)")),
+        "path": F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", "")), "query": F.regexp_extract(bare, r"\?(.*)$", 1),
+    }
+
+
+def canonical_url(url: Column, distinct: bool = False) -> Column:
+    """Host in small letters, no fragment, user or tracking pairs, the other pairs in order of name and value, each as it is
+    written in a form, and once if ``distinct``; no slash at the end of a longer path. '' for an empty URL."""
+    parts = url_parts(url)
+    coded = lambda x: F.replace(F.replace(F.url_encode(F.coalesce(F.try_url_decode(x), x)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pairs = F.filter(F.split(parts["query"], "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).rlike(TRACKING))
+    named = F.transform(pairs, lambda p: F.struct(coded(F.substring_index(p, "=", 1)).alias("k"), coded(F.regexp_replace(p, "^[^=]*=?", "")).alias("v")))
+    named = F.array_distinct(named) if distinct else named
+    joined = F.array_join(F.transform(F.sort_array(named), lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
+    whole = F.concat(parts["scheme"], F.lit("://"), parts["host"], parts["path"], F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise(""))
+    return F.when(F.trim(F.coalesce(url, F.lit(""))) == "", "").otherwise(whole)
 
 
 def is_listing_url(url: Column) -> Column:
     """No query and no path segment beyond the generic ones: a list of postings, not a posting."""
-    path = F.regexp_extract(F.regexp_replace(url, "#.*$", ""), r"^[a-zA-Z]+://[^/?]*([^?]*)", 1)
-    own = F.filter(F.split(path, "/"), lambda s: ~F.lower(s).isin(*LISTING_SEGMENTS))
-    return ~F.contains(url, F.lit("?")) & (F.size(own) == 0)
-
-
-def identity_key(url: Column, title: Column) -> Column:
-    """By url where there is one, else by content."""
-    return F.when(
-        F.coalesce(url, F.lit("")) != "", F.concat(F.lit("url-"), F.substring(F.sha2(canonical_url(url), 256), 1, 12))
-    ).otherwise(F.concat(F.lit("content-"), F.substring(content_hash(title), 1, 12)))
+    canonical = canonical_url(url)
+    own = F.filter(F.split(F.regexp_extract(canonical, "^[^:]*://[^/?]*([^?]*)", 1), "/"), lambda s: (s != "") & ~F.lower(s).isin(*LISTING_SEGMENTS))
+    return ~F.contains(canonical, F.lit("?")) & (F.size(own) == 0)
+
+
+def identity_key(url: Column, title: Column, company: Column | None = None, location: Column | None = None, source: Column | None = None, native: Column | None = None) -> Column:
+    """By the source's own id where it has one, else by a URL that names one posting, else by content."""
+    none = F.lit("")
+    spaced = lambda x: F.regexp_replace(F.lower(F.trim(F.coalesce(x, none))), SPACES, " ")
+    company, location = (none if x is None else x for x in (company, location))
+    basis = F.concat_ws("|", spaced(company), spaced(title), spaced(location))
+    key = F.when((canonical_url(url) != "") & ~is_listing_url(url), F.concat(F.lit("url-"), F.substring(F.sha2(canonical_url(url), 256), 1, 12)))
+    key = key.otherwise(F.concat(F.lit("ck-"), F.substring(F.sha2(basis, 256), 1, 12)))
+    if source is None or native is None:
+        return key
+    prefix = F.lit(None).cast("string")
+    for name, short in PLATFORMS.items():
+        prefix = F.when(source == name, short).otherwise(prefix)
+    prefix = F.when(source == "workday", F.concat(F.lit("wd-"), F.coalesce(F.nullif(slugify(company), none), F.lit("unknown")))).otherwise(prefix)
+    return F.when(prefix.isNotNull() & (F.coalesce(native, none) != ""), F.concat(prefix, F.lit("-"), slugify(native))).otherwise(key)
 
 
 def slugify(x: Column) -> Column:
@@ -104,9 +133,15 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def repeated_lines(x: Column, least: int = 24, times: int = 3) -> Column:
     """Number of different lines of at least ``least`` letters that occur ``times`` times."""
-    lines = F.array_sort(F.filter(F.transform(F.split(x, "\n"), F.trim), lambda s: F.length(s) >= least))
-    # in a sorted array the first of a run has no equal before it and its times-th one after it
-    return F.size(F.filter(F.transform(lines, lambda s, i: (F.get(lines, i - 1).isNull() | (F.get(lines, i - 1) != s)) & F.coalesce(F.get(lines, i + times - 1) == s, F.lit(False))), lambda b: b))
+    lines = F.sort_array(F.filter(F.transform(F.split(x, "\n"), F.trim), lambda s: F.length(s) >= least))
+    # one pass over the sorted lines: the line before, how often it has come so far, and lines that came often enough
+    start = F.struct(F.lit("").alias("line"), F.lit(0).alias("run"), F.lit(0).alias("found"))
+
+    def step(at: Column, line: Column) -> Column:
+        run = F.when(at["line"] == line, at["run"] + 1).otherwise(1)
+        return F.struct(line.alias("line"), run.alias("run"), (at["found"] + F.when(run == times, 1).otherwise(0)).alias("found"))
+
+    return F.aggregate(lines, start, step, lambda at: at["found"])
 
 
 def gibberish_tokens(x: Column, least: int = 6) -> Column:

@@ -51,7 +51,10 @@ def tiling(df: DataFrame, by: str, begin: str, finish: str, rank: str) -> DataFr
     """Elementary segments between all bounds, each with the least rank that covers it (null: none)."""
     bounds = df.select(by, F.col(begin).alias("t")).union(df.select(by, F.col(finish).alias("t"))).distinct()
     segments = bounds.withColumn("t2", F.lead("t").over(Window.partitionBy(by).orderBy("t"))).where("t2 is not null")
-    claims = df.select(by, F.col(begin).alias("s"), F.col(finish).alias("e"), F.col(rank).alias("rank"))
-    met = segments.join(claims, by).where((F.col("s") <= F.col("t")) & (F.col("e") >= F.col("t2")))
-    best = met.groupBy(by, "t", "t2").agg(F.min("rank").alias("rank"))
-    return segments.join(best, [by, "t", "t2"], "left")
+    # open claims of each rank at each bound, by running sums: ranks are few, claims may be many
+    steps = df.select(by, F.col(begin).alias("t"), F.lit(1).alias("step"), rank).union(df.select(by, F.col(finish), F.lit(-1), rank)).groupBy(by, "t", rank).agg(F.sum("step").alias("step"))
+    levels = df.select(by, rank).distinct()
+    open_at = segments.join(levels, by).join(steps, [by, "t", rank], "left")
+    running = F.sum(F.coalesce("step", F.lit(0))).over(Window.partitionBy(by, rank).orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    best = open_at.withColumn("_open", running).groupBy(by, "t", "t2").agg(F.min(F.when(F.col("_open") > 0, F.col(rank))).alias("rank"))
+    return best

@@ -78,12 +78,14 @@ def band_envelope(spark, d):
 ORDER = ("error", "purchase", "signup", "click", "view")
 
 
-@query("SELECT user_id, ['error', 'purchase', 'signup', 'click', 'view'][min(list_position(['error', 'purchase', 'signup', 'click', 'view'], event_type))] AS status FROM events GROUP BY user_id")
+@query("SELECT user_id, coalesce(['error', 'purchase', 'signup', 'click', 'view'][min(CASE WHEN value IS NOT NULL AND event_id % 4 <> 0 THEN list_position(['error', 'purchase', 'signup', 'click', 'view'], event_type) END)], 'none') AS status FROM events GROUP BY user_id")
 def precedence_rollup(spark, d):
-    """The first status, in order of precedence, that any row of the entity has."""
+    """The first status, in order of precedence, that any settled row of the entity has; none without one."""
     names = F.array(*map(F.lit, ORDER))
-    place = F.min(F.array_position(names, F.col("event_type"))).alias("p")
-    return table(spark, d, "events").groupBy("user_id").agg(place).select("user_id", F.element_at(names, F.col("p").cast("int")).alias("status"))
+    settled = F.col("value").isNotNull() & (F.col("event_id") % 4 != 0)
+    place = F.min(F.when(settled, F.array_position(names, F.col("event_type")))).alias("p")
+    status = F.coalesce(F.when(F.col("p").isNotNull(), F.element_at(names, F.col("p").cast("int"))), F.lit("none"))
+    return table(spark, d, "events").groupBy("user_id").agg(place).select("user_id", status.alias("status"))
 
 
 @query("""SELECT count(*) AS n, count_if(c_custkey IS NOT NULL) AS keyed, count_if(c_name IS NULL OR c_name NOT LIKE 'Customer#%') AS malformed, count_if(o.k IS NULL) AS unresolved FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON k = c_custkey""")

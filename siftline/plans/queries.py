@@ -163,26 +163,28 @@ def page_text(spark, d):
     return at.select("page_id", F.md5("t").alias("h"), F.length("t").cast("long").alias("n"))
 
 
-URL_SQL = f"""WITH b AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
-c AS (SELECT page_id, lower(regexp_extract(u, '^([a-zA-Z]+)://', 1)) AS s, lower(regexp_extract(u, '^[a-zA-Z]+://([^/?]*)', 1)) AS h,
- regexp_extract(u, '^[a-zA-Z]+://[^/?]*([^?]*)', 1) AS p, regexp_extract(u, '\\?(.*)$', 1) AS q, contains(u, '?') AS has FROM b),
-e AS (SELECT *, array_to_string(list_sort(list_distinct(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{T.TRACKING}')))), '&') AS j FROM c)"""
+CODED = "replace(replace(url_encode(url_decode(replace({0}, '+', ' '))), '%20', '+'), '*', '%2A')"
+URL_SQL = f"""WITH a AS (SELECT page_id, regexp_replace(CASE WHEN contains(url, '://') THEN trim(url) ELSE 'https://' || trim(url) END, '#.*$', '') AS u FROM pages),
+c AS (SELECT page_id, lower(regexp_extract(u, '^([^:]+)://', 1)) || '://' || lower(regexp_extract(u, '^[^:]+://(?:[^/?@]*@)?([^/?]*)', 1)) AS h, regexp_extract(u, '^[^:]+://[^/?]*([^?]*)', 1) AS p,
+ list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(string_split(x, '=')[1]), '{T.TRACKING}')) AS pairs FROM a),
+d AS (SELECT page_id, h, CASE WHEN p = '/' THEN p ELSE regexp_replace(p, '/+$', '') END AS p, list_sort(list_transform(pairs, lambda x: {{'k': {CODED.format("string_split(x, '=')[1]")}, 'v': {CODED.format("regexp_replace(x, '^[^=]*=?', '')")}}})) AS l FROM c),
+e AS (SELECT page_id, p, len(l) > 0 AS has, h || p || CASE WHEN len(l) > 0 THEN '?' || array_to_string(list_transform(l, lambda x: x.k || '=' || x.v), '&') ELSE '' END AS url FROM d)"""
 
 
-@query(URL_SQL + " SELECT page_id, s || '://' || h || regexp_replace(p, '/+$', '') || CASE WHEN j <> '' THEN '?' || j ELSE '' END AS url FROM e")
+@query(URL_SQL + " SELECT page_id, url FROM e")
 def page_url_canonical(spark, d):
     return table(spark, d, "pages").select("page_id", T.canonical_url(F.col("url")).alias("url"))
 
 
-SEGMENTS = ", ".join(f"'{s}'" for s in T.LISTING_SEGMENTS)
+LISTING_SQL = "(NOT has AND len(list_filter(string_split(p, '/'), lambda x: x <> '' AND lower(x) NOT IN (" + ", ".join(f"'{s}'" for s in T.LISTING_SEGMENTS) + "))) = 0)"
 
 
-@query(URL_SQL + f" SELECT page_id, (NOT has AND len(list_filter(string_split(p, '/'), lambda x: lower(x) NOT IN ({SEGMENTS}))) = 0) AS listing FROM e")
+@query(URL_SQL + f" SELECT page_id, {LISTING_SQL} AS listing FROM e")
 def page_url_is_listing(spark, d):
     return table(spark, d, "pages").select("page_id", T.is_listing_url(F.col("url")).alias("listing"))
 
 
-@query(URL_SQL + ", k AS (SELECT page_id, 'url-' || substring(sha256(s || '://' || h || regexp_replace(p, '/+$', '') || CASE WHEN j <> '' THEN '?' || j ELSE '' END), 1, 12) AS key FROM e) SELECT key, count(*) AS n FROM k GROUP BY key")
+@query(URL_SQL + f", k AS (SELECT CASE WHEN {LISTING_SQL} THEN 'ck-' || substring(sha256('||'), 1, 12) ELSE 'url-' || substring(sha256(url), 1, 12) END AS key FROM e) SELECT key, count(*) AS n FROM k GROUP BY key")
 def page_identity_keys(spark, d):
     key = T.identity_key(F.col("url"), F.lit(""))
     return table(spark, d, "pages").groupBy(key.alias("key")).agg(F.count("*").alias("n"))
@@ -428,9 +430,11 @@ def incremental_equals_full(spark, d):
     return folds.incremental(index_of(log), log, delta, "user_id", index_of)
 
 
-@query("SELECT event_id, user_id FROM (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p > ts")
+@query(f"SELECT event_id, user_id FROM (SELECT event_id, user_id, b, lag(b) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN t - 864000 ELSE t END AS b FROM {EV})) WHERE p > b")
 def clock_regressions(spark, d):
-    return folds.clock_regressions(table(spark, d, "events"), "user_id", "event_id", "ts").select("event_id", "user_id")
+    """Every fifth event is from a clock that is ten days late."""
+    late = F.when(F.col("event_id") % 5 == 0, F.col("t") - 864000).otherwise(F.col("t"))
+    return folds.clock_regressions(timed(spark, d).withColumn("at", late), "user_id", "event_id", "at").select("event_id", "user_id")
 
 
 @query("SELECT user_id, max(event_id) - min(event_id) + 1 - count(DISTINCT event_id) AS gaps FROM events GROUP BY user_id")

@@ -13,7 +13,7 @@ def read(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFr
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.regexp_replace("value", r"[^\n]*\z", "").alias("value"))
     lines = whole.select("_file", F.explode(F.split("value", "\n")).alias("line")).where(F.trim("line") != "")
     names = [c.name for c in spark.createDataFrame([], schema).schema]
-    good = F.is_variant_null(F.try_parse_json("line")).isNotNull()
+    good = F.try_parse_json("line").isNotNull()
     parsed = lines.withColumn("r", F.from_json("line", schema))
     return parsed.where(good).select("_file", *[f"r.{n}" for n in names]), lines.where(~good)
 

@@ -17,23 +17,35 @@ from siftline.operators import folds
 
 
 class FoldedLog:
-    def __init__(self, spark: SparkSession, folder: str, key: str, fold: Callable[[DataFrame], DataFrame]):
-        self.spark, self.folder, self.key, self.fold = spark, folder, key, fold
-        self.generation = -1
+    """``folder`` holds the log (by batch and key bucket), a generation of entities for each batch, and the ledger of whole
+    generations, which a restart reads."""
 
-    def log(self, before: int | None = None) -> DataFrame:
+    def __init__(self, spark: SparkSession, folder: str, key: str, fold: Callable[[DataFrame], DataFrame], buckets: int = 32):
+        self.spark, self.folder, self.key, self.fold, self.buckets = spark, folder, key, fold, buckets
+        spark.createDataFrame([], "generation long").write.mode("ignore").parquet(f"{folder}/ledger")
+
+    def generation(self, before: int = 1 << 62) -> int | None:
+        """The newest whole generation."""
+        ledger = self.spark.read.schema("generation long").parquet(f"{self.folder}/ledger")
+        return ledger.where(F.col("generation") < before).agg(F.max("generation")).first()[0]
+
+    def log(self, buckets: list[int], before: int) -> DataFrame:
+        """Rows of earlier batches in some buckets: files of others are not opened."""
         rows = self.spark.read.option("basePath", f"{self.folder}/log").parquet(f"{self.folder}/log")
-        return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
+        return rows.where((F.col("batch") < before) & F.col("bucket").isin(buckets)).drop("batch", "bucket")
 
-    def entities(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/entities/{self.generation}")
+    def entities(self, generation: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/entities/{self.generation() if generation is None else generation}")
 
     def take(self, batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.folder}/log/batch={number}")
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/log/batch={number}")
         delta = self.spark.read.parquet(f"{self.folder}/log/batch={number}")
-        made = self.fold(delta) if number == 0 else folds.incremental(self.spark.read.parquet(f"{self.folder}/entities/{number - 1}"), self.log(number), delta, self.key, self.fold)
+        touched = [r[0] for r in delta.select("bucket").distinct().collect()]  # at most ``buckets``
+        old, delta = self.generation(number), delta.drop("bucket")
+        made = self.fold(delta) if old is None else folds.incremental(self.entities(old), self.log(touched, number), delta, self.key, self.fold)
         made.write.mode("overwrite").parquet(f"{self.folder}/entities/{number}")
-        self.generation = number
+        self.spark.createDataFrame([(number,)], "generation long").write.mode("append").parquet(f"{self.folder}/ledger")
 
     def run(self, source: DataFrame) -> None:
         """Takes in what there is now, and ends."""

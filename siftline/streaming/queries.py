@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,19 +14,25 @@ from siftline.streaming.fold import FoldedLog
 
 
 def stream_fold(spark: SparkSession, d: str) -> DataFrame:
-    """entity_index by foreachBatch: each batch refolds the keys it touches, late rows included."""
-    shared = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="siftline-")
-    log = FoldedLog(spark, f"{shared.rstrip('/')}/fold-{uuid.uuid4().hex}", "user_id", index_of)
-    events = spark.read.parquet(f"{d}/events.parquet")
+    """entity_index by foreachBatch over a source that comes in several batches, each with rows that are late for what the
+    batches before it brought: a batch refolds the keys it touches."""
+    folder = f"{shared_dir(spark)}/fold-{uuid.uuid4().hex}"
     at = F.date_trunc("second", F.col("ts").cast("timestamp"))
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else f"{d}/event[s].parquet")
-    log.run(source.select("event_id", "user_id", "event_type", "value", seconds(at).alias("t")))
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value", seconds(at).alias("t"))
+    events.withColumn("part", F.col("event_id") % 3).write.partitionBy("part").parquet(f"{folder}/source")
+    log = FoldedLog(spark, folder, "user_id", index_of)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/source/part=*")
+    log.run(source)
     return log.entities()
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder of this machine if the session runs on it alone."""
+    if named := spark.conf.get("spark.checkpoint.dir", ""):
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="siftline-")
 
 
 STREAMS = {"stream_fold": stream_fold}
