@@ -52,16 +52,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_hashes(text: str | None, size: int, known: dict[bytes, int]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; ``known`` keeps word hashes between texts."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.empty(0, np.uint64)
-    if len(known) > 500_000:
-        known.clear()
-    for w in set(found).difference(known):
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     n = max(1, len(h) - size + 1)
     x = np.full(n, len(h) if len(h) < size else size, np.uint64)
     for k in range(min(size, len(h))):
@@ -97,9 +93,8 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
 
 def _signed(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
         for b in batches:
-            sets = [shingle_hashes(t, size, known) for t in b["text"]]
+            sets = [shingle_hashes(t, size) for t in b["text"]]
             yield pd.DataFrame({
                 "doc_id": b["doc_id"],
                 "n_shingles": [len(s) for s in sets],
@@ -120,10 +115,9 @@ def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _shingles(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
         for b in batches:
             for doc, t in zip(b["doc_id"], b["text"]):
-                h = shingle_hashes(t, size, known)
+                h = shingle_hashes(t, size)
                 own = xxhash.xxh3_64_intdigest(h.tobytes(), doc & (2**64 - 1))
                 yield pd.DataFrame({"set": np.full(len(h), own, np.uint64).view(np.int64), "id": np.full(len(h), doc, np.int64), "n": np.full(len(h), len(h), np.int64), "h": h.view(np.int64)})
 
@@ -132,9 +126,8 @@ def _shingles(size: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
         for b in batches:
-            yield pd.DataFrame({"id": b["doc_id"], "s": [shingle_hashes(t, size, known).view(np.int64) for t in b["text"]]})
+            yield pd.DataFrame({"id": b["doc_id"], "s": [shingle_hashes(t, size).view(np.int64) for t in b["text"]]})
 
     return run
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .tables import map_frames, stored
 
 ANCHORS, DEEPEST, SWEEPS, ROUNDS = 48, 8, 60, 8
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 #: Words of these letters, of digits and of ASCII punctuation but the apostrophe; their pieces; \x01 stands between words.
 PLAIN = re.compile(rf"[{LETTERS}0-9{MARKS}]+")
