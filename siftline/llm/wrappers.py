@@ -49,6 +49,7 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar sidenav cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus replies footer masthead topbar toolbar pagination pager widget widgets skip copyright".split())
 MAIN = ("article", "main")
+WHOLE = frozenset(("html", "body", *MAIN))
 
 
 @dataclass
@@ -67,7 +68,8 @@ def signature(name: str, attributes: str) -> tuple[str, bool]:
             if key in ("class", "id"):
                 if not sign and value.split():
                     sign = ("." if key == "class" else "#") + re.sub(r"\d+|[\s()+?|/<>!]", "N", value.split()[0])
-                left_out |= any(w.lower() in NAMES for w in WORD.findall(value))
+                # a page or an article named after its sidebar or comments is none
+                left_out |= name not in WHOLE and any(w.lower() in NAMES for w in WORD.findall(value))
             elif key == "role":
                 left_out |= value.lower() in ROLES
             else:
