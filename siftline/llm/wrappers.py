@@ -1,20 +1,23 @@
 """Main text of pages by wrappers: union-free regular expressions inferred from the pages of a host.
 
-Each page is read as a stream of block tags and text slots; a slot is named by its path, in which elements that the
-markup names as navigation, header, footer, sidebar, advert, form, comment and the like are marked. Tandem repeats in a
-stream fold into repeated groups, so that pages which differ in the number of their paragraphs or links have one form. The
+Each page is read as a stream of block tags and texts. A text's place is named by its path, in which elements that the
+markup names as navigation, header, footer, sidebar, advert, form, comment and the like are marked. Texts that agree between
+the host's pages are tokens of the template: those outside of articles that stand on at least LEAST_PAGES pages of different
+text and on more than half of the pages that have the path. Where texts disagree there is a slot (#path). Tandem repeats in
+a stream fold into repeated groups, so that pages which differ in the number of their paragraphs or links have one form. The
 distinct forms of a host are aligned one after another: where they disagree, one or more copies of a group become the
 repeated group, and what is in one alone becomes optional. The outcome is one expression for each host, and each of its
 slots gets its role there: article (within article or main elements), body (the others, unless most of the slot's
 letters on the host's pages are links), or none (marked elements). A page's text is what its tokens put in article slots;
-if there is nothing, what they put in body slots.
+if there is nothing, what they put in body slots. Template texts are in no slot.
 
-Forms and slot statistics are grouped sums. A host's distinct forms are aligned in salted groups of about PER_GROUP,
-then the groups' expressions in the same way until one is left; so no task holds all forms of a host.
+Agreements, forms and slot statistics are grouped sums; a host has fewer template texts than twice the blocks of a mean page
+for each path. A host's distinct forms are aligned in salted groups of about PER_GROUP, then the groups' expressions in the
+same way until one is left; so no task holds all forms of a host.
 
 Defined results: a null or empty html has an empty text; a null url or one without a host shares the host ''; rows of equal
-page_id each get a result; an unfinished tag or script runs to the end of the page; an empty table gives an empty
-result; further columns are ignored.
+page_id each get a result; pages of equal text count as one page for the template; an unfinished tag or script runs to the
+end of the page; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,15 +29,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .tables import map_frames, stored
 
-LONGEST_GROUP = 16
 DEEPEST = 256  # elements around a slot; those further in belong to the last of these
 PER_GROUP = 32
+LEAST_PAGES = 3  # of different text, before what they share is template
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|[^>]*>)|<[!?/][^>]*>", re.S)
 OPEN_END = re.compile(r"<[a-zA-Z/!?][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?(?=[\s/>]|\Z)""", re.I)
@@ -59,6 +63,10 @@ class Block:
     linked: int  # letters in links
 
 
+def number(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\n".join(parts).encode("utf-8", "surrogatepass")) - 2**63
+
+
 def signature(name: str, attributes: str) -> tuple[str, bool]:
     """Name of an element in a form, and whether it is no main text."""
     left_out, sign = name in LEFT_OUT, ""
@@ -77,8 +85,9 @@ def signature(name: str, attributes: str) -> tuple[str, bool]:
     return name + sign, left_out
 
 
-def parse(page: str | None) -> tuple[list[Block], list[str]]:
-    """Blocks of text in page order, and the stream of tokens: <name>, </name> and #path."""
+def parse(page: str | None, template: frozenset[int] = frozenset()) -> tuple[list[Block], list[str]]:
+    """Blocks of text outside of the template in page order, and the stream of tokens: <name>, </name>, #path, and =number for a
+    text of the template."""
     page = page or ""
     stack: list[tuple[str, str, bool, str]] = []  # name, signature, in main, path
     blocks: list[Block] = []
@@ -101,8 +110,11 @@ def parse(page: str | None) -> tuple[list[Block], list[str]]:
             held.clear()
             if text:
                 path = stack[-1][3] if stack else "/"
-                blocks.append(Block(path, text, min(linked, len(text))))
-                tokens.append(f"#{path}")
+                if template and (known := number(path, text)) in template:
+                    tokens.append(f"={known}")
+                else:
+                    blocks.append(Block(path, text, min(linked, len(text))))
+                    tokens.append(f"#{path}")
         linked = 0
 
     def close(name: str, stop: frozenset = frozenset()) -> None:
@@ -181,33 +193,36 @@ TABLES = frozenset(["table"])
 
 
 def fold(nodes: list[str]) -> list[str]:
-    """Tandem repeats as repeated groups, short groups first, until nothing folds."""
-    nodes = list(nodes)
-    size = 1
-    while size <= min(LONGEST_GROUP, len(nodes) // 2):
-        out, i, folded = [], 0, False
-        while i < len(nodes):
-            body = nodes[i : i + size]
-            n = 1
-            # only bodies that may repeat and are whole elements are compared on
-            if i + size < len(nodes) and nodes[i + size] == body[0] and balanced(body):
-                while nodes[i + n * size : i + (n + 1) * size] == body:
-                    n += 1
-            if n > 1:
-                out.append(body[0] if size == 1 and body[0].endswith(")+") else group(body, "+"))
-                i += n * size
+    """Tandem repeats as repeated groups, until nothing folds. A repeat of any length is sought where its first node comes next."""
+    folded = True
+    while folded:
+        out, i, folded, n = [], 0, False, len(nodes)
+        ahead, last = [0] * n, {}
+        for k in range(n - 1, -1, -1):
+            ahead[k] = last.get(nodes[k], 0)
+            last[nodes[k]] = k
+        while i < n:
+            size, copies = max(0, ahead[i] - i), 1
+            # only whole elements whose copy would end alike are compared on
+            if size and i + 2 * size <= n and nodes[i + size - 1] == nodes[i + 2 * size - 1] and balanced(nodes, i, i + size):
+                body = nodes[i : i + size]
+                while nodes[i + copies * size : i + (copies + 1) * size] == body:
+                    copies += 1
+            if copies > 1:
+                out.append(body[0] if size == 1 and body[0].endswith(")+") else group(fold(body), "+"))
+                i += copies * size
                 folded = True
             else:
                 out.append(nodes[i])
                 i += 1
         nodes = out
-        size = 1 if folded and size > 1 else size + 1
     return nodes
 
 
-def balanced(body: list[str]) -> bool:
+def balanced(nodes: list[str], start: int, end: int) -> bool:
     depth = 0
-    for x in body:
+    for k in range(start, end):
+        x = nodes[k]
         depth += (x[0] == "<" and x[1] != "/") - x.startswith("</")
         if depth < 0:
             return False
@@ -279,11 +294,37 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out: set[tuple] = set()
+        for h, page in zip(b["host"], b["html"]):
+            blocks, _ = parse(page)
+            seen = {(x.path, x.text) for x in blocks if "!" not in x.path and not ARTICLE.search(x.path)}
+            if seen:
+                whole = number(*(x.text for x in blocks))
+                out |= {(h, number(path), number(path, text), whole) for path, text in seen}
+        yield pd.DataFrame(list(out), columns=["host", "path", "text", "page"])
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host, template: numbers of the texts, with their paths, that its pages agree in."""
+    read = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(_agreeing, "host string, path long, text long, page long")
+    read = stored(read.distinct(), "texts")
+    texts = read.groupBy("host", "path", "text").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    paths = read.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("pages"))
+    shared = texts.join(paths, ["host", "path"]).where("2 * n > pages")
+    return stored(shared.groupBy("host").agg(F.collect_list("text").alias("template")), "templates")
+
+
+def numbers(template: list[int] | None) -> frozenset[int]:
+    return frozenset(() if template is None else template)
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out: dict[tuple, list[int]] = {}
-        for h, page in zip(b["host"], b["html"]):
-            blocks, tokens = parse(page)
+        for h, page, template in zip(b["host"], b["html"], b["template"]):
+            blocks, tokens = parse(page, numbers(template))
             for key, n, m in [(("form", " ".join(fold(tokens))), 1, 0), *((("slot", x.path), len(x.text), x.linked) for x in blocks)]:
                 kept = out.setdefault((h, *key), [0, 0])
                 kept[0] += n
@@ -310,8 +351,10 @@ def expressions(forms: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (its expression), article and body (paths of its slots by role)."""
-    read = pages.select(host(F.col("url")).alias("host"), "html").mapInPandas(_read, "host string, kind string, value string, n long, linked long")
+    """host, wrapper (its expression), article and body (paths of its slots by role), template (numbers of its constant texts)."""
+    agreed = templates(pages)
+    read = pages.select(host(F.col("url")).alias("host"), "html").join(agreed, "host", "left")
+    read = read.mapInPandas(_read, "host string, kind string, value string, n long, linked long")
     found = stored(read.groupBy("host", "kind", "value").agg(F.sum("n").alias("n"), F.sum("linked").alias("linked")), "forms")
     made = expressions(found.where("kind = 'form'").select("host", F.col("value").alias("form"), "n"))
     slots = made.select("host", F.explode(F.array_distinct(F.regexp_extract_all("form", F.lit(SLOT), 1))).alias("path")).where(~F.contains("path", F.lit("!")))
@@ -320,16 +363,17 @@ def wrappers(pages: DataFrame) -> DataFrame:
     # links in an article are part of it; elsewhere slots that are mostly links are not
     roles = slots.join(dense, ["host", "path"], "left").withColumn("role", F.when(main, "article").when(F.col("dense").isNull(), "body"))
     roles = roles.groupBy("host").agg(*[F.collect_list(F.when(F.col("role") == r, F.col("path"))).alias(r) for r in ("article", "body")])
-    return made.select("host", F.col("form").alias("wrapper")).join(roles, "host", "left")
+    return made.select("host", F.col("form").alias("wrapper")).join(roles, "host", "left").join(agreed, "host", "left")
 
 
 #: A slot in an expression, and a path through an article.
 SLOT = r"#(/[^ |()?+]*)"
 IN_MAIN = rf"/({'|'.join(MAIN)})([.#][^/]*)?(/|$)"
+ARTICLE = re.compile(IN_MAIN)
 
 
-def main_text(page: str | None, article: set[str], body: set[str]) -> str:
-    blocks, _ = parse(page)
+def main_text(page: str | None, article: set[str], body: set[str], template: frozenset[int] = frozenset()) -> str:
+    blocks, _ = parse(page, template)
     found = [b.text for b in blocks if b.path in article] or [b.text for b in blocks if b.path in body]
     return "\n".join(found)
 
@@ -337,7 +381,7 @@ def main_text(page: str | None, article: set[str], body: set[str]) -> str:
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         roles = ([set(() if r is None else r) for r in b[name]] for name in ("article", "body"))
-        texts = [main_text(*x) for x in zip(b["html"], *roles)]
+        texts = [main_text(*x) for x in zip(b["html"], *roles, map(numbers, b["template"]))]
         yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts], "host": b["host"]})
 
 
@@ -347,5 +391,5 @@ def extract(pages: DataFrame) -> DataFrame:
     made = stored(wrappers(pages), "wrappers")
     at = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     return map_frames(
-        at.join(made.select("host", "article", "body"), "host", "left"), _texts, f"page_id {kind}, url string, text string, n_chars long, host string"
+        at.join(made.select("host", "article", "body", "template"), "host", "left"), _texts, f"page_id {kind}, url string, text string, n_chars long, host string"
     )

@@ -57,6 +57,37 @@ def test_more_forms_than_a_group_holds(spark, monkeypatch):
     assert {r.page_id: r.text for r in W.extract(df).collect()} == dict(enumerate(want))
 
 
+def test_long_repeats_fold():
+    row = "<section>" + "".join(f"<h{k % 6 + 1}>a</h{k % 6 + 1}><div><p>x</div>" for k in range(12)) + "</section>"
+    once, more = (W.fold(W.parse(f"<body>{row * n}</body>")[1]) for n in (2, 5))
+    assert once == more and len(once) == 3
+
+
+def test_template_texts_in_plain_elements(spark):
+    """No article, no telling names: only texts that differ between a host's pages are data."""
+    rnd = random.Random(7)
+    rows, want = [], {}
+    for i in range(60):
+        paragraphs = [f"paragraph {i} {k} of the story" for k in range(rnd.randrange(1, 5))]
+        offer = "<section>Offers of the week</section>" if rnd.random() < 0.4 else ""
+        more = "".join(f"<p>{p}</p>" for p in paragraphs)
+        page = f"<body><div>The Daily brings you the world</div><div>Story {i}</div>{more}{offer}<div>Call our office</div></body>"
+        rows.append((i, "http://x.example/", page))
+        want[i] = "\n".join([f"Story {i}", *paragraphs])
+    # two pages are too few, and copies count once
+    rows += [(100 + i, "http://two.example/", f"<div>Hello</div><div>text {i}</div>") for i in range(2)]
+    want |= {100 + i: f"Hello\ntext {i}" for i in range(2)}
+    rows += [(200 + i, "http://copies.example/", "<div>Hello</div><div>same</div>") for i in range(20)]
+    want |= {200 + i: "Hello\nsame" for i in range(20)}
+    # an article keeps its texts, shared or not
+    rows += [(300 + i, "http://art.example/", f"<div>Hello</div><article><h1>News</h1><p>{i}</p></article>") for i in range(9)]
+    want |= {300 + i: f"News\n{i}" for i in range(9)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in W.extract(df).collect()} == want
+    made = {r.host: r.wrapper for r in W.wrappers(df).collect()}
+    assert "=" in made["x.example"] and ")+" in made["x.example"] and ")?" in made["x.example"]
+
+
 def test_edges(spark):
     rows = [
         (1, None, None), (2, "no host", ""), (3, "http://a.example/", "just words"), (4, "http://a.example/", "<p>a<p>b"), (5, "http://a.example/", "<script>x"),
