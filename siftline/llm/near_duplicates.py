@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from .components import components
-from .tables import map_frames, stored
+from .tables import lean, map_frames, stored
 
 CHUNKS, WIDTH = 26, 5
 SYMBOLS = CHUNKS * WIDTH
@@ -142,7 +142,7 @@ def distance(a: pd.Series, b: pd.Series) -> pd.Series:
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough. Only texts named in a pair are moved."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(_sets(size), "id long, s array<long>")
+    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInPandas(lean(_sets(size)), "id long, s array<long>")
     both = F.size(F.array_intersect("s", "t"))
     of_a, of_b = sets.select(F.col("id").alias("a"), "s"), sets.select(F.col("id").alias("b"), F.col("s").alias("t"))
     return pairs.join(of_a, "a").join(of_b, "b").where(100 * both >= percent * (F.size("s") + F.size("t") - both)).select("a", "b")
@@ -152,7 +152,7 @@ def prefix_pairs(docs: DataFrame, own: DataFrame, size: int, percent: int) -> Da
     """Pairs (a, b) of ``own`` (id, c: its component) in different components whose sets may be similar enough by size and by the
     places of a common shingle, rarest first. All similar pairs are among them."""
     left = docs.select("doc_id", "text").join(own.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    shingles = stored(left.mapInPandas(_shingles(size), "set long, id long, n long, h long"), "shingles")
+    shingles = stored(left.mapInPandas(lean(_shingles(size)), "set long, id long, n long, h long"), "shingles")
     # shingles of one set alone make no pair, but stand first in it
     counts = stored(shingles.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "counts")
     by_set, order = Window.partitionBy("set"), Window.partitionBy("set").orderBy("df", "h")
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = stored(known.join(first, "class").where("doc_id = id").select("id", F.col("n_shingles").alias("n"), "sig"), "classes")
     # one exchange by key: buckets of more than one id
     bucket = Window.partitionBy("key")
-    keys = classes.mapInPandas(_keyed, "key long, id long, n long")
+    keys = classes.mapInPandas(lean(_keyed), "key long, id long, n long")
     keys = keys.withColumns({"lo": F.min("id").over(bucket), "hi": F.max("id").over(bucket), "size": F.count("*").over(bucket)})
     members = stored(keys.where("lo < hi").select("key", "id", "n", "size"), "members")
     labels, links = None, None

@@ -183,6 +183,7 @@ def _tokenized(path: str, window: int, end: int):
                     ranks[rest] += 1
                     full += n // window
                 yield pd.DataFrame(out, columns=["doc_id", "ids", "n", "rest", "part", "rank", "full"])
+        vocabulary.cache_clear()  # the worker stays
 
     return run
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -19,14 +21,17 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows in this session, where it leaves Spark's 10,000: a batch of whole texts has to fit
-    into each Python worker, beside the executor's heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Arrow batches of at most BATCH_ROWS rows, and no more once they have BATCH_BYTES, in this session, where it leaves Spark's own
+    bounds: a batch of whole texts has to fit into each Python worker, beside the executor's heap."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
+        if size not in spark.conf.getAll:
+            spark.conf.set(size, str(BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +67,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """What this Python worker has freed goes back to the machine: the worker stays, idle or with tasks of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``f`` over the batches of a task, after which the worker gives back what it held."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def map_frames(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """As ``mapInPandas``, but whole numbers stay whole where a column has nulls, too: large ids are not rounded."""
     out = to_arrow_schema(StructType.fromDDL(schema))
@@ -71,7 +96,7 @@ def map_frames(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.
         for made in f(b.to_pandas(types_mapper=kinds.get) for b in batches):
             yield pa.RecordBatch.from_pandas(made, schema=out, preserve_index=False)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def words(text: Column) -> Column:

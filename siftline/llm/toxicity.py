@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .tables import stored
+from .tables import give_back, lean, stored
 
 ORDER, SHARED, DISCOUNT = 5, 2, 0.75
 TOP = 3
@@ -82,7 +82,7 @@ def short_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def shared_counts(docs: DataFrame) -> list[dict[str, int]]:
     """For lengths 1 to SHARED, how many different letters stand before each sequence in all documents."""
-    made = docs.select("text").where(F.col("text").isNotNull()).mapInPandas(short_grams, "gram string, n long")
+    made = docs.select("text").where(F.col("text").isNotNull()).mapInPandas(lean(short_grams), "gram string, n long")
     grams = stored(made.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     out = []
     for k in range(1, SHARED + 1):
@@ -272,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_docs: int = 4
     chosen = [known.where(F.col("y") == y).orderBy(h, "doc_id").limit(max_docs) for y in (0, 1)]
     ids = chosen[0].union(chosen[1])
     sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").withColumn("hold", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(3)) == 0)
-    counts = sample.where("not hold").select("y", "text").mapInPandas(counted, "y int, gram string, n long").groupBy("y", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.where("not hold").select("y", "text").mapInPandas(lean(counted), "y int, gram string, n long").groupBy("y", "gram").agg(F.sum("n").alias("n")).toPandas()
     if set(counts["y"]) != {0, 1}:
         return None
     model = Model.of(counts, shared_counts(corpus))
@@ -284,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_docs: int = 4
             x = sent.value.features(b["text"], seen)
             yield pd.DataFrame({"y": b["y"], "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]})
 
-    held = sample.where("hold").select("y", "text").mapInPandas(measure, "y int, a double, b double, c double").toPandas()
+    held = sample.where("hold").select("y", "text").mapInPandas(lean(measure), "y int, a double, b double, c double").toPandas()
     y = held["y"].to_numpy()
     if len(set(y)) < 2:
         return None
@@ -303,8 +303,12 @@ def scored(docs: DataFrame, model: Model | None, text: str = "text", name: str =
     @F.pandas_udf(DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         seen: dict[str, float] = {}
-        for texts in batches:
-            yield pd.Series(sent.value.probability(sent.value.features(texts, seen)))
+        try:
+            for texts in batches:
+                yield pd.Series(sent.value.probability(sent.value.features(texts, seen)))
+        finally:
+            seen.clear()
+            give_back()
 
     return docs.withColumn(name, score(F.col(text)))
 
