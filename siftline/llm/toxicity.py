@@ -37,7 +37,7 @@ from .tables import give_back, lean, stored
 
 ORDER, SHARED, DISCOUNT = 5, 2, 0.75
 TOP = 3
-KEPT_WORDS = 100_000  # differences that a task remembers
+KEPT_WORDS = 300_000  # differences that a task remembers
 BLOCK = 256  # texts whose new expressions are scored at once
 LONGEST = 40  # letters of an expression that one look-up holds; longer ones are scored in pieces
 EXPRESSION = re.compile(r"[^\W\d_]+")
