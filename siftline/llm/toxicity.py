@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,9 @@ from .tables import give_back, lean, stored
 
 ORDER, SHARED, DISCOUNT = 5, 2, 0.75
 TOP = 3
-KEPT_WORDS = 300_000  # differences that a task remembers
+HEADS = [itemgetter(slice(i)) for i in range(1, SHARED)]  # the first letters of a word, for sequences that begin one
+KEPT_WORDS = 300_000  # expressions, or their differences, that a task remembers
+KEPT_GRAMS = 500_000  # short letter sequences that a task remembers
 BLOCK = 256  # texts whose new expressions are scored at once
 LONGEST = 40  # letters of an expression that one look-up holds; longer ones are scored in pieces
 EXPRESSION = re.compile(r"[^\W\d_]+")
@@ -69,15 +72,34 @@ def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def short_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(gram, n) of each batch of (text), of at most SHARED + 1 letters."""
+    """(gram, n) of each batch of (text): all sequences of SHARED + 1 letters or, at a word's beginning, fewer. Those of which the
+    number counts, that begin a word and are shorter, come with how often; the others once for each task that has them."""
+    known: set[str] = set()
+    told: set[str] = set()
     for b in batches:
-        found: Counter[str] = Counter()
+        begins: list[Counter[str]] = [Counter() for _ in HEADS]
+        found: set[str] = set()
         for k in range(0, len(b), BLOCK):
-            for word, n in Counter(w for t in b["text"].iloc[k : k + BLOCK] for w in expressions(t)).items():
+            new: set[str] = set()
+            for t in b["text"].iloc[k : k + BLOCK]:
+                words = expressions(t)
+                for head, heads in zip(HEADS, begins):
+                    heads.update(map(head, words))
+                new.update(words)
+            new -= known
+            for word in new:
                 s = f"\x02{word}\x03"
-                for i in range(1, len(s)):
-                    found[s[max(0, i - SHARED) : i + 1]] += n
-        yield pd.DataFrame({"gram": list(found), "n": list(found.values())})
+                found.update([s[i - SHARED : i + 1] for i in range(SHARED, len(s))])
+            if len(known) > KEPT_WORDS:
+                known.clear()
+            known |= new
+        if len(told) > KEPT_GRAMS:
+            told.clear()
+        found -= told
+        told |= found
+        # a word of i - 1 letters ends its sequence of i; of a shorter one there is none
+        first = [(f"\x02{w}" if len(w) == i else f"\x02{w}\x03", n) for i, heads in enumerate(begins, 1) for w, n in heads.items() if len(w) >= i - 1]
+        yield pd.DataFrame([*first, *((g, 0) for g in found)], columns=["gram", "n"])
 
 
 def shared_counts(docs: DataFrame) -> list[dict[str, int]]:
