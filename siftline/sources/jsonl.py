@@ -3,8 +3,9 @@ not parse are reported."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 
 def read(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -18,11 +19,48 @@ def read(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFr
     return parsed.where(good).select("_file", *[f"r.{n}" for n in names]), lines.where(~good)
 
 
+def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows; a line that ends and does not parse fails the job that reads it. A torn last line is left out, as in ``read``."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.regexp_replace("value", r"[^\n]*\z", "").alias("value"))
+    lines = whole.select("_file", F.explode(F.split("value", "\n")).alias("line")).where(F.trim("line") != "")
+    bad = F.raise_error(F.concat(F.lit("damaged line in "), "_file", F.lit(": "), F.substring("line", 1, 80))).cast("string")
+    checked = F.when(F.try_parse_json("line").isNotNull(), F.col("line")).otherwise(bad)
+    return lines.select("_file", F.from_json(checked, schema).alias("r")).select("_file", "r.*")
+
+
+def read_index(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and damaged lines of files that may begin with a header, a line with a ``_schema`` of its own."""
+    rows, damaged = read(spark, path, f"_schema string, {schema}")
+    return rows.where("_schema is null").drop("_schema"), damaged
+
+
+def repaired(spark: SparkSession, path: str) -> DataFrame:
+    """The whole lines of a log, to be written as its next generation: torn tails are gone, nothing else is."""
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"[^\n]*\z", "").alias("value"))
+    return whole.select(F.explode(F.split("value", "\n")).alias("value")).where(F.trim("value") != "")
+
+
 def append(df: DataFrame, path: str) -> None:
-    """New files beside the old; a task's file appears as a whole or not at all."""
+    """New files beside the old; a task's file appears as a whole or not at all, so no later write meets a torn tail."""
     df.write.mode("append").json(path)
 
 
+def in_name_order(x: Column, kind: DataType) -> Column:
+    """``x`` with the fields of its structs and the keys of its maps in order, at all depths; a number that JSON cannot write fails."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(x.isNotNull(), F.struct(*[in_name_order(x[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(x, lambda e: in_name_order(e, kind.elementType))
+    if isinstance(kind, MapType):
+        at = F.map_from_entries(F.array_sort(F.map_entries(x)))
+        return F.transform_values(at, lambda _, v: in_name_order(v, kind.valueType))
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.raise_error(F.lit("not a JSON number")).cast(kind)).otherwise(x)
+    return x
+
+
 def canonical(df: DataFrame) -> DataFrame:
-    """Each row as JSON with its fields in order of name."""
-    return df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+    """Each row as JSON with its fields in order of name, those of nested structs and maps too; nulls are written."""
+    row = F.struct(*[in_name_order(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)])
+    return df.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("value"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +36,46 @@ def read_manifests(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return at.where("_damaged is null and fetch_id is not null").drop("_damaged"), at.where("_damaged is not null or fetch_id is null").select("_file", "_damaged")
 
 
+def _plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Contents of files as they were before they were compressed; null where a file is no whole frame."""
+    import zstandard
+
+    reader = zstandard.ZstdDecompressor()
+
+    def opened(path: str, content: bytes) -> bytes | None:
+        if not path.endswith(".zst"):
+            return content
+        try:
+            return reader.decompressobj().decompress(content)
+        except zstandard.ZstdError:
+            return None
+
+    for b in batches:
+        yield b.assign(content=[opened(p, c) for p, c in zip(b["path"], b["content"])])
+
+
 def blobs(spark: SparkSession, folder: str) -> DataFrame:
-    """hash (the file's name), content and state (present or corrupt) of stored payloads."""
-    at = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    """hash (the file's name: that of the bytes before they were compressed), content and state (present or corrupt) of stored payloads."""
+    at = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content").mapInPandas(_plain, "path string, content binary")
     name = F.regexp_extract(F.col("path"), r"([0-9a-f]{64})[^/]*$", 1)
-    return at.select(name.alias("hash"), "content", F.when(F.sha2("content", 256) == name, "present").otherwise("corrupt").alias("state"))
+    whole = F.coalesce(F.sha2("content", 256) == name, F.lit(False))
+    return at.select(name.alias("hash"), F.when(whole, F.col("content")).alias("content"), F.when(whole, "present").otherwise("corrupt").alias("state"))
+
+
+def blob_states(named: DataFrame, found: DataFrame, pruned: DataFrame) -> DataFrame:
+    """State of each hash that ``named`` has (column hash): that of its file, pruned if retention took it away, or else not-synced.
+    ``found`` has hash and state, ``pruned`` hash."""
+    at = named.select("hash").where("hash is not null").distinct()
+    states = found.groupBy("hash").agg(F.max("state").alias("state"))  # present, if any copy is
+    gone = pruned.select("hash", F.lit(True).alias("gone")).distinct()
+    out = at.join(states, "hash", "left").join(gone, "hash", "left")
+    return out.select("hash", F.coalesce("state", F.when(F.col("gone"), "pruned"), F.lit("not-synced")).alias("state"))
+
+
+def new_blobs(payloads: DataFrame, stored: DataFrame, content: str = "content") -> DataFrame:
+    """hash and content of payloads that ``stored`` (column hash) does not have, each once: bytes that are known write nothing."""
+    at = payloads.where(F.col(content).isNotNull()).select(F.sha2(F.col(content).cast("binary"), 256).alias("hash"), F.col(content).alias("content"))
+    return at.join(stored.select("hash"), "hash", "left_anti").groupBy("hash").agg(F.first("content").alias("content"))
 
 
 def missing(manifests: DataFrame, found: DataFrame) -> DataFrame:
@@ -53,20 +89,48 @@ def parse(payloads: DataFrame, source: str = "source", body: str = "body") -> Da
     apart by value, so a payload is parsed once, as a variant."""
     at = payloads.withColumn("_v", F.try_parse_json(body))
 
-    def field(item: Column, paths: dict[str, str]) -> Column:
-        return F.struct(*[F.try_variant_get(item, p, "string").alias(n) for n, p in paths.items()])
+    def fields(paths: dict[str, str]) -> Callable[[Column], Column]:
+        return lambda item: F.struct(*[F.try_variant_get(item, p, "string").alias(n) for n, p in paths.items()])
 
     rows = F.array().cast("array<struct<native_id:string,title:string,url:string,location:string,posted_at:string,description:string>>")
     for name, (path, paths) in SHAPES.items():
         items = F.expr(f"try_variant_get(_v, '{path}', 'array<variant>')")
-        rows = F.when(F.col(source) == name, F.transform(items, lambda x, p=paths: field(x, p))).otherwise(rows)
+        rows = F.when(F.col(source) == name, F.transform(items, fields(paths))).otherwise(rows)
     out = at.withColumn("_rows", rows).select(*payloads.columns, F.posexplode("_rows").alias("position", "_row")).select(*payloads.columns, "position", "_row.*")
     return out.drop(body)
 
 
-def write_partitioned(df: DataFrame, path: str, by: str) -> None:
-    """Buckets by a column; only the buckets in ``df`` are replaced."""
+def write_partitioned(df: DataFrame, path: str, by: str, touched: DataFrame | None = None) -> None:
+    """Buckets by a column of plain values; only the buckets in ``df`` are replaced. Buckets that ``touched`` (column ``by``) names and
+    that have no row any more lose their folder."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    if touched is not None:
+        spark = df.sparkSession
+        for r in touched.select(by).distinct().join(df.select(by), by, "left_anti").toLocalIterator():
+            at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={r[0]}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def violations(rows: DataFrame, key: str, rules: Mapping[str, Column]) -> DataFrame:
+    """(key, rule) for each rule that a row breaks; a rule that is null for a row is broken."""
+    broken = F.array(*[F.when(F.coalesce(holds, F.lit(False)), None).otherwise(F.lit(name)) for name, holds in rules.items()])
+    return rows.select(key, F.explode(F.array_compact(broken)).alias("rule"))
+
+
+def imported(rows: DataFrame, key: str, rules: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows that keep all rules, and (key, rule) of what the others break: one bad row does not stop an import."""
+    keep = F.lit(True)
+    for holds in rules.values():
+        keep = keep & F.coalesce(holds, F.lit(False))
+    return rows.where(keep), violations(rows, key, rules)
+
+
+def read_folders(spark: SparkSession, root: str, schema: str, items: str) -> DataFrame:
+    """A row for each entry of the array ``items`` of JSON documents that lie in folders by status (root/status/name/file.json), with
+    ``status`` and ``document`` from the folders; a document without entries gives none."""
+    at = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    return at.select(F.element_at(parts, -3).alias("status"), F.element_at(parts, -2).alias("document"), "*").withColumn("_item", F.explode(items)).drop(items).select("*", "_item.*").drop("_item")
 
 
 def durable_index(new: DataFrame, old: DataFrame, gone: DataFrame, key: str) -> DataFrame:
