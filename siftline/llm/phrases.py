@@ -38,13 +38,12 @@ TOP = 2000
 COVERED = 50
 
 
-def names(max_n: int) -> list[str]:
-    return [f"w{k}" for k in range(1, max_n + 1)]
+#: Between the words of a suffix, of which all have max_n: suffixes that begin alike then stand together in byte order.
+TAB = "\t"
 
 
 def suffixes(docs: DataFrame, max_n: int, held_words: int = HELD_WORDS) -> DataFrame:
-    """(w1 .. w<max_n>, lang, n): suffixes and how often a task saw them; words past the end of a piece are empty."""
-    columns = names(max_n)
+    """(suffix, lang, n): suffixes and how often a task saw them; words past the end of a piece are empty."""
 
     def batch(lang: str, t: np.ndarray, ids: Ids, words: pa.Array) -> pa.RecordBatch:
         """``t``: numbers of words; those of the last max_n - 1 only follow others."""
@@ -55,8 +54,8 @@ def suffixes(docs: DataFrame, max_n: int, held_words: int = HELD_WORDS) -> DataF
         begins = parts[0] != mark
         parts = [p[begins] for p in parts]
         first, count = counted(parts, [len(ids)] * max_n)
-        out = [words.take(pa.array(p[first])) for p in parts]
-        return pa.RecordBatch.from_arrays([*out, pa.array([lang] * len(first), pa.string()), pa.array(count, pa.int64())], [*columns, "lang", "n"])
+        suffix = pc.binary_join_element_wise(*[words.take(pa.array(p[first])) for p in parts], TAB)
+        return pa.RecordBatch.from_arrays([suffix, pa.array([lang] * len(first), pa.string()), pa.array(count, pa.int64())], ["suffix", "lang", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, pending, held = Ids(), {}, 0
@@ -88,65 +87,60 @@ def suffixes(docs: DataFrame, max_n: int, held_words: int = HELD_WORDS) -> DataF
         yield from flush(True)
 
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return texts.mapInArrow(lean(run), ", ".join([*(f"{c} string" for c in columns), "lang string", "n long"]))
+    return texts.mapInArrow(lean(run), "suffix string, lang string, n long")
 
 
 def prefix_counts(dealt: DataFrame, max_n: int, least: int) -> DataFrame:
     """(lang, phrase, size, n) for all prefixes of sorted suffixes: single words as far as a task has them, longer ones
     whole and only from ``least`` occurrences on."""
-    order = ["w1", "lang", *names(max_n)[1:]]
-
-    def phrases(b: pa.RecordBatch, rows: np.ndarray, sums: np.ndarray, size: int) -> pa.RecordBatch | None:
-        last = b.column(f"w{size}").take(pa.array(rows))
-        fit = np.asarray(pc.not_equal(last, ""), bool) & ((sums >= least) | (size == 1))
-        rows = pa.array(rows[fit])
-        if not len(rows):
-            return None
-        parts = [b.column(f"w{k}").take(rows) for k in range(1, size + 1)]
-        phrase = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
-        return pa.RecordBatch.from_arrays([b.column("lang").take(rows), phrase, pa.array(np.full(len(rows), size, np.int32)), pa.array(sums[fit])], ["lang", "phrase", "size", "n"])
+
+    def phrases(lang: pa.Array, words: list[pa.Array], rows: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        """The first words of the given rows, as many as ``words`` has, and their sums."""
+        size = len(words)
+        parts = [w.take(pa.array(rows)) for w in words]
+        fit = pa.array(np.asarray(pc.not_equal(parts[-1], ""), bool) & ((sums >= least) | (size == 1)))
+        phrase = pc.binary_join_element_wise(*parts, " ").filter(fit)
+        return pa.RecordBatch.from_arrays([lang.take(pa.array(rows)).filter(fit), phrase, pa.array(np.full(len(phrase), size, np.int32)), pa.array(sums).filter(fit)], ["lang", "phrase", "size", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, stack = None, [0] * max_n  # the row above, and the occurrences so far of its prefixes
         for b in batches:
             if not b.num_rows:
                 continue
-            n = b.column("n").to_numpy()
-            with_top = pa.Table.from_batches(([top] if top is not None else []) + [b]).combine_chunks().to_batches()[0]
-            offset = with_top.num_rows - b.num_rows
+            n, above = b.column("n").to_numpy(), int(top is not None)
+            at = pa.Table.from_batches([top, b] if above else [b]).combine_chunks()
+            lang, flat = at.column("lang").combine_chunks(), pc.split_pattern(at.column("suffix").combine_chunks(), TAB).flatten()
+            words = [flat.take(pa.array(np.arange(k, len(flat), max_n))) for k in range(max_n)]
             new = np.zeros(b.num_rows, bool)  # the row opens a new prefix of this size
-            new[0] = not offset
+            new[0] = not above
             for size in range(1, max_n + 1):
-                for c in order[: size + 1] if size == 1 else [order[size]]:
-                    v = with_top.column(c)
-                    new[1 - offset :] |= np.asarray(pc.not_equal(v.slice(1), v.slice(0, len(v) - 1)), bool)
+                for v in [lang] * (size == 1) + [words[size - 1]]:
+                    new[1 - above :] |= np.asarray(pc.not_equal(v.slice(1), v.slice(0, len(v) - 1)), bool)
                 starts = np.flatnonzero(new)
                 if not len(starts):
                     stack[size - 1] += int(n.sum())
                     continue
                 sums = np.add.reduceat(n, starts)
-                closed, rows = sums[:-1], starts[:-1] + offset
-                if offset:
+                closed, rows = sums[:-1], starts[:-1] + above
+                if above:
                     closed, rows = np.append(stack[size - 1] + int(n[: starts[0]].sum()), closed), np.append(0, rows)
-                made = phrases(with_top, rows, closed, size) if len(rows) else None
-                if made is not None:
-                    yield made
+                if len(rows):
+                    yield phrases(lang, words[:size], rows, closed)
                 stack[size - 1] = int(sums[-1])
             top = b.slice(b.num_rows - 1)
         if top is not None:
+            words = [pa.array([w]) for w in top.column("suffix")[0].as_py().split(TAB)]
             for size in range(1, max_n + 1):
-                made = phrases(top, np.array([0]), np.array(stack[size - 1 : size]), size)
-                if made is not None:
-                    yield made
+                yield phrases(top.column("lang"), words[:size], np.array([0]), np.array(stack[size - 1 : size]))
 
-    return dealt.select(*order, "n").mapInArrow(lean(run), "lang string, phrase string, size int, n long")
+    return dealt.mapInArrow(lean(run), "lang string, phrase string, size int, n long")
 
 
 def phrase_counts(docs: DataFrame, max_n: int, least: int) -> DataFrame:
     """(lang, phrase, size, n), written: all words, and all phrases of up to ``max_n`` words that occur ``least`` times."""
     found = suffixes(docs, max_n)
-    part = F.pmod(F.xxhash64("w2"), F.lit(PARTS)) if max_n > 1 else F.lit(0)
-    dealt = found.repartition("lang", "w1", part).sortWithinPartitions(*[F.desc(c) for c in ("w1", "lang", *names(max_n)[1:])])
+    first, second = F.substring_index("suffix", TAB, 1), F.substring_index("suffix", TAB, 2)
+    dealt = found.repartition("lang", first, F.pmod(F.xxhash64(second), F.lit(PARTS))).sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
     return stored(prefix_counts(dealt, max_n, least).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")), "phrases")
 
 
