@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import lean, stored
-from .term_ids import Ids, combined, counted, slices
+from .term_ids import Ids, combined, slices
 
 #: A term is a run of ASCII letters, of which A-Z are lower-cased, and of all that is not ASCII; other bytes become blanks.
 BYTES = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -60,8 +60,7 @@ def term_counts(docs: DataFrame, held_words: int = HELD_WORDS) -> DataFrame:
                 for part in slices(text.translate(BYTES), b" "):
                     t = ids.of(part.split())
                     if len(t):
-                        first, n = counted([t], [len(ids)])
-                        found.append(np.stack([t[first], n]))
+                        found.append(np.stack(np.unique(t, return_counts=True)))
                 terms, n = np.concatenate(found, axis=1)
                 if len(found) > 2:  # slices of one document share terms
                     distinct, at = np.unique(terms, return_inverse=True)

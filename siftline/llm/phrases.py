@@ -42,8 +42,17 @@ COVERED = 50
 TAB = "\t"
 
 
+def escaped(lang: str) -> str:
+    return lang.replace("%", "%25").replace(TAB, "%09")
+
+
+def plain(lang: pa.Array) -> pa.Array:
+    return pc.replace_substring(pc.replace_substring(lang, "%09", TAB), "%25", "%")
+
+
 def suffixes(docs: DataFrame, max_n: int, held_words: int = HELD_WORDS) -> DataFrame:
-    """(suffix, lang, n): suffixes and how often a task saw them; words past the end of a piece are empty."""
+    """(suffix, n): suffixes and how often a task saw them, as first word, language and further words, those past the end of a
+    piece empty."""
 
     def batch(lang: str, t: np.ndarray, ids: Ids, words: pa.Array) -> pa.RecordBatch:
         """``t``: numbers of words; those of the last max_n - 1 only follow others."""
@@ -53,9 +62,9 @@ def suffixes(docs: DataFrame, max_n: int, held_words: int = HELD_WORDS) -> DataF
             parts.append(np.where(parts[-1] == mark, mark, t[k : n + k]))
         begins = parts[0] != mark
         parts = [p[begins] for p in parts]
-        first, count = counted(parts, [len(ids)] * max_n)
-        suffix = pc.binary_join_element_wise(*[words.take(pa.array(p[first])) for p in parts], TAB)
-        return pa.RecordBatch.from_arrays([suffix, pa.array([lang] * len(first), pa.string()), pa.array(count, pa.int64())], ["suffix", "lang", "n"])
+        parts, count = counted(parts, [len(ids)] * max_n)
+        first, *others = [words.take(pa.array(p)) for p in parts]
+        return pa.RecordBatch.from_arrays([pc.binary_join_element_wise(first, escaped(lang), *others, TAB), pa.array(count, pa.int64())], ["suffix", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, pending, held = Ids(), {}, 0
@@ -87,7 +96,7 @@ def suffixes(docs: DataFrame, max_n: int, held_words: int = HELD_WORDS) -> DataF
         yield from flush(True)
 
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return texts.mapInArrow(lean(run), "suffix string, lang string, n long")
+    return texts.mapInArrow(lean(run), "suffix string, n long")
 
 
 def prefix_counts(dealt: DataFrame, max_n: int, least: int) -> DataFrame:
@@ -100,7 +109,7 @@ def prefix_counts(dealt: DataFrame, max_n: int, least: int) -> DataFrame:
         parts = [w.take(pa.array(rows)) for w in words]
         fit = pa.array(np.asarray(pc.not_equal(parts[-1], ""), bool) & ((sums >= least) | (size == 1)))
         phrase = pc.binary_join_element_wise(*parts, " ").filter(fit)
-        return pa.RecordBatch.from_arrays([lang.take(pa.array(rows)).filter(fit), phrase, pa.array(np.full(len(phrase), size, np.int32)), pa.array(sums).filter(fit)], ["lang", "phrase", "size", "n"])
+        return pa.RecordBatch.from_arrays([plain(lang.take(pa.array(rows)).filter(fit)), phrase, pa.array(np.full(len(phrase), size, np.int32)), pa.array(sums).filter(fit)], ["lang", "phrase", "size", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, stack = None, [0] * max_n  # the row above, and the occurrences so far of its prefixes
@@ -109,8 +118,9 @@ def prefix_counts(dealt: DataFrame, max_n: int, least: int) -> DataFrame:
                 continue
             n, above = b.column("n").to_numpy(), int(top is not None)
             at = pa.Table.from_batches([top, b] if above else [b]).combine_chunks()
-            lang, flat = at.column("lang").combine_chunks(), pc.split_pattern(at.column("suffix").combine_chunks(), TAB).flatten()
-            words = [flat.take(pa.array(np.arange(k, len(flat), max_n))) for k in range(max_n)]
+            flat = pc.split_pattern(at.column("suffix").combine_chunks(), TAB).flatten()
+            first, lang, *others = [flat.take(pa.array(np.arange(k, len(flat), max_n + 1))) for k in range(max_n + 1)]
+            words = [first, *others]
             new = np.zeros(b.num_rows, bool)  # the row opens a new prefix of this size
             new[0] = not above
             for size in range(1, max_n + 1):
@@ -129,9 +139,10 @@ def prefix_counts(dealt: DataFrame, max_n: int, least: int) -> DataFrame:
                 stack[size - 1] = int(sums[-1])
             top = b.slice(b.num_rows - 1)
         if top is not None:
-            words = [pa.array([w]) for w in top.column("suffix")[0].as_py().split(TAB)]
+            first, lang, *others = [pa.array([w]) for w in top.column("suffix")[0].as_py().split(TAB)]
+            words = [first, *others]
             for size in range(1, max_n + 1):
-                yield phrases(top.column("lang"), words[:size], np.array([0]), np.array(stack[size - 1 : size]))
+                yield phrases(lang, words[:size], np.array([0]), np.array(stack[size - 1 : size]))
 
     return dealt.mapInArrow(lean(run), "lang string, phrase string, size int, n long")
 
@@ -139,8 +150,8 @@ def prefix_counts(dealt: DataFrame, max_n: int, least: int) -> DataFrame:
 def phrase_counts(docs: DataFrame, max_n: int, least: int) -> DataFrame:
     """(lang, phrase, size, n), written: all words, and all phrases of up to ``max_n`` words that occur ``least`` times."""
     found = suffixes(docs, max_n)
-    first, second = F.substring_index("suffix", TAB, 1), F.substring_index("suffix", TAB, 2)
-    dealt = found.repartition("lang", first, F.pmod(F.xxhash64(second), F.lit(PARTS))).sortWithinPartitions(F.desc("lang"), F.desc("suffix"))
+    first, second = F.substring_index("suffix", TAB, 2), F.substring_index("suffix", TAB, 3)
+    dealt = found.repartition(first, F.pmod(F.xxhash64(second), F.lit(PARTS))).sortWithinPartitions(F.desc("suffix"))
     return stored(prefix_counts(dealt, max_n, least).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")), "phrases")
 
 

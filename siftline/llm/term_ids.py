@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -53,7 +54,16 @@ def combined(columns: Sequence[np.ndarray], sizes: Sequence[int]) -> np.ndarray:
     return code
 
 
-def counted(columns: Sequence[np.ndarray], sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each combination's first appearance, how often it appears)."""
-    _, first, n = np.unique(combined(columns, sizes), return_index=True, return_counts=True)
-    return first, n
+def counted(columns: Sequence[np.ndarray], sizes: Sequence[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the columns of all distinct combinations, how often each appears)."""
+    sizes = [max(1, n) for n in sizes]
+    if math.prod(sizes) >= 1 << 62:
+        _, first, n = np.unique(combined(columns, sizes), return_index=True, return_counts=True)
+        return [c[first] for c in columns], n
+    code = np.sort(combined(columns, sizes))  # plain sorting and division cost less than the places of first appearance
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    code, n, out = code[starts], np.diff(np.append(starts, len(code))), []
+    for size in reversed(sizes):
+        out.append(code % size)
+        code //= size
+    return out[::-1], n
