@@ -8,10 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DENIAL = r"(no|not|cannot|unable to|without|never)( be| offer| provide| able to)*( visa)? sponsor(ship|ed|ing)?|not (eligible|available) for (visa )?sponsorship|must be authorized to work .* without"
-OFFER = r"(visa )?sponsorship (is )?(available|offered|provided)|we (do |will )?(offer|provide|sponsor)( visa| h-1b)?|will sponsor|h-1b (transfer|sponsor)"
-HEDGE = r"(may|might|could|case.by.case|consider)[a-z ]* sponsor"
-EXPORT = r"export control|itar|security clearance"
 FOREIGN = r"(^|[^a-z])(london|berlin|paris|toronto|canada|india|germany|france|united kingdom|uk)($|[^a-z])"
 US = r"(^|[^a-z])(usa|us|united states|new york|seattle|austin|boston|san francisco)($|[^a-z])"
 REMOTE = r"(^|[^a-z])(remote|work from home|anywhere)($|[^a-z])"
@@ -27,18 +23,6 @@ LEVELS = (("principal", r"(^|[^a-z])(principal|distinguished|fellow)($|[^a-z])")
 MAIL = (("offer", r"(pleased to offer|offer letter)"), ("rejection", r"(unfortunately|not moving forward|other candidates)"), ("interview", r"(schedule|interview|phone screen)"), ("received", r"(received your application|thank you for applying)"))
 
 
-def sponsorship(text: Column) -> Column:
-    """yes, no or unclear. A denial with an offer beside it is unclear, as are hedged offers and export control."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    denied, hedged, offered = t.rlike(DENIAL), t.rlike(HEDGE), t.rlike(OFFER)
-    return F.when(denied & (offered | hedged), "unclear").when(denied & ~t.rlike(EXPORT), "no").when(hedged, "unclear").when(offered & ~denied, "yes").otherwise("unclear")
-
-
-def sponsorship_decision(text: Column) -> Column:
-    label = sponsorship(text)
-    return F.when(label == "yes", "match").when(label == "no", "no_match").otherwise("review")
-
-
 def workplace(location: Column, text: Column) -> Column:
     """remote, hybrid, onsite or unknown; words that contradict each other leave it unknown."""
     a, t = F.lower(F.coalesce(location, F.lit(""))), F.lower(F.coalesce(text, F.lit("")))

@@ -556,11 +556,6 @@ def m(x: str, pattern: str) -> str:
     return f"regexp_matches({x}, '{pattern}')"
 
 
-@query(PP + f", l AS (SELECT p_partkey, CASE WHEN {m('t', C.DENIAL)} AND ({m('t', C.OFFER)} OR {m('t', C.HEDGE)}) THEN 'unclear' WHEN {m('t', C.DENIAL)} AND NOT {m('t', C.EXPORT)} THEN 'no' WHEN {m('t', C.HEDGE)} THEN 'unclear' WHEN {m('t', C.OFFER)} AND NOT {m('t', C.DENIAL)} THEN 'yes' ELSE 'unclear' END AS visa FROM p) SELECT p_partkey, visa, CASE visa WHEN 'yes' THEN 'match' WHEN 'no' THEN 'no_match' ELSE 'review' END AS decision FROM l")
-def classify_sponsorship(spark, d):
-    return postings(spark, d).select("p_partkey", C.sponsorship(F.col("t")).alias("visa"), C.sponsorship_decision(F.col("t")).alias("decision"))
-
-
 @query(PP + f"""SELECT p_partkey, CASE WHEN ({m('t', C.ONSITE)} AND ({m('t', C.REMOTE)} OR {m('a', C.REMOTE)})) OR ({m('t', C.HYBRID)} AND {m('t', C.REMOTE)}) OR ({m('a', C.HYBRID)} AND {m('t', C.REMOTE)}) THEN 'unknown'
 WHEN {m('t', C.ONSITE)} THEN 'onsite' WHEN {m('t', C.REMOTE)} THEN 'remote' WHEN {m('t', C.HYBRID)} OR {m('a', C.HYBRID)} THEN 'hybrid' WHEN {m('a', C.REMOTE)} THEN 'remote' WHEN a <> '' AND t = '' THEN 'onsite' ELSE 'unknown' END AS workplace FROM p""")
 def classify_workplace(spark, d):

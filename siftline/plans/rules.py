@@ -436,21 +436,6 @@ def title_body_conflict(spark, d):
     return posts(spark, d).select("p_partkey", a.alias("title_family"), b.alias("body_family"), F.coalesce(a != b, F.lit(False)).alias("conflict"))
 
 
-MONEY = r"([$€]?)([0-9][0-9,]*)(k?)[ ]*(?:-|to)[ ]*[$€]?([0-9][0-9,]*)(k?)"
-
-
-@query(f"""WITH m AS (SELECT p_partkey, body, [regexp_extract(body, '{MONEY}', 1), regexp_extract(body, '{MONEY}', 2), regexp_extract(body, '{MONEY}', 3), regexp_extract(body, '{MONEY}', 4), regexp_extract(body, '{MONEY}', 5)] AS g FROM {POSTS}),
-n AS (SELECT *, replace(g[2], ',', '')::BIGINT * CASE WHEN g[3] = 'k' THEN 1000 ELSE 1 END AS lo, replace(g[4], ',', '')::BIGINT * CASE WHEN g[5] = 'k' THEN 1000 ELSE 1 END AS hi FROM m WHERE g[2] <> '')
-SELECT p_partkey, lo, hi, CASE WHEN g[1] = '€' THEN 'EUR' ELSE 'USD' END AS currency, CASE WHEN regexp_matches(body, '(an|per) hour') THEN 'hour' ELSE 'year' END AS period, (lo + hi) // 2 * CASE WHEN regexp_matches(body, '(an|per) hour') THEN 2080 ELSE 1 END AS yearly FROM n""")
-def salary_ranges(spark, d):
-    """Bands of pay in texts, with currency and period, and their middle for a year of 2,080 hours."""
-    g = lambda i: F.regexp_extract("body", MONEY, i)
-    amount = lambda i: F.replace(g(i), F.lit(","), F.lit("")).try_cast("long") * F.when(g(i + 1) == "k", 1000).otherwise(1)
-    period = F.when(F.col("body").rlike("(an|per) hour"), "hour").otherwise("year")
-    at = posts(spark, d).select("p_partkey", amount(2).alias("lo"), amount(4).alias("hi"), F.when(g(1) == "€", "EUR").otherwise("USD").alias("currency"), period.alias("period")).where("lo is not null")
-    return at.withColumn("yearly", F.expr("(lo + hi) div 2") * F.when(F.col("period") == "hour", 2080).otherwise(1))
-
-
 AI_WORDS = "(ai company|language models|deep learning|machine learning)"
 
 
