@@ -373,18 +373,6 @@ def needs_reply(spark, d):
     return links.needs_reply(table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", F.col("role") == "user")
 
 
-@query("""WITH c AS (SELECT o_custkey AS user_id, o_orderdate::DATE AS day, min(o_orderkey) AS exact FROM orders GROUP BY 1, 2 HAVING count(DISTINCT o_orderkey) = 1),
-u AS (SELECT o_custkey AS user_id, min(o_orderkey) AS sole FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderkey) = 1)
-SELECT event_id, coalesce(exact, sole) AS o_orderkey, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN sole IS NOT NULL THEN 'sole' ELSE 'none' END AS rung
-FROM events e LEFT JOIN c ON e.user_id = c.user_id AND e.ts::DATE = c.day LEFT JOIN u ON e.user_id = u.user_id""")
-def link_ladder(spark, d):
-    on = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.to_date("o_orderdate").alias("day"), "o_orderkey")
-    at = table(spark, d, "events").select("event_id", "user_id", F.to_date("ts").alias("day"))
-    at = links.sole_match(links.sole_match(at, on, ["user_id", "day"], "o_orderkey", "exact"), on, ["user_id"], "o_orderkey", "sole")
-    rung = F.when(F.col("exact").isNotNull(), "exact").when(F.col("sole").isNotNull(), "sole").otherwise("none")
-    return at.select("event_id", F.coalesce("exact", "sole").alias("o_orderkey"), rung.alias("rung"))
-
-
 # ---- folds
 
 EV = f"(SELECT event_id, user_id, event_type, value, {SEC} AS t FROM events)"
