@@ -56,8 +56,3 @@ def inventory_diff(old: DataFrame, new: DataFrame, key: str, facts: Sequence[str
     b = new.select(key, F.struct(*facts).alias("_b"))
     action = F.when(F.col("_a").isNull(), "insert").when(F.col("_b").isNull(), "tombstone").when(F.col("_a") == F.col("_b"), "same").otherwise("update")
     return a.join(b, key, "full_outer").select(key, action.alias("action"))
-
-
-def retention(refs: DataFrame, by: str, prunable) -> DataFrame:
-    """What may go: that of which every reference is prunable; an unknown one never is."""
-    return refs.groupBy(by).agg(F.count("*").alias("refs"), F.bool_and(F.coalesce(prunable, F.lit(False))).alias("prune"))

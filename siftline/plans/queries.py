@@ -444,11 +444,6 @@ def inventory_diff(spark, d):
     return folds.inventory_diff(o.where("o_orderkey % 3 <> 0"), new, "o_orderkey", ["o_totalprice"])
 
 
-@query("SELECT l_partkey, count(*) AS refs, bool_and(coalesce(l_shipdate < TIMESTAMP '1997-06-01', false)) AS prune FROM lineitem GROUP BY l_partkey")
-def retention_plan(spark, d):
-    return folds.retention(table(spark, d, "lineitem"), "l_partkey", F.col("l_shipdate") < F.lit("1997-06-01").cast("timestamp_ntz"))
-
-
 @query("SELECT l_returnflag AS old, CASE WHEN l_quantity > 25 THEN 'R' ELSE l_returnflag END AS new, count(*) AS n FROM lineitem GROUP BY ALL")
 def filter_shift_counts(spark, d):
     new = F.when(F.col("l_quantity") > 25, "R").otherwise(F.col("l_returnflag"))
