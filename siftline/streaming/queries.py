@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.operators import folds
 from siftline.plans.queries import EV, INDEX_SQL, index_of, seconds
 from siftline.streaming.fold import FoldedLog
 
@@ -20,7 +21,7 @@ def stream_fold(spark: SparkSession, d: str) -> DataFrame:
     at = F.date_trunc("second", F.col("ts").cast("timestamp"))
     events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value", seconds(at).alias("t"))
     events.withColumn("part", F.col("event_id") % 3).write.partitionBy("part").parquet(f"{folder}/source")
-    log = FoldedLog(spark, folder, "user_id", index_of)
+    log = FoldedLog(spark, folder, "user_id", index_of, code=(folds.entity_index,))
     source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/source/part=*")
     log.run(source)
     return log.entities()
