@@ -58,3 +58,44 @@ def tiling(df: DataFrame, by: str, begin: str, finish: str, rank: str) -> DataFr
     running = F.sum(F.coalesce("step", F.lit(0))).over(Window.partitionBy(by, rank).orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
     best = open_at.withColumn("_open", running).groupBy(by, "t", "t2").agg(F.min(F.when(F.col("_open") > 0, F.col(rank))).alias("rank"))
     return best
+
+
+def attributed(segments: DataFrame, phases: DataFrame, by: str, begin: str, finish: str, label: str, groups: Sequence[str], labels: Sequence[str], rest: str, bucket: int, unit: int) -> DataFrame:
+    """A row for each group of phases of a run: occurrences, elapsed, the time of each of ``labels`` and ``rest``, in whole ``unit``\\ s that sum to
+    ``elapsed``: what rounding down leaves goes to the largest remainders, the first by name among equal ones.
+
+    Phases of a run do not overlap. Segments tile a run; both are cut at multiples of ``bucket`` and joined there, so a run of any length
+    splits, and a part is counted where it lies and nowhere else."""
+    cut = F.sequence(F.floor(F.col(begin) / bucket), F.floor(F.greatest(F.col(finish) - 1, F.col(begin)) / bucket))
+    a = segments.where(F.col(label).isin(*labels)).select(by, F.col(begin).alias("_s"), F.col(finish).alias("_e"), label, F.explode(cut).alias("_cell"))
+    b = phases.select(by, *groups, F.col(begin).alias("_b"), F.col(finish).alias("_f"), F.explode(cut).alias("_cell"))
+    low, high = F.greatest("_s", "_b", F.col("_cell") * bucket), F.least("_e", "_f", (F.col("_cell") + 1) * bucket)
+    shares = b.join(a, [by, "_cell"]).where(low < high).groupBy(by, *groups).agg(*[F.sum(F.when(F.col(label) == x, high - low).otherwise(0)).alias(x) for x in labels])
+    whole = phases.groupBy(by, *groups).agg(F.count("*").alias("occurrences"), F.sum(F.col(finish) - F.col(begin)).alias("elapsed"))
+    at = whole.join(shares, [by, *groups], "left").na.fill(0, list(labels))
+    at = at.withColumn(rest, F.col("elapsed") - sum((F.col(x) for x in labels), F.lit(0)))
+    names = [*labels, rest]
+    down = {x: F.floor(F.col(x) / unit) for x in names}
+    left = F.floor(F.col("elapsed") / unit) - sum(down.values(), F.lit(0))
+    order = F.array_sort(F.array(*[F.struct((-F.pmod(x, F.lit(unit))).alias("r"), F.lit(x).alias("x")) for x in names]))
+    at = at.withColumn("_more", F.transform(F.slice(order, F.lit(1), F.greatest(left.cast("int"), F.lit(0))), lambda o: o.x))
+    return at.select(by, *groups, "occurrences", F.floor(F.col("elapsed") / unit).alias("elapsed"), *[(down[x] + F.array_contains("_more", x).cast("int")).alias(x) for x in names])
+
+
+def workdays(people: DataFrame, day: str, zone: str, weekdays: Sequence[int], count: int, opens: str, closes: str) -> DataFrame:
+    """``people`` with a row for each of the next ``count`` working days after ``day`` (Monday is 0): date, and opens and closes as seconds,
+    by the clock of ``zone`` (a column of zone names)."""
+    ahead = F.sequence(F.date_add(F.col(day), 1), F.date_add(F.col(day), 7 * count))
+    days = F.slice(F.filter(ahead, lambda x: F.weekday(x).isin(*weekdays)), F.lit(1), F.lit(count))
+    local = lambda clock: F.unix_seconds(F.convert_timezone(F.col(zone), F.lit("UTC"), F.to_timestamp_ntz(F.concat(F.col("date").cast("string"), F.lit(f" {clock}:00")))).cast("timestamp"))
+    return people.withColumn("date", F.explode(days)).withColumns({"opens": local(opens), "closes": local(closes)})
+
+
+def availability(busy: DataFrame, days: DataFrame, by: str, begin: str, finish: str, buffer: int, least: int) -> DataFrame:
+    """Free windows of at least ``least`` seconds within each working day, ``buffer`` before and after what is busy: days without anything busy are
+    free from end to end. A day has a marker at both of its ends, so its gaps are those between merged intervals."""
+    edges = days.select(by, "date", F.col("opens").alias(begin), F.col("opens").alias(finish)).union(days.select(by, "date", "closes", "closes"))
+    padded = busy.where(F.col(begin).isNotNull() & F.col(finish).isNotNull()).select(by, (F.col(begin) - buffer).alias("_s"), (F.col(finish) + buffer).alias("_e"))
+    inside = padded.join(days.select(by, "date", "opens", "closes"), by).where("_e > opens and _s < closes")
+    clipped = inside.select(by, "date", F.greatest("_s", "opens").alias(begin), F.least("_e", "closes").alias(finish))
+    return free_windows(clipped.unionByName(edges), [by, "date"], begin, finish, least)

@@ -44,3 +44,28 @@ def census(df: DataFrame, family: str, key: str, k: int) -> DataFrame:
     # Spark keeps k rows of a family in each task before it deals them out
     place = F.row_number().over(Window.partitionBy(family).orderBy(F.sha2(F.col(key).cast("string"), 256), key))
     return df.withColumn("place", place).where(F.col("place") <= k).join(sizes, family)
+
+
+def sampled_once(df: DataFrame, key: str, combos: Sequence[tuple[str, Column]], each: int, seed: str) -> DataFrame:
+    """(combo, key, place): up to ``each`` rows for each combo, in order of the combos and of a seeded hash within each; a row that one combo
+    took serves no later one.
+
+    Combos before the n-th take at most (n - 1) * each rows, so its own rows lie among its first n * each: Spark keeps these while it
+    reads, and the allocation runs over that list, whose size depends on the combos alone."""
+    n = len(combos)
+    marks = F.array_compact(F.array(*[F.when(F.coalesce(fits, F.lit(False)), F.struct(F.lit(i).alias("i"), F.sha2(F.concat_ws("|", F.lit(f"{seed}:{i}:{name}"), F.col(key).cast("string")), 256).alias("h"))) for i, (name, fits) in enumerate(combos)]))
+    at = df.select(F.col(key).alias("_key"), F.explode(marks).alias("m")).select("_key", "m.i", "m.h").distinct()
+    nth = F.row_number().over(Window.partitionBy("i").orderBy("h", "_key"))
+    at = at.withColumn("_n", nth).where(F.col("_n") <= n * each).where(F.col("_n") <= (F.col("i") + 1) * each)
+    kind = df.schema[key].dataType.simpleString()
+    listed = at.groupBy().agg(F.array_sort(F.collect_list(F.struct("i", "_n", "_key"))).alias("l"))
+    start = F.array().cast(f"array<struct<i:int,key:{kind}>>")
+
+    def allot(taken: Column, x: Column) -> Column:
+        free = ~F.exists(taken, lambda t: t.key.eqNullSafe(x["_key"])) & (F.size(F.filter(taken, lambda t: t.i == x.i)) < each)
+        return F.when(free, F.concat(taken, F.array(F.struct(x.i.alias("i"), x["_key"].alias("key"))))).otherwise(taken)
+
+    names = F.array(*[F.lit(name) for name, _ in combos])
+    picked = listed.select(F.posexplode(F.aggregate("l", start, allot)).alias("pos", "t"))
+    place = F.row_number().over(Window.partitionBy("i").orderBy("pos"))
+    return picked.select("pos", "t.i", F.col("t.key").alias(key)).withColumn("place", place).select(F.get(names, F.col("i")).alias("combo"), key, "place")
