@@ -147,14 +147,3 @@ def repeated_lines(x: Column, least: int = 24, times: int = 3) -> Column:
 def gibberish_tokens(x: Column, least: int = 6) -> Column:
     """Number of long words without a vowel."""
     return count_matches(F.lower(x), rf"(?:^|[^a-z])[bcdfghjklmnpqrstvwxz]{{{least},}}(?:$|[^a-z])")
-
-
-def repair_mojibake(x: Column, rounds: int = 2) -> Column:
-    """UTF-8 read as Latin-1, put right while that is what it looks like."""
-    out = x
-    for _ in range(rounds):
-        raw = F.encode(out, "ISO-8859-1")
-        fixed = F.decode(raw, "UTF-8")
-        looks = out.rlike("[ÃÂ][\\x{80}-\\x{BF}]") & ~out.rlike("[^\\x{00}-\\x{FF}]")
-        out = F.when(looks & F.expr("true"), fixed).otherwise(out)
-    return out

@@ -343,28 +343,6 @@ def clipped_spans(spark, d):
 # ---- texts
 
 
-BLOCKS = "(?i)</?(p|div|li|ul|ol|h[1-6]|tr|table|section|article|br|header|footer|nav)([ />][^>]*)?>"
-
-
-@query(f"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '{BLOCKS}', chr(10), 'g'), '<[^>]*>', '', 'g'), '[ \\t]+', ' ', 'g'), '[ ]*\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))) AS h FROM pages")
-def page_block_text(spark, d):
-    """Text with a line for each block, inline tags without a break."""
-    x = F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    x = F.regexp_replace(F.regexp_replace(x, BLOCKS, "\n"), "<[^>]*>", "")
-    x = F.regexp_replace(F.regexp_replace(x, "[ \t]+", " "), r"[ ]*\n[ \n]*", "\n")
-    return table(spark, d, "pages").select("page_id", F.md5(F.trim(x, F.lit(" \n"))).alias("h"))
-
-
-DEAD = ("no longer available", "page not found", "position has been filled")
-
-
-@query("SELECT page_id, (length(html) < 200 OR " + " OR ".join(f"contains(lower(html), '{m}')" for m in DEAD) + ") AS dead FROM pages")
-def dead_pages(spark, d):
-    x = F.lower("html")
-    hit = F.exists(F.array(*map(F.lit, DEAD)), lambda m: F.contains(x, m))
-    return table(spark, d, "pages").select("page_id", ((F.length("html") < 200) | hit).alias("dead"))
-
-
 @query("SELECT doc_id, len(regexp_extract_all(text, '[^.!?]*[.!?]+'))::BIGINT AS sentences, len(regexp_extract_all(text, '[^\\s]+'))::BIGINT AS words, md5(trim(regexp_replace(lower(regexp_extract(text, '^[^.!?]*')), '[^a-z0-9]+', ' ', 'g'))) AS first_key FROM documents")
 def sentence_counts(spark, d):
     """Sentences, words, and a key of the first sentence that ignores case and marks."""
@@ -374,14 +352,6 @@ def sentence_counts(spark, d):
     )
 
 
-ACCENTS, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-
-
-@query(f"SELECT doc_id, md5(translate(lower(text), '{ACCENTS}', '{PLAIN}')) AS h FROM documents")
-def accent_folded(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(F.translate(F.lower("text"), ACCENTS, PLAIN)).alias("h"))
-
-
 # ---- postings made up from phrases by part
 
 TITLES = ("Senior Go Engineer", "Go-to-market Lead", "Sales Engineer", "Machine Learning Engineer", "Backend Developer", "Account Manager", "AI Researcher", "Data Analyst")
