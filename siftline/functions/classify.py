@@ -13,9 +13,6 @@ US = r"(^|[^a-z])(usa|us|united states|new york|seattle|austin|boston|san franci
 REMOTE = r"(^|[^a-z])(remote|work from home|anywhere)($|[^a-z])"
 HYBRID = r"(^|[^a-z])(hybrid)($|[^a-z])"
 ONSITE = r"(^|[^a-z])(on-site|onsite|in office|in-office)($|[^a-z])"
-YEARS_RANGE = r"([0-9]{1,2}) ?(?:-|to) ?([0-9]{1,2})\+? years"
-YEARS_LEAST = r"([0-9]{1,2})\+? years"
-REQUIRED = r"(required|minimum|at least|must have|requires)"
 EXCLUDED_TITLE = r"(^|[^a-z])(intern|internship|recruiter|sales|nurse|driver)($|[^a-z])"
 MANAGER_TITLE = r"(^|[^a-z])(manager|director|head of)($|[^a-z])"
 TECHNICAL_TITLE = r"(^|[^a-z])(engineer|developer|scientist|architect|programmer)($|[^a-z])"
@@ -52,19 +49,6 @@ def location_decision(category: Column, us_only: bool = True, require_match: boo
     )
 
 
-def required_years(text: Column) -> Column:
-    """(min, max, high): the first range, else the first minimum; high if the text says that it is required."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    low = F.nullif(F.regexp_extract(t, YEARS_RANGE, 1), F.lit("")).cast("int")
-    high = F.nullif(F.regexp_extract(t, YEARS_RANGE, 2), F.lit("")).cast("int")
-    least = F.nullif(F.regexp_extract(t, YEARS_LEAST, 1), F.lit("")).cast("int")
-    return F.struct(F.coalesce(low, least).alias("min"), high.alias("max"), t.rlike(REQUIRED).alias("high"))
-
-
-def years_decision(years: Column, most: int) -> Column:
-    return F.when(years["min"].isNull() | ~years["high"], "review").when(years["min"] > most, "no_match").otherwise("match")
-
-
 def title_decision(title: Column) -> Column:
     t = F.lower(F.coalesce(title, F.lit("")))
     return F.when(t.rlike(EXCLUDED_TITLE), "no_match").when(t.rlike(MANAGER_TITLE), "review").when(t.rlike(TECHNICAL_TITLE), "match").otherwise("review")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siftline.functions import evidence as E
 from siftline.functions import pay as P
 from siftline.functions import sponsorship as S
+from siftline.functions import years as Y
 from siftline.plans.queries import query, table
 
 # ---- the same conditions in SQL
@@ -199,3 +200,48 @@ def salary_ranges(spark, d):
     """Bands of pay of each document, the annual envelope, and why there is none."""
     at = P.with_bands(with_statements(spark, d, PAY), "text", "doc_id")
     return at.select("doc_id", P.said("salary").alias("salary"), P.said("total").alias("total"), "low", "high", "reason")
+
+
+ASKED = (
+    "You must have 5+ years of experience.", "Minimum of 3 years of professional experience.", "3-5 years of relevant experience.", "Between three (3) to five years required.", "5 years of experience with Kubernetes.", "4+ years of Python experience.",
+    "10+ years of experience preferred.", "Our founders have 20 years of experience.", "Our team is looking for someone with 6 years of experience.", "The team has 50 years of combined experience.",
+    "8-10 years of product experience, including at least 2 years owning models.", "Must have 7 or more years overall.", "Leave after two years of service.", "Experience: seven years.", "99 years of experience required.", "2.5 years of industry experience.",
+    "5 years of work experience, of which 3 years using Spark are required.",
+)
+
+
+def _years_sql() -> str:
+    words = "[" + ", ".join(q(w) for w in Y.WORDS) + "]"
+    bare = lambda x: f"trim(regexp_replace({x}, '\\(.*\\)', '', 'g'))"
+    number = lambda x: f"coalesce(try_cast({bare(x)} AS DOUBLE), nullif(list_position({words}, {bare(x)}), 0)::DOUBLE)"
+    window = lambda a, b: f"right(before, {a}) || phrase || substring(behind, 1, {b})"
+    claim, context = "right(before, 80)", "(phrase || substring(behind, 1, 80))"
+    field, kind = (f"regexp_extract({context}, {q(p)}, 1)" for p in (Y.FIELD, Y.KIND))
+    best = lambda cond, col: f"arg_max({col}, (sure, low, (high IS NOT NULL)::INT, -pos)) FILTER ({cond})"
+    return f"""
+    WITH t AS (SELECT doc_id, regexp_replace(translate(text, '{E.UPPER}', '{E.LOWER}'), {q(Y.BLANK)}, ' ', 'g') AS t FROM ({with_statements_sql(ASKED)})),
+    {spans_sql('t', 'doc_id', Y.PATTERN)},
+    f AS (SELECT *, regexp_extract_all(phrase, {q(r'\b' + Y.NUMBER)}) AS numbers, {like('phrase', '^' + Y.RANGE + '$')} AS two, right({after_last('l', Y.LINE)}, 100) AS before, {before_first(f"substring({before_first('r', Y.LINE)}, 1, 100)", Y.STATED)} AS behind,
+      coalesce(pos < nullif(instr(t, chr(10)), 0) - 1, false) AS starts FROM s),
+    g AS (SELECT doc_id, t, pos, phrase, {number('numbers[1]')} AS low, CASE WHEN two THEN {number('numbers[-1]')} END AS high, before, behind, starts,
+      ({field} <> '' AND NOT {like(field, Y.GENERAL_FIELD)}) OR ({kind} <> '' AND NOT {like(kind, Y.GENERAL_KIND)}) AS contextual FROM f),
+    h AS (SELECT *, ({like(window(80, 30), Y.REQUIRED)} OR {like(context, Y.GENERAL)} OR starts) AND NOT contextual AS certain FROM g WHERE low IS NOT NULL AND low <= {Y.MOST} AND coalesce(high >= low AND high <= {Y.MOST}, true)
+      AND NOT {like(window(60, 30), Y.PREFERRED)} AND NOT ({like(claim, Y.OTHERS)} AND NOT {like(after_last(claim, Y.OTHERS), Y.APPLICANT)}) AND NOT {like(window(40, 40), Y.COMBINED)}),
+    p AS (SELECT *, lag(pos + length(phrase)) OVER (PARTITION BY doc_id ORDER BY pos) AS prior FROM h),
+    i AS (SELECT *, substring(t, prior + 1, pos - prior) AS gap FROM p),
+    j AS (SELECT *, coalesce(NOT {like('gap', Y.LINE)} AND {like('gap', Y.INSIDE + Y.FILLER + '$')}, false) AS nested FROM i),
+    k AS (SELECT *, nested AND {like('gap || phrase', Y.REQUIRED)} AS cued, sum((NOT nested)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS family FROM j),
+    n2 AS (SELECT *, certain OR (NOT nested AND NOT contextual AND bool_or(cued) OVER (PARTITION BY doc_id, family)) AS sure FROM k),
+    o AS (SELECT *, NOT nested OR bool_and(nested) OVER (PARTITION BY doc_id) AS main FROM n2),
+    w AS (SELECT doc_id, {best('main', 'low')} AS lo, max((sure, low, (high IS NOT NULL)::INT, -pos)) FILTER (main) AS top, {best('nested', 'low')} AS specialty FROM o GROUP BY doc_id),
+    x AS (SELECT w.*, o.high AS hi, o.sure AS certain, o.contextual FROM w JOIN o ON o.doc_id = w.doc_id AND o.pos = -w.top[4]),
+    u AS (SELECT doc_id FROM t WHERE NOT {like('t', Y.PATTERN)} AND list_bool_or(list_transform(regexp_split_to_array(t, {q(Y.LINE)}), lambda s: {like('s', Y.STATED)} AND {like('s', r'\bexperien(?:ce|ced)\b')})))
+    SELECT t.doc_id, lo AS min, hi AS max, CASE WHEN lo IS NULL THEN 'unknown' WHEN certain THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN lo IS NULL THEN 'not_stated' WHEN contextual THEN 'contextual' ELSE 'required' END AS kind, specialty,
+      CASE WHEN u.doc_id IS NOT NULL THEN 'yoe_stated_but_unparsed' END AS reason, CASE WHEN lo IS NULL OR NOT certain THEN 'review' WHEN lo > 6 THEN 'no_match' ELSE 'match' END AS decision
+    FROM t LEFT JOIN x USING (doc_id) LEFT JOIN u USING (doc_id)"""
+
+
+@query(_years_sql())
+def classify_years(spark, d):
+    """Years that each document asks for, and whether six are enough."""
+    return Y.with_years(with_statements(spark, d, ASKED), "text", "doc_id", cap=6)

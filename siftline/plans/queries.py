@@ -556,16 +556,6 @@ def classify_location(spark, d):
     return postings(spark, d).select("p_partkey", category.alias("category"), C.location_decision(category).alias("decision"))
 
 
-YR = f"try_cast(nullif(regexp_extract(t, '{C.YEARS_RANGE}', 1), '') AS INT)"
-
-
-@query(PP + f""", y AS (SELECT p_partkey, coalesce({YR}, try_cast(nullif(regexp_extract(t, '{C.YEARS_LEAST}', 1), '') AS INT)) AS lo, try_cast(nullif(regexp_extract(t, '{C.YEARS_RANGE}', 2), '') AS INT) AS hi, {m('t', C.REQUIRED)} AS high FROM p)
-SELECT p_partkey, lo, hi, CASE WHEN lo IS NULL OR NOT high THEN 'review' WHEN lo > 4 THEN 'no_match' ELSE 'match' END AS decision, CASE WHEN lo IS NULL THEN 'unknown' WHEN lo < 2 THEN 'entry' WHEN lo < 5 THEN 'mid' WHEN lo < 8 THEN 'senior' WHEN lo < 12 THEN 'staff' ELSE 'principal' END AS band FROM y""")
-def classify_years(spark, d):
-    at = postings(spark, d).select("p_partkey", C.required_years(F.col("t")).alias("y"))
-    return at.select("p_partkey", F.col("y.min").alias("lo"), F.col("y.max").alias("hi"), C.years_decision(F.col("y"), 4).alias("decision"), V.level_of_years(F.col("y.min")).alias("band"))
-
-
 @query(PP + f"SELECT p_partkey, CASE WHEN {m('h', C.EXCLUDED_TITLE)} THEN 'no_match' WHEN {m('h', C.MANAGER_TITLE)} THEN 'review' WHEN {m('h', C.TECHNICAL_TITLE)} THEN 'match' ELSE 'review' END AS decision, CASE " + " ".join(f"WHEN {m('h', p)} THEN '{n}'" for n, p in C.LEVELS) + " ELSE 'unknown' END AS level FROM p")
 def classify_title(spark, d):
     return postings(spark, d).select("p_partkey", C.title_decision(F.col("h")).alias("decision"), C.level_of_title(F.col("h")).alias("level"))
