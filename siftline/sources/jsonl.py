@@ -1,5 +1,9 @@
-"""Line-delimited JSON logs: a last line without an end is a write that was cut off and is left out; other lines that do
-not parse are reported."""
+"""Line-delimited JSON logs: a last line without an end is a write that was cut off and is left out; other lines that are not
+what they should be are reported.
+
+Logs are read in splits, by line. Whether a file's last line ended is told by numbers alone: its lines with one byte more each are as
+long as the file, or one byte longer if the last has no end. That holds for plain files, not for compressed ones.
+"""
 
 from __future__ import annotations
 
@@ -7,25 +11,43 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
+BAD = "_bad"
+
+
+def whole_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(_file, line) of all lines that ended; empty ones are none."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n")).alias("_place"), F.col("_metadata.file_size").alias("_size"), F.col("value").alias("line")
+    )
+    ends = lines.groupBy("_file").agg((F.sum(F.octet_length("line") + 1) - F.first("_size")).alias("_over"), F.max("_place").alias("_place"))
+    torn = ends.where("_over = 1").select("_file", "_place")
+    return lines.join(torn, ["_file", "_place"], "left_anti").where(F.trim("line") != "").select("_file", "line")
+
+
+def checked(lines: DataFrame, schema: str) -> DataFrame:
+    """(_file, line, r, good): good lines are objects of which no field of the schema is lost."""
+    r = F.from_json("line", f"{schema}, {BAD} string", {"columnNameOfCorruptRecord": BAD})
+    at = lines.withColumn("r", r)
+    one = F.coalesce(F.json_array_length(F.concat(F.lit("["), "line", F.lit("]"))) == 1, F.lit(False))  # nothing behind the object
+    good = F.startswith(F.ltrim("line"), F.lit("{")) & one & F.col("r").isNotNull() & F.col(f"r.{BAD}").isNull()
+    return at.withColumn("good", good)
+
+
+def fields(spark: SparkSession, schema: str) -> list[str]:
+    return [f"r.`{c.name}`" for c in spark.createDataFrame([], schema).schema]
+
 
 def read(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows with their ``_file``, and damaged lines (_file, line)."""
-    # separators stay in the text only here: a line that ends a file without one is torn
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.regexp_replace("value", r"[^\n]*\z", "").alias("value"))
-    lines = whole.select("_file", F.explode(F.split("value", "\n")).alias("line")).where(F.trim("line") != "")
-    names = [c.name for c in spark.createDataFrame([], schema).schema]
-    good = F.try_parse_json("line").isNotNull()
-    parsed = lines.withColumn("r", F.from_json("line", schema))
-    return parsed.where(good).select("_file", *[f"r.{n}" for n in names]), lines.where(~good)
+    at = checked(whole_lines(spark, path), schema)
+    return at.where("good").select("_file", *fields(spark, schema)), at.where("not good").select("_file", "line")
 
 
 def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows; a line that ends and does not parse fails the job that reads it. A torn last line is left out, as in ``read``."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.regexp_replace("value", r"[^\n]*\z", "").alias("value"))
-    lines = whole.select("_file", F.explode(F.split("value", "\n")).alias("line")).where(F.trim("line") != "")
-    bad = F.raise_error(F.concat(F.lit("damaged line in "), "_file", F.lit(": "), F.substring("line", 1, 80))).cast("string")
-    checked = F.when(F.try_parse_json("line").isNotNull(), F.col("line")).otherwise(bad)
-    return lines.select("_file", F.from_json(checked, schema).alias("r")).select("_file", "r.*")
+    """Rows; a line that ends and is damaged fails the job that reads it. A torn last line is left out, as in ``read``."""
+    at = checked(whole_lines(spark, path), schema)
+    bad = F.raise_error(F.concat(F.lit("damaged line in "), "_file", F.lit(": "), F.substring("line", 1, 80)))
+    return at.withColumn("r", F.when(F.col("good"), F.col("r")).otherwise(bad.cast(at.schema["r"].dataType))).select("_file", *fields(spark, schema))
 
 
 def read_index(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -36,8 +58,7 @@ def read_index(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 
 def repaired(spark: SparkSession, path: str) -> DataFrame:
     """The whole lines of a log, to be written as its next generation: torn tails are gone, nothing else is."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"[^\n]*\z", "").alias("value"))
-    return whole.select(F.explode(F.split("value", "\n")).alias("value")).where(F.trim("value") != "")
+    return whole_lines(spark, path).select(F.col("line").alias("value"))
 
 
 def append(df: DataFrame, path: str) -> None:

@@ -21,6 +21,34 @@ def test_strict_index_and_repair(spark, tmp_path):
         jsonl.read_strict(spark, f"file://{tmp_path}/b.jsonl", "k int").collect()
 
 
+def test_lines_that_are_no_rows_are_damaged(spark, tmp_path):
+    lines = ['{"k": 1}', "3", "[1]", '[{"k": 5}]', '{"k": "x"}', '{"k": 2.5}', "null", '"k"', '{"k": null}', "{}", ' {"k": 7, "other": []}', "", "   ", '{"k": 1} trailing', '{"k": 1},{"k": 2}', '{"k": 9}\r']
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n", newline="")
+    rows, damaged = jsonl.read(spark, f"file://{tmp_path}/a.jsonl", "k int")
+    assert sorted((r.k for r in rows.collect()), key=str) == sorted([1, None, None, 7, 9], key=str)
+    assert {r.line for r in damaged.collect()} == {"3", "[1]", '[{"k": 5}]', '{"k": "x"}', '{"k": 2.5}', "null", '"k"', '{"k": 1} trailing', '{"k": 1},{"k": 2}'}
+    with pytest.raises(Exception, match="damaged line"):
+        jsonl.read_strict(spark, f"file://{tmp_path}/a.jsonl", "k int").collect()
+
+
+def test_large_logs_are_read_in_splits(spark, tmp_path):
+    n = 200_000
+    for name, tail in (("torn", '{"k": 999999999, "t": "cut'), ("complete", '{"k": -1}'), ("ended", '{"k": -2}\n'), ("empty", "")):
+        with open(tmp_path / f"{name}.jsonl", "w") as f:
+            f.writelines('{"k": %d, "t": "Zürich"}\n' % k for k in range(n if name == "torn" else 10 if name != "empty" else 0))
+            f.write(tail)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+    try:
+        rows, damaged = jsonl.read(spark, f"file://{tmp_path}/*.jsonl", "k long")
+        assert rows.rdd.getNumPartitions() > 15
+        assert rows.count() == n + 21 and damaged.count() == 0
+        assert rows.where("k < 0").count() == 1  # a last line without an end is left out, whole or not
+        assert rows.agg(F.max("k")).first()[0] == n - 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_canonical_at_all_depths(spark):
     df = spark.sql("select named_struct('b', 1, 'a', array(named_struct('z', null, 'y', map('q', 2, 'p', 1)))) as x, cast(null as struct<b:int,a:int>) as w")
     assert jsonl.canonical(df).first().value == '{"w":null,"x":{"a":[{"y":{"p":1,"q":2},"z":null}],"b":1}}'
