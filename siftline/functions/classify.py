@@ -13,11 +13,6 @@ US = r"(^|[^a-z])(usa|us|united states|new york|seattle|austin|boston|san franci
 REMOTE = r"(^|[^a-z])(remote|work from home|anywhere)($|[^a-z])"
 HYBRID = r"(^|[^a-z])(hybrid)($|[^a-z])"
 ONSITE = r"(^|[^a-z])(on-site|onsite|in office|in-office)($|[^a-z])"
-EXCLUDED_TITLE = r"(^|[^a-z])(intern|internship|recruiter|sales|nurse|driver)($|[^a-z])"
-MANAGER_TITLE = r"(^|[^a-z])(manager|director|head of)($|[^a-z])"
-TECHNICAL_TITLE = r"(^|[^a-z])(engineer|developer|scientist|architect|programmer)($|[^a-z])"
-LEVELS = (("principal", r"(^|[^a-z])(principal|distinguished|fellow)($|[^a-z])"), ("staff", r"(^|[^a-z])(staff|lead)($|[^a-z])"), ("senior", r"(^|[^a-z])(senior|sr)($|[^a-z])"), ("entry", r"(^|[^a-z])(junior|jr|entry|graduate|intern)($|[^a-z])"))
-MAIL = (("offer", r"(pleased to offer|offer letter)"), ("rejection", r"(unfortunately|not moving forward|other candidates)"), ("interview", r"(schedule|interview|phone screen)"), ("received", r"(received your application|thank you for applying)"))
 
 
 def workplace(location: Column, text: Column) -> Column:
@@ -47,21 +42,3 @@ def location_decision(category: Column, us_only: bool = True, require_match: boo
         F.when(category.isin("metro", "us_remote"), "match").when((category == "foreign") & F.lit(us_only), "no_match")
         .when((category == "other_us") & F.lit(require_match), "no_match").otherwise("review")
     )
-
-
-def title_decision(title: Column) -> Column:
-    t = F.lower(F.coalesce(title, F.lit("")))
-    return F.when(t.rlike(EXCLUDED_TITLE), "no_match").when(t.rlike(MANAGER_TITLE), "review").when(t.rlike(TECHNICAL_TITLE), "match").otherwise("review")
-
-
-def level_of_title(title: Column) -> Column:
-    t = F.lower(F.coalesce(title, F.lit("")))
-    out = F.when(t.rlike(LEVELS[0][1]), LEVELS[0][0])
-    for name, pattern in LEVELS[1:]:
-        out = out.when(t.rlike(pattern), name)
-    return out.otherwise("unknown")
-
-
-def mail_categories(text: Column) -> Column:
-    t = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(F.array(*[F.when(t.rlike(p), n) for n, p in MAIL]), lambda x: x.isNotNull())

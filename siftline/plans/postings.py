@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siftline.functions import evidence as E
 from siftline.functions import pay as P
 from siftline.functions import sponsorship as S
+from siftline.functions import titles as N
 from siftline.functions import years as Y
 from siftline.plans.queries import query, table
 
@@ -245,3 +246,49 @@ def _years_sql() -> str:
 def classify_years(spark, d):
     """Years that each document asks for, and whether six are enough."""
     return Y.with_years(with_statements(spark, d, ASKED), "text", "doc_id", cap=6)
+
+
+# ---- titles and levels
+
+SEARCH = N.Search(["software engineer", "backend", "infrastructure", "site reliability", "account executive", "machine learning"], ["manager", "director", "new grad", "staff", "intern"], ["member of technical staff"])
+FRONT = ("", "Senior ", "Staff ", "Principal ", "Associate ", "Member of Technical Staff, ", "Distinguished ", "New College Grad ", "Head of ")
+CORE = ("Software Engineer", "Infrastructure Planner", "Account Executive", "Backend Developer", "Engineering Manager", "Strategic Finance", "Sales Engineer", "Nurse", "Machine Learning Scientist", "Product Manager", "Gardener", "Site Reliability Engineer", "Counsel, Infrastructure")
+BACK = ("", ", Ads Manager", " II", " Lead", " - Engineering Manager", " (Remote)", ", Platform")
+
+
+def _title_sql() -> str:
+    pick = lambda values, by: "[" + ", ".join(q(v) for v in values) + f"][({by}) % {len(values)} + 1]"
+    norm = lambda x: f"trim(regexp_replace(regexp_replace(translate(lower({x}), '‐‑‒–—―', '------'), '[^a-z0-9+/.# -]', ' ', 'g'), ' +', ' ', 'g'))"
+    hits = lambda terms, x: "list_filter([" + ", ".join(f"CASE WHEN {like(x, N.T.term_pattern(t))} THEN {q(t)} END" for t in terms) + "], lambda x: x IS NOT NULL)"
+    scan = norm("title")
+    for p in SEARCH.neutral:
+        scan = f"replace({scan}, {q(p)}, ' ')"
+    scan = sub(scan, N.STAFF_MEMBER, " ")
+    bearing = [t for t in SEARCH.include if re.search(N.ROLE, t)]
+    scope = "NULL"
+    for name, p in reversed(N.SCOPES.items()):
+        own = f"AND NOT {like('lev', N.OWN_MANAGER)}" if name in ("senior_manager", "line_manager") else ""
+        first = f"regexp_extract(lev, {q(rf'^(.*?)(?:{p})')}, 1)"
+        scope = f"CASE WHEN {like('lev', p)} THEN CASE WHEN NOT {like(first, N.IC_NOUN)} {own} THEN '{name}' END ELSE {scope} END"
+    levels = case(*[(like("lev", p), q(n)) for n, p in N.LEVELS.items()], otherwise="'unknown'")
+    told = lambda head, x: f"array_to_string(list_transform({x}, lambda n: '{head}' || n), ',')"
+    return f"""WITH t AS (SELECT p_partkey, {pick(FRONT, 'p_partkey')} || {pick(CORE, f'p_partkey // {len(FRONT)}')} || {pick(BACK, f'p_partkey // {len(FRONT) * len(CORE)}')} AS title FROM part),
+    a AS (SELECT p_partkey, title, {norm('title')} AS x, {scan} AS scan, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS raw FROM t),
+    b AS (SELECT *, list_distinct({hits(SEARCH.exclude, 'scan')} || CASE WHEN {like('scan', N.EARLY)} THEN ['new grad'] ELSE [] END) AS excluded, {hits(SEARCH.include, 'x')} AS named, {hits(bearing, 'x')} AS bearing, {hits([t for t in SEARCH.include if t not in N.BROAD], 'x')} AS clean,
+      {hits([t for t in SEARCH.include if t in N.BROAD], 'x')} AS wide, list_filter([{", ".join(f"CASE WHEN {like('scan', p)} THEN '{n}' END" for n, p in N.OCCUPATIONS.items())}], lambda x: x IS NOT NULL) AS other, regexp_extract(raw, {q(N.SUFFIX)}, 1) AS tail,
+      {sub('raw', N.STAFF_MEMBER, ' ')} AS lev FROM a),
+    c AS (SELECT *, tail <> '' AND NOT {like(norm('tail'), N.MANAGES)} AND len({hits(bearing, norm(sub('raw', N.SUFFIX)))}) > 0 AS product FROM b),
+    d AS (SELECT *, CASE WHEN excluded = ['manager'] AND product THEN 'manager_product_suffix_ambiguous' WHEN len(excluded) > 0 THEN 'excluded:' WHEN len(clean) = 0 AND NOT {like('scan', N.ROLE)} AND NOT {like('scan', N.RESEARCH)} AND len(other) > 0 THEN {told('nontechnical_occupation.', 'other')}
+      WHEN len(named) = 0 THEN 'not_included' WHEN len(bearing) = 0 AND len(wide) > 0 AND NOT {like('x', N.ROLE)} THEN 'broad_domain_without_role' WHEN {like('scan', N.LEADERSHIP)} THEN 'leadership_ambiguous' ELSE {told('included.', 'named')} END AS rule FROM c)
+    SELECT p_partkey, CASE WHEN rule LIKE 'excluded%' OR rule LIKE 'nontechnical%' THEN 'no_match' WHEN rule LIKE 'included%' THEN 'match' ELSE 'review' END AS decision, coalesce({scope}, {levels}) AS level,
+      CASE WHEN rule = 'excluded:' THEN {told('excluded.', f"list_filter([{', '.join(q(t) for t in SEARCH.exclude)}], lambda e: list_contains(excluded, e))")} ELSE rule END AS rules FROM d"""
+
+
+@query(_title_sql())
+def classify_title(spark, d):
+    """The verdict on each title, its level, and the rules that decided."""
+    key = F.col("p_partkey")
+    pick = lambda values, by: F.get(F.array(*map(F.lit, values)), (by % len(values)).cast("int"))
+    title = F.concat(pick(FRONT, key), pick(CORE, F.floor(key / len(FRONT))), pick(BACK, F.floor(key / (len(FRONT) * len(CORE)))))
+    at = table(spark, d, "part").select("p_partkey", title.alias("title"))
+    return at.select("p_partkey", *[c.alias(n) for n, c in N.assessed(F.col("title"), SEARCH).items()])

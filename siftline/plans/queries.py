@@ -556,11 +556,6 @@ def classify_location(spark, d):
     return postings(spark, d).select("p_partkey", category.alias("category"), C.location_decision(category).alias("decision"))
 
 
-@query(PP + f"SELECT p_partkey, CASE WHEN {m('h', C.EXCLUDED_TITLE)} THEN 'no_match' WHEN {m('h', C.MANAGER_TITLE)} THEN 'review' WHEN {m('h', C.TECHNICAL_TITLE)} THEN 'match' ELSE 'review' END AS decision, CASE " + " ".join(f"WHEN {m('h', p)} THEN '{n}'" for n, p in C.LEVELS) + " ELSE 'unknown' END AS level FROM p")
-def classify_title(spark, d):
-    return postings(spark, d).select("p_partkey", C.title_decision(F.col("h")).alias("decision"), C.level_of_title(F.col("h")).alias("level"))
-
-
 @query(PP + """, f AS (SELECT p.p_partkey, p_size * 1000.0 AS a, p_size * 1500.0 AS b, CASE WHEN p_size % 6 = 0 THEN NULL ELSE 'USD' END AS cur, ['year', 'month', 'hour', 'day'][1 + p_size % 4] AS per FROM p JOIN part USING (p_partkey)),
 g AS (SELECT *, CASE per WHEN 'year' THEN 1 WHEN 'month' THEN 12 WHEN 'hour' THEN 2080 END AS k FROM f)
 SELECT p_partkey, CASE WHEN ok THEN (a * k)::DOUBLE END AS lo, CASE WHEN ok THEN (b * k)::DOUBLE END AS hi FROM (SELECT *, coalesce(cur IS NOT NULL AND a * k >= 10000 AND b * k <= 2000000 AND b <= 10 * a, false) AS ok FROM g)""")
