@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.shared import stored
+
 URL = r"(?i)https?://[^ \t\r\n<>()\[\]{}]+"
 REQUISITION = r"(?i)\b(?:req(?:uisition)?(?:\s*(?:id|number|#|no\.?)\s*)?|(?:job|posting)\s*(?:id|number|#|no\.?)\s*)[:#-]?\s*([a-z][a-z0-9._-]{2,}|[0-9]{3,})\b"
 #: Statuses of an open application; hyphenated parts that a store key may have.
@@ -105,6 +107,8 @@ def linked(messages: DataFrame, jobs: DataFrame, domains: DataFrame, confirmatio
         "o_index": F.when(human, F.col("h.h_index")).otherwise(F.when(own == "direct_rule", F.col("t.job_index"))),
     })
 
+    at = stored(at, "messages")
+
     # links of a thread by where they first stand: those of the upper rungs, and the last rung's at a company's first open message
     link = [F.col("o_company").alias("l_company"), F.col("o_slug").alias("l_slug"), F.col("o_index").alias("l_index")]
     sure = at.where("thread is not null and o_slug is not null").groupBy("thread", *link).agg(F.min("place").alias("first"))

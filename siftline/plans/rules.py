@@ -446,36 +446,6 @@ def metadata_validation(spark, d):
     return posts(spark, d).select("p_partkey", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()])), ",").alias("errors"))
 
 
-#: From a state, by what arrives: the states in order, and the event that leads into each.
-PROGRESS = {("signup", "view"): "seen", ("seen", "click"): "active", ("active", "purchase"): "closed", ("signup", "click"): "active", ("seen", "purchase"): "closed"}
-_MOVES = ", ".join(f"('{a}', '{b}', '{c}')" for (a, b), c in PROGRESS.items())
-
-
-@query(f"""WITH RECURSIVE m(a, b, c) AS (VALUES {_MOVES}), e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM {EV}),
-s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 'signup' AS state, 0::BIGINT AS refused FROM events UNION ALL SELECT s.user_id, e.n, coalesce(m.c, s.state), s.refused + (m.c IS NULL)::BIGINT FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1 LEFT JOIN m ON m.a = s.state AND m.b = e.event_type)
-SELECT user_id, arg_max(state, n) AS state, max(refused) AS refused FROM s GROUP BY user_id""")
-def progress_states(spark, d):
-    """Where a user stands after all events, and how many of them no move allows. The fold of a user's events is one array
-    aggregate: a user's history is what bounds it."""
-    events = timed(spark, d).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("t", "event_id", "event_type"))).alias("log"))
-    moves = F.create_map(*[x for (a, b), c in PROGRESS.items() for x in (F.lit(f"{a}>{b}"), F.lit(c))])
-
-    def step(at: Column, e: Column) -> Column:
-        to = moves[F.concat_ws(">", at["state"], e["event_type"])]
-        return F.struct(F.coalesce(to, at["state"]).alias("state"), (at["refused"] + F.when(to.isNull(), 1).otherwise(0)).cast("long").alias("refused"))
-
-    end = F.aggregate("log", F.struct(F.lit("signup").alias("state"), F.lit(0).cast("long").alias("refused")), step)
-    return events.select("user_id", end["state"].alias("state"), end["refused"].alias("refused"))
-
-
-@query("SELECT event_type AS category, CASE event_type WHEN 'purchase' THEN 'close' WHEN 'error' THEN 'ask' WHEN 'click' THEN 'advance' END AS proposal, count(*) AS n FROM events WHERE value > 20 AND event_type IN ('purchase', 'error', 'click') GROUP BY event_type")
-def mail_proposals(spark, d):
-    """What classified messages propose, if they are sure enough; nothing is applied."""
-    moves = F.create_map(*map(F.lit, ("purchase", "close", "error", "ask", "click", "advance")))
-    at = table(spark, d, "events").where("value > 20").withColumn("proposal", moves[F.col("event_type")]).where("proposal is not null")
-    return at.groupBy(F.col("event_type").alias("category"), "proposal").agg(F.count("*").alias("n"))
-
-
 #: A search profile as data: compiled to one column, it is pushed to the scan like any filter.
 PROFILE = {"brands": ["Brand#11", "Brand#23", "Brand#45"], "size": [5, 40], "not": ["PROMO"], "price_at_most": 1500.0}
 

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from siftline.plans.queries import query, table
+from siftline.shared import shared_dir
 from siftline.sources import jsonl, manifests
-from siftline.streaming.queries import shared_dir
 
 
 def folder(spark, name: str) -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators import folds
 from siftline.plans.queries import EV, INDEX_SQL, index_of, seconds
+from siftline.shared import shared_dir
 from siftline.streaming.fold import FoldedLog
 
 
@@ -27,14 +26,5 @@ def stream_fold(spark: SparkSession, d: str) -> DataFrame:
     return log.entities()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a folder of this machine if the session runs on it alone."""
-    if named := spark.conf.get("spark.checkpoint.dir", ""):
-        return named.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="siftline-")
-
-
 STREAMS = {"stream_fold": stream_fold}
 ORACLE = {"stream_fold": INDEX_SQL.format(EV)}
