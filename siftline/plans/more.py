@@ -53,12 +53,12 @@ def bucket_closure(spark, d):
     return events.join(days, "day", "left_semi").groupBy("day").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
-@query("""SELECT user_id, max(event_id) FILTER (WHERE event_id % 3 > 0) IS NULL AS carried, coalesce(max(event_id) FILTER (WHERE event_id % 3 > 0), max(event_id)) AS seq FROM events GROUP BY user_id""")
+@query("""SELECT user_id, ts::DATE AS day, max(event_id) FILTER (WHERE event_id % 3 > 0) IS NULL AS carried, coalesce(max(event_id) FILTER (WHERE event_id % 3 > 0), max(event_id)) AS seq FROM events GROUP BY ALL""")
 def carry_forward(spark, d):
     """Entities whose raw rows are gone keep what the last fold had."""
     events = table(spark, d, "events")
     fresh = F.max(F.when(F.col("event_id") % 3 > 0, F.col("event_id")))
-    return events.groupBy("user_id").agg(fresh.isNull().alias("carried"), F.coalesce(fresh, F.max("event_id")).alias("seq"))
+    return events.groupBy("user_id", F.to_date("ts").alias("day")).agg(fresh.isNull().alias("carried"), F.coalesce(fresh, F.max("event_id")).alias("seq"))
 
 
 @query("SELECT user_id, event_type, ts::DATE AS day, min(event_id) AS event_id FROM events GROUP BY ALL")
@@ -68,37 +68,37 @@ def event_idempotence(spark, d):
     return log.union(log).groupBy("user_id", "event_type", "day").agg(F.min("event_id").alias("event_id"))
 
 
-@query("""SELECT p_brand, CASE WHEN max(p_size * 1500) <= 10 * min(p_size * 1000) THEN min(p_size * 1000) END AS lo, CASE WHEN max(p_size * 1500) <= 10 * min(p_size * 1000) THEN max(p_size * 1500) END AS hi FROM part GROUP BY p_brand""")
+@query("""SELECT p_brand, p_size > 9 AS large, CASE WHEN max(p_size * 1500) <= 10 * min(p_size * 1000) THEN min(p_size * 1000) END AS lo, CASE WHEN max(p_size * 1500) <= 10 * min(p_size * 1000) THEN max(p_size * 1500) END AS hi FROM part GROUP BY p_brand, large""")
 def band_envelope(spark, d):
     """Least lower and greatest upper bound of all bands, unless they lie too far apart."""
     lo, hi = F.min(F.col("p_size") * 1000), F.max(F.col("p_size") * 1500)
-    return table(spark, d, "part").groupBy("p_brand").agg(F.when(hi <= 10 * lo, lo).alias("lo"), F.when(hi <= 10 * lo, hi).alias("hi"))
+    return table(spark, d, "part").groupBy("p_brand", (F.col("p_size") > 9).alias("large")).agg(F.when(hi <= 10 * lo, lo).alias("lo"), F.when(hi <= 10 * lo, hi).alias("hi"))
 
 
 ORDER = ("error", "purchase", "signup", "click", "view")
 
 
-@query("SELECT user_id, coalesce(['error', 'purchase', 'signup', 'click', 'view'][min(CASE WHEN value IS NOT NULL AND event_id % 4 <> 0 THEN list_position(['error', 'purchase', 'signup', 'click', 'view'], event_type) END)], 'none') AS status FROM events GROUP BY user_id")
+@query("SELECT user_id, day, coalesce(['error', 'purchase', 'signup', 'click', 'view'][min(CASE WHEN value IS NOT NULL AND event_id % 4 <> 0 THEN list_position(['error', 'purchase', 'signup', 'click', 'view'], event_type) END)], 'none') AS status FROM (SELECT *, ts::DATE AS day FROM events) GROUP BY user_id, day")
 def precedence_rollup(spark, d):
     """The first status, in order of precedence, that any settled row of the entity has; none without one."""
     names = F.array(*map(F.lit, ORDER))
     settled = F.col("value").isNotNull() & (F.col("event_id") % 4 != 0)
     place = F.min(F.when(settled, F.array_position(names, F.col("event_type")))).alias("p")
     status = F.coalesce(F.when(F.col("p").isNotNull(), F.element_at(names, F.col("p").cast("int"))), F.lit("none"))
-    return table(spark, d, "events").groupBy("user_id").agg(place).select("user_id", status.alias("status"))
+    return table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(place).select("user_id", "day", status.alias("status"))
 
 
-@query("""SELECT count(*) AS n, count_if(c_custkey IS NOT NULL) AS keyed, count_if(c_name IS NULL OR c_name NOT LIKE 'Customer#%') AS malformed, count_if(o.k IS NULL) AS unresolved FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON k = c_custkey""")
+@query("""SELECT count(*) AS n, count_if(c_custkey IS NOT NULL) AS keyed, count_if(c_name IS NULL OR NOT regexp_matches(c_name, '^Customer#[0-9]*[0-8]$')) AS malformed, count_if(o.k IS NULL) AS unresolved FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000) o ON k = c_custkey""")
 def coverage_numbers(spark, d):
-    seen = table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
+    seen = table(spark, d, "orders").where("o_orderstatus = 'F' and o_totalprice > 200000").select(F.col("o_custkey").alias("k")).distinct()
     at = table(spark, d, "customer").join(seen, F.col("c_custkey") == F.col("k"), "left")
-    bad = F.col("c_name").isNull() | ~F.col("c_name").like("Customer#%")
+    bad = F.col("c_name").isNull() | ~F.col("c_name").rlike("^Customer#[0-9]*[0-8]$")
     return at.agg(F.count("*").alias("n"), F.count("c_custkey").alias("keyed"), F.count_if(bad).alias("malformed"), F.count_if(F.col("k").isNull()).alias("unresolved"))
 
 
-@query("SELECT p_partkey, count(l_partkey)::BIGINT AS refs, count(l_partkey) = 0 AS orphan FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey")
+@query("SELECT p_partkey, count(l_partkey)::BIGINT AS refs, count(l_partkey) = 0 AS orphan FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'A') ON l_partkey = p_partkey GROUP BY p_partkey")
 def ref_count_orphans(spark, d):
-    refs = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("refs"))
+    refs = table(spark, d, "lineitem").where("l_quantity > 45 and l_returnflag = 'A'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("refs"))
     refs_of = F.coalesce("refs", F.lit(0))
     return table(spark, d, "part").select("p_partkey").join(refs, "p_partkey", "left").select("p_partkey", refs_of.alias("refs"), (refs_of == 0).alias("orphan"))
 
@@ -153,13 +153,14 @@ def redacted_phase_names(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).select("event_type", F.concat(F.lit("phase-"), F.substring(F.sha2("event_type", 256), 1, 12)).alias("label"), "n")
 
 
-@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, count_if(round(l_extendedprice / l_quantity, 2) = p_retailprice) AS same, count_if(p_retailprice IS NULL) AS missing FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, count_if(CASE WHEN l_linenumber > 2 THEN round(l_extendedprice / l_quantity, 2) ELSE p_retailprice END = p_retailprice) AS same, count_if(p_retailprice IS NULL) AS missing FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 5 GROUP BY ALL""")
 def field_fidelity(spark, d):
     """Raw against generated fields by native id, as a cross table."""
-    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
-    at = table(spark, d, "lineitem").select("l_partkey", "l_returnflag", "l_linestatus", F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("each"))
+    parts = table(spark, d, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
+    each = F.when(F.col("l_linenumber") > 2, F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2))  # the first lines were generated from the part
+    at = table(spark, d, "lineitem").select("l_partkey", "l_returnflag", "l_linestatus", "l_linenumber", each.alias("own"))
     return at.join(parts, "l_partkey", "left").groupBy("l_returnflag", "l_linestatus").agg(
-        F.count("*").alias("n"), F.count_if(F.col("each") == F.col("p_retailprice")).alias("same"), F.count_if(F.col("p_retailprice").isNull()).alias("missing")
+        F.count("*").alias("n"), F.count_if(F.when(F.col("l_linenumber") > 2, F.col("own")).otherwise(F.col("p_retailprice")) == F.col("p_retailprice")).alias("same"), F.count_if(F.col("p_retailprice").isNull()).alias("missing")
     )
 
 

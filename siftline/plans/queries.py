@@ -179,9 +179,12 @@ def page_url_canonical(spark, d):
 LISTING_SQL = "(NOT has AND len(list_filter(string_split(p, '/'), lambda x: x <> '' AND lower(x) NOT IN (" + ", ".join(f"'{s}'" for s in T.LISTING_SEGMENTS) + "))) = 0)"
 
 
-@query(URL_SQL + f" SELECT page_id, {LISTING_SQL} AS listing FROM e")
+@query(URL_SQL.replace("FROM pages", "FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_replace(url, '(://[^/]*)/.*$', '\\1/careers/openings/') WHEN 1 THEN regexp_replace(url, '(://[^/]*)/.*$', '\\1/jobs/123') ELSE url END AS url FROM pages)") + f" SELECT page_id, {LISTING_SQL} AS listing FROM e")
 def page_url_is_listing(spark, d):
-    return table(spark, d, "pages").select("page_id", T.is_listing_url(F.col("url")).alias("listing"))
+    """Every fourth page's URL is led to a listing, another fourth to one posting below it."""
+    led = lambda to: F.regexp_replace("url", "(://[^/]*)/.*$", "$1" + to)
+    url = F.when(F.col("page_id") % 4 == 0, led("/careers/openings/")).when(F.col("page_id") % 4 == 1, led("/jobs/123")).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", T.is_listing_url(url).alias("listing"))
 
 
 @query(URL_SQL + f", k AS (SELECT CASE WHEN {LISTING_SQL} THEN 'ck-' || substring(sha256('||'), 1, 12) ELSE 'url-' || substring(sha256(url), 1, 12) END AS key FROM e) SELECT key, count(*) AS n FROM k GROUP BY key")
@@ -190,7 +193,7 @@ def page_identity_keys(spark, d):
     return table(spark, d, "pages").groupBy(key.alias("key")).agg(F.count("*").alias("n"))
 
 
-TERMS = ("steel", "light blue", "spring", "brushed", "promo")
+TERMS = ("cold", "blue rod", "bolt", "small widget", "promo")
 
 
 @query("SELECT p_partkey, " + ", ".join(f"regexp_matches(lower(p_name || ' ' || p_type), '{T.term_pattern(t)}') AS t{i}" for i, t in enumerate(TERMS)) + " FROM part")
@@ -336,13 +339,16 @@ def first_search_widening(spark, d):
     return at.join(seen, "l_suppkey", "left").where(age <= F.when(F.col("seen").isNull(), 1500).otherwise(300)).select("l_orderkey", "l_linenumber")
 
 
-@query("""WITH a AS (SELECT lower(n_name) AS alias, n_name AS canonical FROM nation UNION ALL SELECT lower(substring(n_name, 1, 3)), n_name FROM nation),
+@query("""WITH a AS (SELECT lower(n_name) AS alias, n_name AS canonical FROM nation UNION ALL SELECT right(n_name, 1), n_name FROM nation UNION ALL SELECT right(n_name, 2), n_name FROM nation),
 u AS (SELECT alias, min(canonical) AS canonical FROM a GROUP BY alias HAVING count(DISTINCT canonical) = 1)
-SELECT n_nationkey, canonical FROM nation LEFT JOIN u ON lower(substring(n_name, 1, 3)) = alias""")
+SELECT n_nationkey, canonical FROM nation LEFT JOIN u ON right(n_name, CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 2 END) = alias""")
 def alias_resolve(spark, d):
     n = table(spark, d, "nation")
-    aliases = n.select(F.lower("n_name").alias("alias"), F.col("n_name").alias("canonical")).union(n.select(F.lower(F.substring("n_name", 1, 3)), "n_name"))
-    return links.resolve_alias(n, F.lower(F.substring("n_name", 1, 3)), aliases).select("n_nationkey", "canonical")
+    aliases = n.select(F.lower("n_name").alias("alias"), F.col("n_name").alias("canonical"))
+    for size in (1, 2):  # a last letter is one that several share, the last two are not
+        aliases = aliases.union(n.select(F.substring("n_name", -size, size), "n_name"))
+    asked = F.when(F.col("n_nationkey") % 3 == 0, F.substring("n_name", -1, 1)).otherwise(F.substring("n_name", -2, 2))
+    return links.resolve_alias(n, asked, aliases).select("n_nationkey", "canonical")
 
 
 PATTERNS = ("steel", "brushed steel", "tin", "polished", "economy", "nickel", "promo", "brass", "copper", "standard polished tin")
@@ -453,10 +459,10 @@ def filter_shift_counts(spark, d):
 STATES = ("error", "purchase", "signup", "click", "view")
 
 
-@query("SELECT user_id, arg_min(event_type, list_position([" + ", ".join(f"'{s}'" for s in STATES) + "], event_type)) AS worst FROM events GROUP BY user_id")
+@query("SELECT user_id, day, arg_min(event_type, list_position([" + ", ".join(f"'{s}'" for s in STATES) + "], event_type)) AS worst FROM (SELECT *, ts::DATE AS day FROM events) GROUP BY user_id, day")
 def worst_of_rollup(spark, d):
     rank = F.array_position(F.array(*map(F.lit, STATES)), F.col("event_type"))
-    return table(spark, d, "events").groupBy("user_id").agg(F.min_by("event_type", rank).alias("worst"))
+    return table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min_by("event_type", rank).alias("worst"))
 
 
 # ---- intervals

@@ -63,7 +63,7 @@ def exact_else_substring(spark, d):
     return met.withColumns({"exact": exact, "any": any_exact}).where("exact or not any").select("needle", "page_id")
 
 
-WORDS = ("steel", "spring", "brand#1")
+WORDS = ("widget", "economy", "brand#1")
 
 
 @query("SELECT p_partkey FROM part WHERE " + " AND ".join(f"contains(lower(concat_ws(chr(9), p_partkey, p_name, p_brand, p_type)), '{w}')" for w in WORDS[::2]))
@@ -144,11 +144,12 @@ def topk_with_remainder(spark, d):
     return top.union(both.select(F.lit("others"), F.col("a") - F.col("b")))
 
 
-@query("SELECT event_id, props FROM events ORDER BY CASE WHEN regexp_matches(props, '[0-9][0-9]') THEN regexp_extract(props, '[0-9]+')::BIGINT END NULLS LAST, event_id LIMIT 100")
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN regexp_matches(props, '[0-9][0-9]') THEN regexp_extract(props, '[0-9]+')::BIGINT END NULLS LAST, event_id) AS place FROM events")
 def schedule_order(spark, d):
-    """By what is parsed from the text; what does not parse comes last."""
-    place = F.when(F.col("props").rlike("[0-9][0-9]"), F.regexp_extract("props", "[0-9]+", 0).cast("long"))
-    return table(spark, d, "events").orderBy(place.asc_nulls_last(), "event_id").limit(100).select("event_id", "props")
+    """Each user's rows by what is parsed from the text; what does not parse comes last."""
+    parsed = F.when(F.col("props").rlike("[0-9][0-9]"), F.regexp_extract("props", "[0-9]+", 0).cast("long"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(parsed.asc_nulls_last(), "event_id"))
+    return table(spark, d, "events").select("user_id", "event_id", place.cast("long").alias("place"))
 
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) SELECT o_orderkey FROM r WHERE o_orderstatus <> 'O' OR n <= 2")
@@ -236,12 +237,12 @@ def parent_chains(spark, d):
 SIGNATURE = "sha256(array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(p_name), '[0-9]+', 'N', 'g'), ' '), lambda x: x <> ''))), ' '))"
 
 
-@query(f"WITH s AS (SELECT p_partkey, p_size, {SIGNATURE} AS signature FROM part) SELECT left(signature, 16) AS signature, count(*) AS n, min(p_partkey) AS example, bool_or(p_size <= 5) AS known FROM s GROUP BY s.signature")
+@query(f"WITH s AS (SELECT p_partkey, p_size, p_brand, {SIGNATURE} AS signature FROM part) SELECT left(signature, 16) AS signature, count(*) AS n, min(p_partkey) AS example, bool_or(p_brand = 'Brand#13' AND p_size <= 25) AS known FROM s GROUP BY s.signature")
 def signature_groups(spark, d):
     """Rows for review by the shape of their text, and whether that shape has been judged before."""
     words = F.filter(F.split(F.regexp_replace(F.lower("p_name"), "[0-9]+", "N"), " "), lambda x: x != "")
     at = table(spark, d, "part").withColumn("signature", F.sha2(F.array_join(F.sort_array(F.array_distinct(words)), " "), 256))
-    known = at.where("p_size <= 5").select("signature", F.lit(True).alias("known")).distinct()
+    known = at.where("p_brand = 'Brand#13' and p_size <= 25").select("signature", F.lit(True).alias("known")).distinct()
     groups = at.groupBy("signature").agg(F.count("*").alias("n"), F.min("p_partkey").alias("example")).join(known, "signature", "left")
     return groups.select(F.substring("signature", 1, 16).alias("signature"), "n", "example", F.coalesce("known", F.lit(False)).alias("known"))
 
@@ -294,11 +295,11 @@ def consumer_cursor(spark, d):
     return old.join(new, "user_id", "full_outer").select("user_id", F.greatest(F.coalesce("old", F.lit(0)), F.coalesce("new", F.lit(0))).alias("seq"))
 
 
-@query(f"SELECT user_id, max(t) AS last, (SELECT max(t) FROM {EV}) - max(t) > 604800 AS stale FROM {EV} GROUP BY user_id")
+@query(f"SELECT user_id, max(t) AS last, (SELECT max(t) FROM {EV}) - max(t) > 43200 AS stale FROM {EV} GROUP BY user_id")
 def watermark_staleness(spark, d):
     at = timed(spark, d)
     newest = at.agg(F.max("t").alias("now"))  # one row
-    return at.groupBy("user_id").agg(F.max("t").alias("last")).crossJoin(F.broadcast(newest)).select("user_id", "last", (F.col("now") - F.col("last") > 604800).alias("stale"))
+    return at.groupBy("user_id").agg(F.max("t").alias("last")).crossJoin(F.broadcast(newest)).select("user_id", "last", (F.col("now") - F.col("last") > 43200).alias("stale"))
 
 
 @query(f"SELECT user_id, event_id, event_type AS folder, t AS since, coalesce(lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id), -1) AS until FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY t, event_id) AS p FROM {EV}) WHERE p IS NULL OR p <> event_type")
