@@ -7,6 +7,7 @@ data that Python carries, by rule.
 from __future__ import annotations
 
 import html.entities
+import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -87,6 +88,11 @@ def decomposed() -> tuple[str, str, str, dict[str, str]]:
     return "".join(one), "".join(to), "".join(marks), several
 
 
+def table_of(entries: dict[str, str]) -> Column:
+    """A constant map; one literal, however many entries."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
 def runs(numbers) -> list[tuple[int, int]]:
     """Consecutive numbers as (first, last)."""
     out: list[list[int]] = []
@@ -103,10 +109,10 @@ def folded(text: Column) -> Column:
     one, to, marks, several = decomposed()
     keys = list(several)
     at = F.translate(text, one + marks, to)
-    table = F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*[F.lit(several[k]) for k in keys]))
+    table = table_of(several)
     spelled = F.array_join(F.transform(F.split(at, ""), lambda c: F.when(F.ascii(c) < 128, c).otherwise(F.coalesce(F.try_element_at(table, c), c))), "")
     some = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs(map(ord, keys))) + "]"
-    return F.when(at.rlike(some), spelled).otherwise(at)
+    return F.when(at.rlike(r"[^\x00-\x7F]") & at.rlike(some), spelled).otherwise(at)
 
 
 # ---- references
@@ -131,7 +137,7 @@ def unescaped(text: Column) -> Column:
     names = html.entities.html5
     full = {k[:-1]: v for k, v in names.items() if k.endswith(";")}
     old = sorted((k for k in names if not k.endswith(";")), key=lambda k: (-len(k), k))
-    table = F.map_from_arrays(F.array(*map(F.lit, full)), F.array(*map(F.lit, full.values())))
+    table = table_of(full)
     windows = F.map_from_arrays(F.array(*[F.lit(ord(c)) for c in CONTROLS]), F.array(*map(F.lit, WINDOWS)))
 
     def stands_for(r: Column) -> Column:

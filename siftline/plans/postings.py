@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import evidence as E
 from siftline.functions import pay as P
+from siftline.functions import places as L
 from siftline.functions import sponsorship as S
 from siftline.functions import titles as N
 from siftline.functions import years as Y
@@ -292,3 +293,59 @@ def classify_title(spark, d):
     title = F.concat(pick(FRONT, key), pick(CORE, F.floor(key / len(FRONT))), pick(BACK, F.floor(key / (len(FRONT) * len(CORE)))))
     at = table(spark, d, "part").select("p_partkey", title.alias("title"))
     return at.select("p_partkey", *[c.alias(n) for n, c in N.assessed(F.col("title"), SEARCH).items()])
+
+
+# ---- places
+
+LEXICON = L.Lexicon(metros=["seattle", "new york"], us=["us", "usa", "united states"], offices=["austin", "texas", "chicago"], foreign=["london", "uk", "canada", "germany", "sao paulo", "zurich"])
+PLACES = ("Seattle, WA", "São Paulo", "Zürich or Austin", "US or Canada", "United States / London", "Remote", "Anywhere", "Remote - US", "Austin", "US", "Hybrid - Seattle", "Hybrid", "New York", "", "Chicago (hybrid)", "Somewhere")
+MODES = (
+    "This is a remote position.", "You must reside in Texas.", "You must be based in the Seattle area.", "You must live in Germany.", "You must live near our dog park.", "Not open to Seattle or New York.", "Not open to Seattle.", "Hybrid role.", "Fully remote.",
+    "This is an on-site role.", "Remote or hybrid: a fully remote team.", "This is not a fully remote job.", "No on-site role here.", "We hire in the United States.", "Three days a week in our office.", "You must not be based in Texas.",
+)
+HINTS = ("", "remote", "onsite", "hybrid", "")
+
+
+def _places_sql() -> str:
+    n = L.named
+    denied = lambda p, no: f"({like('d', p)} AND NOT {like(f'regexp_extract(regexp_extract(d, {q(f"(?s)^(.*?)(?:{p})")}, 1), {q("[^.;!?" + chr(92) + "n]*$")})', no)})"
+    pick = lambda values, by: "[" + ", ".join(q(v) for v in values) + f"][({by}) % {len(values)} + 1]"
+    plain = lambda x: f"trim(regexp_replace(strip_accents(lower({x})), '[ \\t\\r\\f]+', ' ', 'g'))"
+    pair = L.CANADA
+    return f"""WITH t AS (SELECT doc_id, {plain(pick(PLACES, 'doc_id'))} AS l, {plain(f"coalesce(text, '') || '. ' || {planted_sql('doc_id', MODES, len(PLACES))} || ' ' || {planted_sql('doc_id', MODES, 37)}")} AS d, {pick(HINTS, 'doc_id // 3')} AS h, doc_id % 2 = 0 AS trusted FROM documents),
+    a AS (SELECT *, {like('l', L.WORKPLACE_ONLY)} AS tag, {denied(L.REMOTE, L.NOT_REMOTE)} AS remote, {like('d', L.EITHER)} AS either, {like('l', n(L.REMOTE_FIELD))} AS at_remote, {denied(L.ONSITE, L.NOT_ONSITE)} AS onsite, {like('d', L.OPTIONAL)} AS opt FROM t),
+    b AS (SELECT *, {like('d', L.HYBRID)} AND NOT (opt AND (remote OR at_remote)) AS hybrid, {like('l', n(('hybrid',)))} AND NOT (opt AND (remote OR at_remote)) AS at_hybrid FROM a),
+    c AS (SELECT *, CASE WHEN onsite AND (remote OR at_remote OR h = 'remote') THEN 'remote_onsite_conflict' WHEN hybrid AND remote AND NOT either THEN 'remote_hybrid_conflict' WHEN at_hybrid AND remote AND NOT either AND NOT tag THEN 'location_hybrid_jd_remote_conflict' END AS clash FROM b),
+    e AS (SELECT *, CASE WHEN clash IS NOT NULL THEN 'unknown low' WHEN onsite THEN 'onsite high' WHEN remote THEN 'remote high' WHEN hybrid OR at_hybrid THEN 'hybrid high' WHEN at_remote THEN 'remote high' WHEN h = 'onsite' THEN 'onsite medium' WHEN h <> '' AND trusted THEN h || ' medium' WHEN h <> '' THEN h || ' low'
+      WHEN l <> '' AND trim(d) <> '' THEN 'unknown medium' WHEN l <> '' THEN 'onsite medium' ELSE 'unknown unknown' END AS w FROM c),
+    f AS (SELECT *, string_split(w, ' ')[1] AS workplace, string_split(w, ' ')[2] AS confidence, CASE WHEN clash IS NULL AND h IN ('remote', 'hybrid') AND w = h || ' low' THEN 'uncorroborated_ats_workplace_hint' ELSE clash END AS doubt,
+      regexp_extract(d, {q(L.RESIDENCY)}, 1) AS gap, regexp_extract(d, {q(L.RESIDENCY)}, 2) AS home_at, {like('l', pair)} AS pair, regexp_extract(d, {q(L.EXCLUDED)}, 1) AS closed FROM e),
+    g AS (SELECT *, {like('l', n(LEXICON.foreign))} AND NOT pair AS abroad, {like('l', n(LEXICON.us))} OR pair AS us, CASE WHEN home_at <> '' AND NOT {like('right(gap, 16)', r"\b(?:no|nor|not|never)\b|n't")} THEN
+      {case((like('home_at', n(LEXICON.metros)), "'metro'"), (like('home_at', n(LEXICON.us)), "'us_remote'"), (like('home_at', n(LEXICON.offices)), "'other_us'"), (like('home_at', n(LEXICON.foreign)), "'foreign'"), otherwise="'unknown'")} END AS home FROM f),
+    i AS (SELECT *, CASE WHEN {like('l', n(LEXICON.metros))} THEN 'metro' WHEN abroad AND us THEN 'unknown mixed_us_foreign_scope' WHEN abroad THEN 'foreign' WHEN workplace = 'remote' AND home = 'unknown' THEN 'unknown residency_restriction_unparsed' WHEN workplace = 'remote' AND home IS NOT NULL THEN home
+      WHEN workplace = 'remote' AND tag AND NOT us AND NOT {like('l', n(L.UNBOUND))} AND NOT {like('d', n(LEXICON.us))} THEN 'unknown remote_without_us_scope' WHEN workplace = 'remote' THEN 'us_remote' WHEN {like('l', n(LEXICON.offices))} THEN 'other_us'
+      WHEN us AND workplace IN ('hybrid', 'onsite') AND confidence = 'high' THEN 'unknown us_scope_without_remote_workplace' WHEN us THEN 'us_remote' WHEN tag THEN 'unknown workplace_tag_without_geography' ELSE 'unknown' END AS place FROM g),
+    j AS (SELECT *, string_split(place, ' ')[1] AS category, nullif(array_to_string(string_split(place, ' ')[2:], ' '), '') AS lost FROM i),
+    k AS (SELECT *, category = 'us_remote' AND closed <> '' AND {" AND ".join(like('closed', n([m])) for m in LEXICON.metros)} AS shut FROM j),
+    m AS (SELECT *, CASE WHEN category <> 'foreign' AND NOT shut THEN coalesce(doubt, lost) END AS why FROM k),
+    o AS (SELECT *, CASE WHEN shut THEN 'no_match' WHEN why IS NOT NULL THEN 'review' WHEN category IN ('metro', 'us_remote') THEN 'match' WHEN category IN ('other_us', 'foreign') THEN 'no_match' ELSE 'review' END AS decision FROM m)"""
+
+
+def _placed(spark, d) -> DataFrame:
+    pick = lambda values, by: F.get(F.array(*map(F.lit, values)), (by % len(values)).cast("int"))
+    key = F.col("doc_id")
+    text = F.concat_ws("", F.coalesce("text", F.lit("")), F.lit(". "), planted("doc_id", MODES, len(PLACES)), F.lit(" "), planted("doc_id", MODES, 37))
+    at = table(spark, d, "documents").select("doc_id", L.plain(pick(PLACES, key)).alias("location"), L.plain(text).alias("text"), pick(HINTS, F.floor(key / 3)).alias("hint"), (key % 2 == 0).alias("trusted"), F.lit("").alias("title"))
+    return L.with_workplace(at)
+
+
+@query(_places_sql() + " SELECT doc_id, workplace, confidence, doubt AS reason FROM f")
+def classify_workplace(spark, d):
+    """Remote, hybrid, onsite or unknown, from field, text and hint."""
+    return _placed(spark, d).select("doc_id", "workplace", "confidence", F.col("doubt").alias("reason"))
+
+
+@query(_places_sql() + " SELECT doc_id, category, decision, CASE WHEN why IS NULL AND decision = 'review' THEN 'unclassified_location' ELSE why END AS reason FROM o")
+def classify_location(spark, d):
+    """The category of each posting's place, and the decision."""
+    return L.with_decision(_placed(spark, d), LEXICON).select("doc_id", "category", "decision", "reason")

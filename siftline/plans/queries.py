@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.functions import classify as C
 from siftline.functions import text as T
 from siftline.functions import values as V
 from siftline.operators import folds, intervals, links, select
@@ -545,23 +544,6 @@ def m(x: str, pattern: str) -> str:
     return f"regexp_matches({x}, '{pattern}')"
 
 
-@query(PP + f"""SELECT p_partkey, CASE WHEN ({m('t', C.ONSITE)} AND ({m('t', C.REMOTE)} OR {m('a', C.REMOTE)})) OR ({m('t', C.HYBRID)} AND {m('t', C.REMOTE)}) OR ({m('a', C.HYBRID)} AND {m('t', C.REMOTE)}) THEN 'unknown'
-WHEN {m('t', C.ONSITE)} THEN 'onsite' WHEN {m('t', C.REMOTE)} THEN 'remote' WHEN {m('t', C.HYBRID)} OR {m('a', C.HYBRID)} THEN 'hybrid' WHEN {m('a', C.REMOTE)} THEN 'remote' WHEN a <> '' AND t = '' THEN 'onsite' ELSE 'unknown' END AS workplace FROM p""")
-def classify_workplace(spark, d):
-    return postings(spark, d).select("p_partkey", C.workplace(F.col("a"), F.col("t")).alias("workplace"))
-
-
-METROS = "seattle|new york"
-
-
-@query(PP + f""", c AS (SELECT p_partkey, CASE WHEN {m('a', METROS)} THEN 'metro' WHEN {m('a', C.FOREIGN)} AND {m('a', C.US)} THEN 'unknown' WHEN {m('a', C.FOREIGN)} THEN 'foreign'
-WHEN {m('a', C.REMOTE)} AND NOT {m('a', C.US)} AND {m('a', '^[^a-z]*remote[^a-z]*$')} THEN 'unknown' WHEN {m('a', C.REMOTE)} THEN 'us_remote' WHEN {m('a', C.US)} THEN 'other_us' ELSE 'unknown' END AS category FROM p)
-SELECT p_partkey, category, CASE WHEN category IN ('metro', 'us_remote') THEN 'match' WHEN category = 'foreign' THEN 'no_match' ELSE 'review' END AS decision FROM c""")
-def classify_location(spark, d):
-    category = C.location_category(F.col("a"), METROS)
-    return postings(spark, d).select("p_partkey", category.alias("category"), C.location_decision(category).alias("decision"))
-
-
 @query(PP + """, f AS (SELECT p.p_partkey, p_size * 1000.0 AS a, p_size * 1500.0 AS b, CASE WHEN p_size % 6 = 0 THEN NULL ELSE 'USD' END AS cur, ['year', 'month', 'hour', 'day'][1 + p_size % 4] AS per FROM p JOIN part USING (p_partkey)),
 g AS (SELECT *, CASE per WHEN 'year' THEN 1 WHEN 'month' THEN 12 WHEN 'hour' THEN 2080 END AS k FROM f)
 SELECT p_partkey, CASE WHEN ok THEN (a * k)::DOUBLE END AS lo, CASE WHEN ok THEN (b * k)::DOUBLE END AS hi FROM (SELECT *, coalesce(cur IS NOT NULL AND a * k >= 10000 AND b * k <= 2000000 AND b <= 10 * a, false) AS ok FROM g)""")
