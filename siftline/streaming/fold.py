@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators import folds
 
-HEAD = "generation long, fingerprint string, log string, places map<int,long>, rows map<int,long>, mode string"
+HEAD = "generation long, written long, fingerprint string, log string, places map<int,long>, rows map<int,long>, mode string"
 
 
 def fingerprint(*parts: object) -> str:
@@ -41,8 +41,8 @@ class FoldedLog:
         spark.createDataFrame([], "generation long").write.mode("ignore").parquet(f"{folder}/begun")
 
     def head(self, before: int = 1 << 62) -> Row | None:
-        """The newest head."""
-        return self.spark.read.schema(HEAD).parquet(f"{self.folder}/heads").where(F.col("generation") < before).orderBy(F.desc("generation")).first()
+        """The newest head; of a batch that was taken in again, the one written last."""
+        return self.spark.read.schema(HEAD).parquet(f"{self.folder}/heads").where(F.col("generation") < before).orderBy(F.desc("generation"), F.desc("written")).first()
 
     def log_files(self, before: int) -> str:
         """A digest of the log's files of earlier batches: their names, sizes and times, not their contents."""
@@ -123,7 +123,8 @@ class FoldedLog:
         """The head of this generation: its own buckets, and the others where they were."""
         places = (head.places if head else {}) | {b: number for b in rows}
         counts = (head.rows if head else {}) | rows
-        self.spark.createDataFrame([(number, self.fingerprint, self.log_files(number + 1), places, counts, mode)], HEAD).write.mode("append").parquet(f"{self.folder}/heads")
+        written = self.spark.read.schema(HEAD).parquet(f"{self.folder}/heads").count()
+        self.spark.createDataFrame([(number, written, self.fingerprint, self.log_files(number + 1), places, counts, mode)], HEAD).write.mode("append").parquet(f"{self.folder}/heads")
 
     def run(self, source: DataFrame) -> None:
         """Takes in what there is now, and ends."""
