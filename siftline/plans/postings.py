@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siftline.functions import evidence as E
 from siftline.functions import pay as P
 from siftline.functions import places as L
+from siftline.functions import score as X
 from siftline.functions import sponsorship as S
 from siftline.functions import titles as N
 from siftline.functions import years as Y
@@ -349,3 +350,90 @@ def classify_workplace(spark, d):
 def classify_location(spark, d):
     """The category of each posting's place, and the decision."""
     return L.with_decision(_placed(spark, d), LEXICON).select("doc_id", "category", "decision", "reason")
+
+
+# ---- scores and the ladder of a level's sources
+
+PROFILE = X.Profile(["kubernetes", "distributed systems"], ["spark", "go", "sql"], ["php", "on-call"], ["ai company", "language models", "machine learning"], (5.0, 6.0), 6.0, staff=True)
+TOLD = (
+    "You will run Kubernetes and Spark.", "This role does not involve PHP or on-call work, but Go.", "We are not looking for Kubernetes people. SQL is used.", "Distributed systems in Go.", "An AI company that trains language models.", "PHP and SQL.",
+    "No interest in distributed systems however good.", "We won't be hiring for machine learning.", "This is not a Spark job.", "On-call every week.", "The team will not touch SQL, and that goes for what is around it, for tools and for all that comes with it, for people who like it, and for those who do not, for ever and ever, Kubernetes.",
+)
+
+
+def _titled(key: Column) -> Column:
+    pick = lambda values, by: F.get(F.array(*map(F.lit, values)), (by % len(values)).cast("int"))
+    return F.concat(pick(FRONT, key), pick(CORE, F.floor(key / len(FRONT))), pick(BACK, F.floor(key / (len(FRONT) * len(CORE)))))
+
+
+def _titled_sql(key: str) -> str:
+    pick = lambda values, by: "[" + ", ".join(q(v) for v in values) + f"][({by}) % {len(values)} + 1]"
+    return f"{pick(FRONT, key)} || {pick(CORE, f'{key} // {len(FRONT)}')} || {pick(BACK, f'{key} // {len(FRONT) * len(CORE)}')}"
+
+
+def _norm_sql(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(translate(lower({x}), '‐‑‒–—―', '------'), '[^a-z0-9+/.# -]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+def _score_sql() -> str:
+    has = lambda x, k: like(x, X.T.term_pattern(k))
+    plus = lambda parts: "(" + " + ".join(parts) + ")"
+    when = lambda c, n: f"CASE WHEN {c} THEN {n} ELSE 0 END"
+    p = PROFILE
+    return f"""WITH a AS (SELECT doc_id, {_norm_sql(_titled_sql('doc_id'))} AS t, {_norm_sql('text')} AS d, CASE WHEN doc_id % 4 > 0 THEN (doc_id % 7 + 2)::DOUBLE END AS lo, CASE WHEN doc_id % 4 > 1 THEN (doc_id % 7 + 3)::DOUBLE END AS hi, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 11)::DOUBLE END AS years FROM ({with_statements_sql(TOLD)})),
+    b AS (SELECT *, {sub('t', X.TAKEN_BACK, ' ')} AS lt, {sub('d', X.TAKEN_BACK, ' ')} AS ld, coalesce(lo, hi) AS l0, coalesce(hi, lo) AS h0 FROM a),
+    c AS (SELECT doc_id, array_to_string(list_filter([{", ".join(f"CASE WHEN ({has('t', k)} OR {has('d', k)}) AND NOT {has('lt', k)} AND NOT {has('ld', k)} THEN {q(k)} END" for k in (*p.strong, *p.good, *p.negative))}], lambda x: x IS NOT NULL), ',') AS negated,
+      {plus(f"CASE WHEN {has('lt', k)} THEN 8 WHEN {has('ld', k)} THEN 4 ELSE 0 END" for k in p.strong)}::DOUBLE AS strong, ({plus(when(has('ld', k), 1) for k in p.good)} * 1.5)::DOUBLE AS good, ({plus(when(f"{has('lt', k)} OR {has('ld', k)}", 1) for k in p.negative)} * -4)::DOUBLE AS negative,
+      (CASE WHEN {has('t', 'staff')} THEN 4 WHEN {has('t', 'senior')} OR {has('t', 'sr')} THEN 3 ELSE 0 END)::DOUBLE AS rank, 0 - round((CASE WHEN h0 < 5 THEN 5 - h0 WHEN l0 > 6 THEN l0 - 6 ELSE 0 END) * 6, 1) AS level, 0 - round(greatest(0, coalesce(years - 6, 0)), 1) AS over_reach,
+      ({when('doc_id % 5 = 0', 15)} + {when('doc_id % 9 = 0', 5)})::DOUBLE AS visa, (least(10, 2 * {plus(when(f"{has('t', k)} OR {has('d', k)}", 1) for k in p.signals)}) + {when('doc_id % 13 = 0', 6)})::DOUBLE AS ai,
+      least(10, (doc_id % 90 + 2 * (doc_id % 70)) / 20.0)::DOUBLE AS history, ({when('doc_id % 6 = 0', 5)} + {when('doc_id % 6 = 1', 3)})::DOUBLE AS place, ({when('doc_id % 8 <= 1', 3)})::DOUBLE AS fresh FROM b)
+    SELECT doc_id, strong + good + negative + rank + level + over_reach + visa + ai + history + place + fresh AS score, * EXCLUDE (doc_id) FROM c"""
+
+
+@query(_score_sql())
+def weighted_score(spark, d):
+    """The score of each posting, its parts, and terms that its text takes back."""
+    key = F.col("doc_id")
+    at = with_statements(spark, d, TOLD).select(
+        "doc_id", "text", _titled(key).alias("title"), F.when(key % 4 > 0, (key % 7 + 2).cast("double")).alias("level_low"), F.when(key % 4 > 1, (key % 7 + 3).cast("double")).alias("level_high"), F.when(key % 3 == 0, (key % 11).cast("double")).alias("years"),
+        (key % 5 == 0).alias("sponsors"), (key % 9 == 0).alias("transfers"), (key % 13 == 0).alias("ai_employer"), (key % 90).alias("h1b"), (key % 70).alias("perm"), (key % 6 == 0).alias("metro"), (key % 6 == 1).alias("remote_us"), (key % 8).alias("age_days"),
+    )
+    return X.scored(at, PROFILE, "doc_id")
+
+
+def _level_sql(title: str) -> str:
+    """The level that a title states, over a column ``lev`` made of it."""
+    scope = "NULL"
+    for name, p in reversed(N.SCOPES.items()):
+        own = f"AND NOT {like('lev', N.OWN_MANAGER)}" if name in ("senior_manager", "line_manager") else ""
+        scope = f"CASE WHEN {like('lev', p)} THEN CASE WHEN NOT {like(f'regexp_extract(lev, {q(rf'^(.*?)(?:{p})')}, 1)', N.IC_NOUN)} {own} THEN '{name}' END ELSE {scope} END"
+    return f"coalesce({scope}, {case(*[(like('lev', p), q(n)) for n, p in N.LEVELS.items()], otherwise=chr(39) + 'unknown' + chr(39))})"
+
+
+BODY = ("This role is a senior-level one.", "You are a principal software engineer.", "We hire at L6.", "This position is entry-level.", "", "", "")
+
+
+@query(f"""WITH y AS ({_years_sql()}), t AS (SELECT doc_id, {sub("trim(regexp_replace(lower(" + _titled_sql('doc_id') + "), '" + chr(92) + "s+', ' ', 'g'))", N.STAFF_MEMBER, ' ')} AS lev, [{", ".join(q(b) for b in BODY)}][doc_id % {len(BODY)} + 1] AS body, ['mid', 'staff', NULL, NULL, NULL][doc_id % 5 + 1] AS known FROM documents),
+b AS (SELECT *, {_level_sql('lev')} AS of_title, {case(*[(like('lower(body)', p), q(n)) for n, p in N.BODY_LEVELS.items()], (like('body', r'\bL6\b'), q('staff')), otherwise="'unknown'")} AS of_body FROM t),
+l AS (SELECT doc_id, CASE WHEN known IS NOT NULL AND of_title NOT IN ('executive', 'director', 'senior_manager', 'line_manager') THEN known || ' company_reference medium' WHEN of_title <> 'unknown' THEN of_title || ' title medium'
+  WHEN min IS NOT NULL THEN CASE WHEN min < 2 THEN 'entry' WHEN min < 5 THEN 'mid' WHEN min < 9 THEN 'senior' WHEN min < 13 THEN 'staff' ELSE 'senior_staff' END || ' required_yoe low' WHEN of_body <> 'unknown' THEN of_body || ' job_description low' ELSE 'unknown generic low' END AS x, min,
+  CASE WHEN min IS NOT NULL THEN 'job_description' WHEN known IS NOT NULL THEN 'company_reference' ELSE 'not_stated' END AS years_source FROM b JOIN y USING (doc_id))
+SELECT doc_id, string_split(x, ' ')[1] AS level, string_split(x, ' ')[2] AS source, string_split(x, ' ')[3] AS confidence, coalesce(min, CASE WHEN years_source = 'company_reference' THEN 4 END)::DOUBLE AS years, years_source FROM l""")
+def metadata_ladder(spark, d):
+    """Each posting's level and years from the first source that states them: a reference on the employer, the title, the years asked for, the text."""
+    pick = lambda values, by: F.get(F.array(*[F.lit(v).cast("string") for v in values]), (by % len(values)).cast("int"))
+    key = F.col("doc_id")
+    years = Y.with_years(with_statements(spark, d, ASKED), "text", "doc_id", cap=6).select("doc_id", "min")
+    known = pick(("mid", "staff", None, None, None), key)
+    at = years.withColumns({"known": known, "title": N.level_of_title(_titled(key)), "body": N.level_of_body(pick(BODY, key))})
+    manages = F.col("title").isin(*N.SCOPES)
+    said = lambda level, source, sure: F.concat_ws(" ", level, F.lit(source), F.lit(sure))
+    found = (
+        F.when(F.col("known").isNotNull() & ~manages, said(F.col("known"), "company_reference", "medium")).when(F.col("title") != "unknown", said(F.col("title"), "title", "medium"))
+        .when(F.col("min").isNotNull(), said(N.level_of_years(F.col("min")), "required_yoe", "low")).when(F.col("body") != "unknown", said(F.col("body"), "job_description", "low")).otherwise("unknown generic low")
+    )
+    parts = F.split("found", " ")
+    source = F.when(F.col("min").isNotNull(), "job_description").when(F.col("known").isNotNull(), "company_reference").otherwise("not_stated")
+    at = at.withColumn("found", found).withColumn("years_source", source)
+    years = F.coalesce("min", F.when(F.col("years_source") == "company_reference", 4.0))
+    return at.select("doc_id", parts[0].alias("level"), parts[1].alias("source"), parts[2].alias("confidence"), years.alias("years"), "years_source")

@@ -554,12 +554,6 @@ def salary_normalise(spark, d):
     return table(spark, d, "part").select("p_partkey", r.alias("r")).select("p_partkey", F.col("r.min").alias("lo"), F.col("r.max").alias("hi"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 8 ELSE 0 END + least(10, p_size * 2) - CASE WHEN p_size % 4 = 0 THEN 4 ELSE 0 END + 0.0 AS score FROM part")
-def weighted_score(spark, d):
-    s = F.col("p_size")
-    return table(spark, d, "part").select("p_partkey", V.score({"strong": ((s % 3 == 0).cast("int"), 8, None), "signals": (s, 2, 10), "negative": ((s % 4 == 0).cast("int"), -4, None)}).alias("score"))
-
-
 @query("""SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS t FROM events""")
 def parse_dates(spark, d):
     """The same second out of four spellings."""

@@ -430,16 +430,6 @@ def posting_digest(spark, d):
     return posts(spark, d).select("p_partkey", said("salary|pay|compensation").alias("pay"), said("kubernetes|python|models|learning").alias("skills"))
 
 
-@query(f"SELECT p_partkey, coalesce(CASE WHEN p_size % 4 = 0 THEN 'human' END, CASE WHEN regexp_matches(body, '[0-9]') THEN 'text' END, CASE WHEN p_size > 25 THEN 'reference' END, 'heuristic') AS source, coalesce(CASE WHEN p_size % 4 = 0 THEN p_size END, CASE WHEN regexp_matches(body, '[0-9]') THEN regexp_extract(body, '[0-9]+')::INT END, CASE WHEN p_size > 25 THEN p_size // 5 END, 3)::BIGINT AS value FROM {POSTS}")
-def metadata_ladder(spark, d):
-    """A fact from the first source that has it: a person, the text, a reference, a guess."""
-    ladder = [
-        ("human", F.when(F.col("p_size") % 4 == 0, F.col("p_size").cast("long"))), ("text", F.nullif(F.regexp_extract("body", "[0-9]+", 0), F.lit("")).cast("long")),
-        ("reference", F.when(F.col("p_size") > 25, F.expr("p_size div 5"))), ("heuristic", F.lit(3).cast("long")),
-    ]
-    return posts(spark, d).select("p_partkey", F.coalesce(*[F.when(v.isNotNull(), n) for n, v in ladder]).alias("source"), F.coalesce(*[v for _, v in ladder]).alias("value"))
-
-
 @query(f"SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size > 45 THEN 'size_high' END, CASE WHEN length(title) < 13 THEN 'title_short' END, CASE WHEN NOT regexp_matches(body, '\\.$') THEN 'body_end' END], lambda x: x IS NOT NULL), ',') AS errors FROM {POSTS}")
 def metadata_validation(spark, d):
     """Every rule that a row breaks."""
