@@ -40,6 +40,13 @@ def incremental(old: DataFrame, log: DataFrame, delta: DataFrame, key: str, fold
     return old.join(touched, key, "left_anti").unionByName(fold(log.join(touched, key, "left_semi").unionByName(delta)))
 
 
+def canonical_order(df: DataFrame, key: str, at: str, tie: str) -> DataFrame:
+    """Observations of each key with their ``place`` in canonical order: by time, then by id, missing ones first. It does not depend on the order of
+    arrival, so a fold in this order is a function of the set. Rows without a key belong to nothing and are left out."""
+    order = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (at, tie)]
+    return df.where(F.col(key).isNotNull()).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
 def pending(manifests: DataFrame, ledger: DataFrame, key: str) -> DataFrame:
     return manifests.join(ledger.select(key), key, "left_anti")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import text as T
 from siftline.plans.queries import EV, URL_SQL, query, table, timed
+from siftline.shared import stored
 
 
 # ---- selection
@@ -18,10 +19,10 @@ def array_membership(spark, d):
     return types.where(F.array_contains("types", "purchase")).select("user_id")
 
 
-@query("SELECT o_orderkey, l_linenumber, try_cast(l_quantity AS BIGINT) AS quantity, o_orderstatus AS status FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey, l_linenumber, try_cast(l_quantity AS BIGINT) AS quantity, o_orderstatus AS status FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def flatten_nested(spark, d):
     """Documents that hold their lines as an array, back to a row for each line."""
-    lines = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("string").alias("quantity"))).alias("lines"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("string").alias("quantity"))).alias("lines"))
     docs = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     at = docs.select("o_orderkey", F.explode("lines").alias("line"), F.col("o_orderstatus").alias("status"))
     return at.select("o_orderkey", "line.l_linenumber", F.col("line.quantity").try_cast("double").cast("long").alias("quantity"), "status")
@@ -36,7 +37,9 @@ def selected(rows: DataFrame, selectors: DataFrame, rank: str, name: str, group:
     s = F.lower("selector")
     kind = F.when(s.rlike("^[0-9]+$"), F.col(rank).cast("string") == s).when(F.contains(s, F.lit("/")), F.concat_ws("/", F.lower(group), F.lower(name)) == s)
     hit = kind.otherwise(F.contains(F.lower(name), s) | (F.lower(group) == s))
-    met = selectors.join(F.broadcast(rows), hit, "left").groupBy("selector").agg(F.count(rank).alias("n"), F.min(rank).alias("rank"))
+    # the few selectors go to the rows, not the rows to them
+    found = rows.join(F.broadcast(selectors), hit).groupBy("selector").agg(F.count("*").alias("n"), F.min(rank).alias("rank"))
+    met = selectors.join(found, "selector", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     error = F.when(F.col("n") > 1, "ambiguous").when(F.col("n") == 0, F.when(F.col("selector").rlike("^[0-9]+$"), "out of range").otherwise("no match"))
     return met.select("selector", F.when(F.col("n") == 1, F.col("rank").cast("long")).alias("rank"), error.alias("error"))
 
@@ -110,12 +113,12 @@ def title_word_classes(spark, d):
     return table(spark, d, "part").select("p_partkey", title_verdict(F.col("p_type"), HARD, INCLUDE, SOFT).alias("verdict"))
 
 
-@query("SELECT CASE WHEN c_mktsegment = 'BUILDING' AND r_name <> 'AMERICA' THEN 'suppressed' ELSE 'kept' END AS side, count(*) AS n, min(c_custkey) AS least FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' AND r_name <> 'AMERICA' THEN 'suppressed' ELSE 'kept' END AS side FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def foreign_suppression(spark, d):
     """Rows of one segment that are plainly elsewhere go to a side output; those of other segments stay whatever their place."""
     at = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     side = F.when((F.col("c_mktsegment") == "BUILDING") & (F.col("r_name") != "AMERICA"), "suppressed").otherwise("kept")
-    return at.groupBy(side.alias("side")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("least"))
+    return at.select("c_custkey", side.alias("side"))
 
 
 def without_content(df: DataFrame, content=("text", "html", "body")) -> DataFrame:
@@ -214,12 +217,15 @@ def migration_links(spark, d):
     return a.join(k.withColumnRenamed("p_partkey", "new_key"), ["p_brand", "p_type", "p_size", "ats"]).select("old_key", "new_key")
 
 
-def ancestry(parents: DataFrame, rounds: int) -> DataFrame:
-    """(id, root, depth, cyclic) by doubling: after each round a pointer spans twice as many steps, up to 2 ** rounds."""
+def ancestry(parents: DataFrame) -> DataFrame:
+    """(id, root, depth, cyclic) by doubling: after each round a pointer spans twice as many steps. A line of any length ends: as long as one
+    does, each round settles some of it, so what a round leaves as it was runs in a circle."""
     at = parents.select("id", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("parent", "id").alias("root"))
-    for _ in range(rounds):
+    open_ = None
+    while open_ != (open_ := at.where("up is not null").count()):
         above = at.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("root").alias("root2"))
         at = at.join(above, "up", "left").select("id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("root2", "root").alias("root"))
+        at = stored(at, "ancestry")
     cyclic = F.col("up").isNotNull()
     return at.select("id", F.when(~cyclic, F.col("root")).alias("root"), F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("cyclic"))
 
@@ -231,7 +237,7 @@ def parent_chains(spark, d):
     """Roots and depths of a tree of companies, in which one line of parents runs in a circle."""
     n = F.col("n_nationkey").cast("long")
     parent = F.when(n == 0, None).when(n == 11, 23).otherwise(F.expr("n_nationkey div 2"))
-    return ancestry(table(spark, d, "nation").select(n.alias("id"), parent.cast("long").alias("parent")), 5)
+    return ancestry(table(spark, d, "nation").select(n.alias("id"), parent.cast("long").alias("parent")))
 
 
 SIGNATURE = "sha256(array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(p_name), '[0-9]+', 'N', 'g'), ' '), lambda x: x <> ''))), ' '))"

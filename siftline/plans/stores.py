@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from siftline.operators import folds
 from siftline.plans.queries import query, table
 from siftline.shared import shared_dir
 from siftline.sources import jsonl, manifests
@@ -65,11 +66,22 @@ def payload_rows(spark, d):
     return manifests.parse(made.select("source", torn.alias("body"))).select("native_id", "title", "url", "location", "source")
 
 
-@query("SELECT DISTINCT sha256(text) AS hash FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)")
+@query("SELECT sha256(text) AS hash, max((doc_id % 3 = 0)::INT) = 1 AS first, any_value(length(text))::BIGINT AS size FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def content_addressed_write(spark, d):
-    docs = table(spark, d, "documents")
-    known = docs.where("doc_id % 3 = 0").select(F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
-    return manifests.new_blobs(docs, known, "text").select("hash")
+    """Two writes of texts by their hash, the second of all texts: what the store has is not written again."""
+    at, docs = folder(spark, "blobs"), table(spark, d, "documents").where("text is not null")
+    none = spark.createDataFrame([], "hash string")
+    manifests.write_blobs(manifests.new_blobs(docs.where("doc_id % 3 = 0"), none, "text").withColumn("first", F.lit(True)), at)
+    manifests.write_blobs(manifests.new_blobs(docs, spark.read.parquet(at), "text").withColumn("first", F.lit(False)), at)
+    return spark.read.parquet(at).select("hash", "first", F.length("content").cast("long").alias("size"))
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 7 = 0 THEN '' ELSE ts::DATE::VARCHAR END, event_id::VARCHAR) AS place FROM events WHERE event_id % 5 <> 2")
+def canonical_manifests(spark, d):
+    """Each entity's manifests in an order that arrival does not change; some have no time, some no entity."""
+    events = table(spark, d, "events")
+    at = events.select("event_id", F.when(F.col("event_id") % 5 != 2, F.col("user_id")).alias("user_id"), F.when(F.col("event_id") % 7 != 0, F.to_date("ts")).alias("fetched_at"))
+    return folds.canonical_order(at, "user_id", "fetched_at", "event_id").select("event_id", "user_id", F.col("place").cast("long").alias("place"))
 
 
 @query("""SELECT hash, CASE WHEN max(CASE WHEN m = 0 THEN 1 ELSE 0 END) = 1 THEN 'present' WHEN max(CASE WHEN m = 1 THEN 1 ELSE 0 END) = 1 THEN 'corrupt' WHEN max(CASE WHEN m = 2 THEN 1 ELSE 0 END) = 1 THEN 'pruned' ELSE 'not-synced' END AS state

@@ -78,6 +78,11 @@ def new_blobs(payloads: DataFrame, stored: DataFrame, content: str = "content")
     return at.join(stored.select("hash"), "hash", "left_anti").groupBy("hash").agg(F.first("content").alias("content"))
 
 
+def write_blobs(blobs: DataFrame, path: str) -> None:
+    """Adds blobs (column hash) to a store whose folders are the first two digits of the hash."""
+    blobs.withColumn("_of", F.substring("hash", 1, 2)).write.mode("append").partitionBy("_of").parquet(path)
+
+
 def missing(manifests: DataFrame, found: DataFrame) -> DataFrame:
     """Payloads that a manifest names and no file has."""
     named = manifests.where("payload is not null").select(F.col("payload.blob").alias("hash"), "fetch_id")

@@ -100,3 +100,12 @@ def test_fold_goes_on_after_a_restart(spark, tmp_path):
     again.take(at.where("event_id = 4"), 1)  # late
     again.take(at.where("event_id = 4"), 1)  # and once more
     assert sorted(map(str, again.entities().collect())) == sorted(map(str, index_of(at).collect()))
+
+
+def test_long_lines_of_parents_are_no_circle(spark):
+    from siftline.plans.rules import ancestry
+
+    rows = [(0, None)] + [(k, k - 1) for k in range(1, 100)] + [(200, 201), (201, 202), (202, 200), (300, 200), (400, None)]
+    got = {r.id: (r.root, r.depth, r.cyclic) for r in ancestry(spark.createDataFrame(rows, "id long, parent long")).collect()}
+    assert all(got[k] == (0, k, False) for k in range(100)) and got[400] == (400, 0, False)
+    assert all(got[k] == (None, None, True) for k in (200, 201, 202, 300))
