@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import blocks as B
 from siftline.functions import encoding as E
-from siftline.plans.queries import query, table
+from siftline.plans.queries import query, spread, table
 
 
 def q(x: str) -> str:
@@ -40,7 +40,7 @@ def _blocks_sql(source: str) -> str:
 @query(f"WITH {_blocks_sql('SELECT page_id, html FROM pages')} SELECT page_id, md5(text) AS h, length(text)::BIGINT AS n, len(string_split(text, chr(10)))::BIGINT AS lines FROM shown")
 def page_block_text(spark, d):
     """Text with a line for each block, without chrome."""
-    at = B.with_block_text(table(spark, d, "pages").select("page_id", "html"), "html", "text")
+    at = B.with_block_text(spread(table(spark, d, "pages").select("page_id", "html")), "html", "text")
     return at.select("page_id", F.md5("text").alias("h"), F.length("text").cast("long").alias("n"), F.size(F.split("text", "\n")).cast("long").alias("lines"))
 
 

@@ -18,7 +18,7 @@ from siftline.functions import score as X
 from siftline.functions import sponsorship as S
 from siftline.functions import titles as N
 from siftline.functions import years as Y
-from siftline.plans.queries import query, table
+from siftline.plans.queries import query, spread, table
 
 # ---- the same conditions in SQL
 
@@ -96,7 +96,7 @@ def planted_sql(key: str, statements, step: int) -> str:
 def with_statements(spark, d, statements) -> DataFrame:
     n = len(statements) + 1
     text = F.concat_ws("", F.coalesce("text", F.lit("")), F.lit(". "), planted("doc_id", statements, 1), F.lit(" "), planted("doc_id", statements, n))
-    return table(spark, d, "documents").select("doc_id", text.alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.alias("text"))
 
 
 def with_statements_sql(statements) -> str:
@@ -336,7 +336,7 @@ def _placed(spark, d) -> DataFrame:
     pick = lambda values, by: F.get(F.array(*map(F.lit, values)), (by % len(values)).cast("int"))
     key = F.col("doc_id")
     text = F.concat_ws("", F.coalesce("text", F.lit("")), F.lit(". "), planted("doc_id", MODES, len(PLACES)), F.lit(" "), planted("doc_id", MODES, 37))
-    at = table(spark, d, "documents").select("doc_id", L.plain(pick(PLACES, key)).alias("location"), L.plain(text).alias("text"), pick(HINTS, F.floor(key / 3)).alias("hint"), (key % 2 == 0).alias("trusted"), F.lit("").alias("title"))
+    at = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", L.plain(pick(PLACES, key)).alias("location"), L.plain(text).alias("text"), pick(HINTS, F.floor(key / 3)).alias("hint"), (key % 2 == 0).alias("trusted"), F.lit("").alias("title"))
     return L.with_workplace(at)
 
 
