@@ -51,9 +51,9 @@ def test_empty_documents(spark):
         assert stage(spark, docs, DATA).count() == 0
 
 
-def test_eleven_queries():
+def test_all_queries_are_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries()
 
 
@@ -62,7 +62,7 @@ def test_queries_on_empty_tables(spark, tmp_path, table):
     for name in ("documents", "labels", "pages", "conversations"):
         df = spark.read.parquet(f"{DATA}/{name}.parquet")
         (df.limit(0) if name in (table, "labels") else df.limit(20)).write.parquet(f"file://{tmp_path}/{name}.parquet")
-    uses = {"pages": ("op4", "op9"), "documents": ("op1", "op2", "op5", "op6", "op7", "op8", "op10")}[table]
+    uses = {"pages": ("op4", "op9", "op11"), "documents": ("op1", "op2", "op5", "op6", "op7", "op8", "op10", "op12", "op13")}[table]
     for name, f in __spark_entry__.queries().items():
         if name.split("_")[0] in uses:
             assert f(spark, f"file://{tmp_path}").count() == 0, name
