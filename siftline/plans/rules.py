@@ -292,15 +292,6 @@ def open_close_pairs(spark, d):
     return at.select("user_id", F.col("event_id").alias("opened"), F.when(closes, F.col("next.event_id")).alias("closed"), F.when(closes, F.col("next.t") - F.col("t")).alias("seconds"))
 
 
-@query("SELECT o.user_id, greatest(coalesce(o.seq, 0), coalesce(n.seq, 0))::BIGINT AS seq FROM (SELECT DISTINCT user_id FROM events) u JOIN (SELECT user_id, max(event_id) FILTER (event_id % 3 = 0) AS seq FROM events GROUP BY user_id) o USING (user_id) JOIN (SELECT user_id, max(event_id) FILTER (event_type = 'view') AS seq FROM events GROUP BY user_id) n USING (user_id)")
-def consumer_cursor(spark, d):
-    """A consumer's position only moves on: the greater of what is kept and what has been acted on."""
-    at = table(spark, d, "events")
-    old = at.groupBy("user_id").agg(F.max(F.when(F.col("event_id") % 3 == 0, F.col("event_id"))).alias("old"))
-    new = at.where("event_type = 'view'").groupBy("user_id").agg(F.max("event_id").alias("new"))
-    return old.join(new, "user_id", "full_outer").select("user_id", F.greatest(F.coalesce("old", F.lit(0)), F.coalesce("new", F.lit(0))).alias("seq"))
-
-
 @query(f"SELECT user_id, max(t) AS last, (SELECT max(t) FROM {EV}) - max(t) > 43200 AS stale FROM {EV} GROUP BY user_id")
 def watermark_staleness(spark, d):
     at = timed(spark, d)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftline.operators import folds
 from siftline.plans.queries import EV, INDEX_SQL, index_of, seconds
 from siftline.shared import shared_dir
+from siftline.streaming.cursor import Cursor
 from siftline.streaming.fold import FoldedLog
 
 
@@ -26,5 +27,32 @@ def stream_fold(spark: SparkSession, d: str) -> DataFrame:
     return log.entities()
 
 
-STREAMS = {"stream_fold": stream_fold}
-ORACLE = {"stream_fold": INDEX_SQL.format(EV)}
+def consumer_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """The event log read in three turns by a consumer whose second turn fails after it has written: what it wrote comes again."""
+    folder = f"{shared_dir(spark)}/cursor-{uuid.uuid4().hex}"
+    log = spark.read.parquet(f"{d}/events.parquet").select((F.col("event_id") + 1).alias("seq"), "user_id")
+    last = log.agg(F.max("seq")).first()[0] or 0
+    cursor = Cursor(spark, folder, "reader")
+
+    def write(turn: int, fails: bool = False):
+        def act(rows: DataFrame) -> None:
+            rows.withColumn("turn", F.lit(turn)).write.mode("append").parquet(f"{folder}/seen")
+            if fails:
+                raise RuntimeError("after the write")
+
+        return act
+
+    spark.createDataFrame([], "seq long, user_id long, turn int").write.parquet(f"{folder}/seen")
+    cursor.consume(log, write(1), upto=last // 3)
+    try:
+        cursor.consume(log, write(2, fails=True), upto=last // 2)
+    except RuntimeError:
+        pass
+    cursor.consume(log, write(3))
+    return spark.read.parquet(f"{folder}/seen")
+
+
+CURSOR_SQL = """WITH e AS (SELECT event_id + 1 AS seq, user_id, (SELECT max(event_id) + 1 FROM events) AS n FROM events)
+SELECT seq, user_id, 1 AS turn FROM e WHERE seq <= n // 3 UNION ALL SELECT seq, user_id, 2 FROM e WHERE seq > n // 3 AND seq <= n // 2 UNION ALL SELECT seq, user_id, 3 FROM e WHERE seq > n // 3"""
+STREAMS = {"stream_fold": stream_fold, "consumer_cursor": consumer_cursor}
+ORACLE = {"stream_fold": INDEX_SQL.format(EV), "consumer_cursor": CURSOR_SQL}
