@@ -69,3 +69,41 @@ def sampled_once(df: DataFrame, key: str, combos: Sequence[tuple[str, Column]],
     picked = listed.select(F.posexplode(F.aggregate("l", start, allot)).alias("pos", "t"))
     place = F.row_number().over(Window.partitionBy("i").orderBy("pos"))
     return picked.select("pos", "t.i", F.col("t.key").alias(key)).withColumn("place", place).select(F.get(names, F.col("i")).alias("combo"), key, "place")
+
+
+#: Flags of a tracker filter: membership in a list, a part of the text from a list, and bounds.
+MEMBERS, PARTS = ("status", "phase", "progress_state", "workplace", "sponsorship", "fit"), ("company", "role", "location", "slug", "channel")
+BOUNDS = ("min_level", "max_level", "min_salary", "max_yoe", "posted_after", "since")
+
+
+def matching(flags: dict) -> Column:
+    """One column for all active flags: AND across flags, OR within a list, case aside. Unknown levels, pay and dates fail their bound, unknown
+    years pass theirs. A level range has to overlap the wanted one; pay counts by its upper end, or else its lower. Columns that
+    compare to a value reach the scan. ValueError for a flag that there is not."""
+    if unknown := set(flags) - {*MEMBERS, *PARTS, *BOUNDS}:
+        raise ValueError(f"no such flag: {sorted(unknown)}")
+    given = {k: v for k, v in flags.items() if v is not None}
+    out = F.lit(True)
+    for name in MEMBERS:
+        if name in given:
+            out &= F.coalesce(F.lower(name).isin([v.lower() for v in given[name]]), F.lit(False))
+    for name in PARTS:
+        if name in given:
+            hit = F.lit(False)
+            for v in given[name]:
+                hit |= F.coalesce(F.contains(F.lower(name), F.lit(v.lower())), F.lit(False))
+            out &= hit
+    if "min_level" in given or "max_level" in given:
+        out &= F.col("level_min").isNotNull() | F.col("level_max").isNotNull()
+        if "min_level" in given:
+            out &= F.coalesce(F.col("level_max") >= given["min_level"], F.lit(True))
+        if "max_level" in given:
+            out &= F.coalesce(F.col("level_min") <= given["max_level"], F.lit(True))
+    if "min_salary" in given:
+        out &= F.coalesce(F.coalesce("salary_max", "salary_min") >= given["min_salary"], F.lit(False))
+    if "max_yoe" in given:
+        out &= F.coalesce(F.col("yoe_min") <= given["max_yoe"], F.lit(True))
+    for name, column in (("posted_after", "posted"), ("since", "researched")):
+        if name in given:
+            out &= F.coalesce(F.col(column) >= F.lit(given[name]).cast("date"), F.lit(False))
+    return out

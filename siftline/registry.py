@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries():
-    from siftline.plans import allocation, keeping, mail, more, pages, postings, rules, stores  # noqa: F401  (they register their queries)
+    from siftline.plans import allocation, keeping, mail, more, pages, postings, rules, stores, tracker  # noqa: F401  (they register their queries)
     from siftline.plans.queries import QUERIES
     from siftline.streaming.queries import STREAMS
 
@@ -12,7 +12,7 @@ def queries():
 
 
 def oracle_sql():
-    from siftline.plans import allocation, keeping, mail, more, pages, postings, rules, stores  # noqa: F401
+    from siftline.plans import allocation, keeping, mail, more, pages, postings, rules, stores, tracker  # noqa: F401
     from siftline.plans.queries import ORACLE
     from siftline.streaming.queries import ORACLE as STREAM_ORACLE
 

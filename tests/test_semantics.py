@@ -109,3 +109,12 @@ def test_long_lines_of_parents_are_no_circle(spark):
     got = {r.id: (r.root, r.depth, r.cyclic) for r in ancestry(spark.createDataFrame(rows, "id long, parent long")).collect()}
     assert all(got[k] == (0, k, False) for k in range(100)) and got[400] == (400, 0, False)
     assert all(got[k] == (None, None, True) for k in (200, 201, 202, 300))
+
+
+def test_unknown_flags_are_errors(spark):
+    import pytest
+
+    from siftline.operators import select
+
+    with pytest.raises(ValueError, match="salaries"):
+        select.matching({"salaries": 5})
