@@ -96,11 +96,13 @@ def coverage_numbers(spark, d):
     return at.agg(F.count("*").alias("n"), F.count("c_custkey").alias("keyed"), F.count_if(bad).alias("malformed"), F.count_if(F.col("k").isNull()).alias("unresolved"))
 
 
-@query("SELECT p_partkey, count(l_partkey)::BIGINT AS refs, count(l_partkey) = 0 AS orphan FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'A') ON l_partkey = p_partkey GROUP BY p_partkey")
+@query("SELECT p_partkey, count(l_partkey)::BIGINT AS refs, count_if(l_quantity > 45 AND l_returnflag = 'A') AS live, count_if(l_quantity > 45 AND l_returnflag = 'A') = 0 AS orphan FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey")
 def ref_count_orphans(spark, d):
-    refs = table(spark, d, "lineitem").where("l_quantity > 45 and l_returnflag = 'A'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("refs"))
-    refs_of = F.coalesce("refs", F.lit(0))
-    return table(spark, d, "part").select("p_partkey").join(refs, "p_partkey", "left").select("p_partkey", refs_of.alias("refs"), (refs_of == 0).alias("orphan"))
+    """All references to each part, those that are live, and whether none is."""
+    live = F.count_if((F.col("l_quantity") > 45) & (F.col("l_returnflag") == "A"))
+    refs = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("refs"), live.alias("live"))
+    n = {c: F.coalesce(c, F.lit(0)) for c in ("refs", "live")}
+    return table(spark, d, "part").select("p_partkey").join(refs, "p_partkey", "left").select("p_partkey", *[c.alias(x) for x, c in n.items()], (n["live"] == 0).alias("orphan"))
 
 
 @query("""WITH old AS (SELECT o_custkey AS k, max(o_orderdate)::DATE AS last, count(*) AS n FROM orders WHERE o_orderkey % 5 > 0 GROUP BY 1), new AS (SELECT o_custkey AS k, max(o_orderdate)::DATE AS last, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1)
