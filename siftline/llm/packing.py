@@ -18,7 +18,6 @@ an empty result; further columns are ignored. Texts with special token names fol
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import zlib
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import map_frames, stored
+from .tables import give_back, map_frames, stored
 
 ANCHORS, DEEPEST, SWEEPS, ROUNDS = 48, 8, 60, 8
 KEPT_WORDS = 150_000
@@ -93,25 +92,19 @@ def _parts(token: str, end: str) -> list[str]:
     return list(body) if body == token else [*body[:-1], body[-1] + end]
 
 
-@functools.cache
-def vocabulary(path: str, left_out: frozenset[str]):
-    """The tokenizer, and its merges by byte rank with b"\\0" for the end of a piece: (tokenizer, encoding, mark between words).
+def byte_ranks(path: str, left_out: frozenset[str] | None = None) -> dict[bytes, int]:
+    """The merges by byte rank with b"\\0" for the end of a piece.
 
     Ranks join any neighbours that make a token, where the tokenizer joins only those of a merge. Both give the same ids if no
     token is kept that its own merges do not reach: such tokens (``left_out``) can occur in no text."""
-    import tiktoken
-    from tokenizers import Tokenizer
-
     (vocab, end, merges), letters = _merges(path), _letters()
-    merged = {a + b for a, b in merges}
+    merged, left_out = {a + b for a, b in merges}, unreached(path) if left_out is None else left_out
 
     def raw(token: str) -> bytes:
         body = token.removesuffix(end)
         return bytes(map(letters.__getitem__, body)) + b"\0" * (body != token)
 
-    known = {raw(t): i for t, i in vocab.items() if (t in merged and t not in left_out) or (t not in merged and t.removesuffix(end) in letters)}
-    encoding = tiktoken.Encoding("pieces", pat_str="[^\0]+\0", mergeable_ranks=known, special_tokens={})
-    return Tokenizer.from_file(path), encoding, encoding.encode_ordinary("\x01\0")[0]
+    return {raw(t): i for t, i in vocab.items() if (t in merged and t not in left_out) or (t not in merged and t.removesuffix(end) in letters)}
 
 
 def _latin(text: str) -> bool:
@@ -125,9 +118,17 @@ def _latin(text: str) -> bool:
 class WordTokens:
     """Ids of texts by a tokenizer that drops white space and looks at each word alone; words are kept once tokenized."""
 
-    def __init__(self, path: str, left_out: frozenset[str] | None = None):
-        self.tokenizer, self.pieces, self.mark = vocabulary(path, unreached(path) if left_out is None else left_out)
+    def __init__(self, path: str, ranks: dict[bytes, int] | None = None):
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        # what reading the file takes goes back before the next is read: several workers start beside a full heap
+        self.tokenizer = Tokenizer.from_file(path)
+        give_back()
+        self.pieces = tiktoken.Encoding("pieces", pat_str="[^\0]+\0", mergeable_ranks=byte_ranks(path) if ranks is None else ranks, special_tokens={})
+        self.mark = self.pieces.encode_ordinary("\x01\0")[0]
         self.known: dict[str, bytes] = {}
+        give_back()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint16).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -165,10 +166,10 @@ class WordTokens:
 
 
 def _tokenized(path: str, window: int, end: int):
-    left_out = unreached(path)
+    ranks_of = byte_ranks(path)  # read on the driver, once; a worker would hold the whole file as Python objects
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, part = WordTokens(path, left_out), TaskContext.get().partitionId()
+        words, part = WordTokens(path, ranks_of), TaskContext.get().partitionId()
         ranks: Counter[int] = Counter()
         full, last = 0, np.array([end], np.uint16).tobytes()
         for b in batches:
@@ -183,8 +184,6 @@ def _tokenized(path: str, window: int, end: int):
                     ranks[rest] += 1
                     full += n // window
                 yield pd.DataFrame(out, columns=["doc_id", "ids", "n", "rest", "part", "rank", "full"])
-        vocabulary.cache_clear()  # the worker stays
-
     return run
 
 

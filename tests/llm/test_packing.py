@@ -102,3 +102,10 @@ def test_least_squares_meets_a_histogram_of_known_repeats():
     counts = {10: 10, 54: 7, 20: 11, 24: 4, 34: 3}
     assert np.allclose(packing.repeat_counts(found, counts), x, atol=0.2)
     assert all(sum(n * m for n, m in c.items()) == 64 for c in packing.combinations(counts, 64))
+
+
+def test_workers_do_not_read_the_vocabulary_as_objects(monkeypatch):
+    ranks = packing.byte_ranks(PATH)
+    monkeypatch.setattr(packing, "_merges", lambda path: pytest.fail("read again"))
+    texts = ["Alpha, beta 12", "naïve 日本語"]
+    assert packing.WordTokens(PATH, ranks).encode(texts) == WORDS.encode(texts)
