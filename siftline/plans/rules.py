@@ -346,7 +346,7 @@ def sentence_counts(spark, d):
     """Sentences, words, and a key of the first sentence that ignores case and marks."""
     key = F.trim(F.regexp_replace(F.lower(F.regexp_extract("text", "^[^.!?]*", 0)), "[^a-z0-9]+", " "))
     return table(spark, d, "documents").select(
-        "doc_id", T.count_matches(F.col("text"), "[^.!?]*[.!?]+").cast("long").alias("sentences"), T.count_matches(F.col("text"), r"[^\s]+").cast("long").alias("words"), F.md5(key).alias("first_key")
+        "doc_id", T.count_matches(F.col("text"), "[.!?]+").cast("long").alias("sentences"), T.count_matches(F.col("text"), r"[^\s]+").cast("long").alias("words"), F.md5(key).alias("first_key")
     )
 
 
