@@ -93,11 +93,11 @@ def table_of(entries: dict[str, str]) -> Column:
     return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
 
 
-def runs(numbers) -> list[tuple[int, int]]:
-    """Consecutive numbers as (first, last)."""
+def runs(numbers, gap: int = 1) -> list[tuple[int, int]]:
+    """Consecutive numbers, or such that are at most ``gap`` apart, as (first, last)."""
     out: list[list[int]] = []
     for n in sorted(numbers):
-        if out and n == out[-1][1] + 1:
+        if out and n <= out[-1][1] + gap:
             out[-1][1] = n
         else:
             out.append([n, n])
@@ -108,11 +108,17 @@ def folded(text: Column) -> Column:
     """Letters without accents, ligatures and other forms as what they stand for."""
     one, to, marks, several = decomposed()
     keys = list(several)
-    at = F.translate(text, one + marks, to)
     table = table_of(several)
-    spelled = F.array_join(F.transform(F.split(at, ""), lambda c: F.when(F.ascii(c) < 128, c).otherwise(F.coalesce(F.try_element_at(table, c), c))), "")
-    some = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs(map(ord, keys))) + "]"
-    return F.when(at.rlike(r"[^\x00-\x7F]") & at.rlike(some), spelled).otherwise(at)
+    group = lambda found: "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in found) + "]"
+    # engines try the ranges of a class one by one: a few wide ones first
+    some = f"[{group(runs(map(ord, keys), 256))}&&{group(runs(map(ord, keys)))}]"
+
+    def spelled(at: Column) -> Column:
+        """Each letter that occurs, looked up once and replaced at all its places; no letter's spelling has another of them."""
+        found = F.array_distinct(F.regexp_extract_all(at, F.lit(some), F.lit(0)))
+        return F.aggregate(found, at, lambda x, c: F.replace(x, c, F.element_at(table, c)))
+
+    return F.get(F.transform(F.array(F.translate(text, one + marks, to)), spelled), F.lit(0))
 
 
 # ---- references

@@ -24,3 +24,24 @@ def test_sentences_of_a_text_without_marks(spark, tmp_path):
     rows = registry.queries()["sentence_counts"](spark, str(tmp_path)).select("doc_id", "sentences", "words").collect()
     assert sorted(map(tuple, rows)) == [(1, 0, 60_000), (2, 2, 4), (3, 1, 1), (4, 0, 0)]
     assert time.time() - began < 15
+
+
+def test_folded_letters_are_looked_up_once_each(spark):
+    one, to, marks, several = encoding.decomposed()
+    assert not set("".join(several.values())) & set(several)
+    texts = ["".join(several), "ﬁﬁ a½b ① 日本 жЖ", "plain", ""]
+    plain = lambda t: "".join(x for c in t for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+    at = encoding.folded(F.col("t"))
+    assert "split(" not in str(at)
+    got = spark.createDataFrame([(t,) for t in (*texts, None)], "t string").select("t", at.alias("x")).collect()
+    assert {r.t: r.x for r in got} == {t: plain(t) for t in texts} | {None: None}
+
+
+def test_heavy_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    spark.range(4000).repartition(1).withColumn("text", F.repeat(F.lit("x"), 500)).write.parquet(f"{tmp_path}/t.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        parts = spread(spark.read.parquet(f"{tmp_path}/t.parquet")).groupBy(F.spark_partition_id()).count().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert parts > 4
