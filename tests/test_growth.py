@@ -37,6 +37,10 @@ def test_folded_letters_are_looked_up_once_each(spark):
     assert {r.t: r.x for r in got} == {t: plain(t) for t in texts} | {None: None}
 
 
+def test_texts_move_once(spark):
+    assert len(exchanges(registry.queries()["bench_token_overlap"](spark, DATA))) == 1
+
+
 def test_heavy_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
     spark.range(4000).repartition(1).withColumn("text", F.repeat(F.lit("x"), 500)).write.parquet(f"{tmp_path}/t.parquet")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
