@@ -6,6 +6,7 @@ terms are looked for. Each part of the score is a column of its own, and the sco
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -20,6 +21,8 @@ LEAD = (
     r"\b(?:not interested in|no interest in|(?:this|the) (?:role|position|job|team) (?:is not|does not|doesn t|will not|won t) (?:an? |involve[a-z]* |include[a-z]* |entail[a-z]* |focus[a-z]* on |touch[a-z]* |work on |deal with |cover[a-z]* )"
     r"|(?:we|you|candidates?) (?:are|will) not (?:be )?(?:looking for|seeking|hiring|building|doing|writing|working on)|(?:we|you) (?:won t|will not) (?:be )?(?:looking for|seeking|hiring|building|doing|writing|working on)|this (?:role )?is not an?)\b"
 )
+#: Whatever takes a term back has one of these.
+CUES = ("not ", "no interest in", "doesn t ", "won t ")
 REACH, STOP = 160, r"(?:\.|\bbut\b|\bhowever\b|\binstead\b|\balthough\b)"
 TAKEN_BACK = rf"{LEAD}(?:.{{0,{REACH}}}?{STOP}|.{{{REACH}}}|.*$)"
 STRONG_TITLE, STRONG_TEXT, GOOD, NEGATIVE = 8.0, 4.0, 1.5, -4.0
@@ -42,11 +45,19 @@ class Profile(NamedTuple):
 
 def live(text: Column) -> Column:
     """A normalised text without what its statements take back."""
-    return F.regexp_replace(text, TAKEN_BACK, " ")
+    says = F.lit(False)
+    for cue in CUES:
+        says = says | F.contains(text, F.lit(cue))
+    return F.when(says, F.regexp_replace(text, TAKEN_BACK, " ")).otherwise(text)
 
 
 def has(text: Column, term: str) -> Column:
-    return text.rlike(T.term_pattern(term))
+    """Whether a text has a term; one without its words, which are found faster, is not matched."""
+    out = F.lit(True)
+    for w in dict.fromkeys(term.lower().replace("-", " ").split()):
+        if re.fullmatch("[a-z0-9]+", w):
+            out = out & F.contains(text, F.lit(w))
+    return out & text.rlike(T.term_pattern(term))
 
 
 def total(parts: Sequence[Column]) -> Column:

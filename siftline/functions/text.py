@@ -22,7 +22,7 @@ HOME_PATH = r"/(home|Users)/[A-Za-z0-9_.-]+"
 def normalize(x: Column) -> Column:
     """Small letters, dashes as '-', nothing but a-z 0-9 - + / . # and single spaces."""
     dashes = F.translate(F.lower(x), "‐‑‒–—―", "------")
-    return F.trim(F.regexp_replace(F.regexp_replace(dashes, r"[^a-z0-9+/.# -]", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(dashes, r"[^a-z0-9+/.# -]+", " "), "  +", " "))
 
 
 def content_hash(x: Column) -> Column:

@@ -41,6 +41,21 @@ def test_texts_move_once(spark):
     assert len(exchanges(registry.queries()["bench_token_overlap"](spark, DATA))) == 1
 
 
+@pytest.mark.parametrize("term", ["machine learning", "on-call", "c++", "Spark"])
+def test_terms_are_matched_where_their_words_are(spark, term):
+    texts = ["machine-learnings here", "a machinelearning", "on call", "oncall.", "c++ x", "sparks", "sparkle", "learning machine", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(score.has(F.col("t"), term).alias("a"), F.col("t").rlike(text.term_pattern(term)).alias("b")).collect() if term != "c++" else []
+    assert all(r.a == r.b for r in got)
+    assert "contains(" in str(score.has(F.col("t"), "spark"))
+
+
+def test_texts_without_a_cue_are_not_searched_for_what_is_taken_back(spark):
+    texts = ["not interested in go. x", "no interest in go but y", "this role does not involve go", "this role doesn t involve go. z", "we won t be hiring for go", "this is not an go", "nothing", ""]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(score.live(F.col("t")).alias("a"), F.regexp_replace("t", score.TAKEN_BACK, " ").alias("b")).collect()
+    assert all(r.a == r.b for r in got) and score.CUES
+
+
 def test_heavy_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
     spark.range(4000).repartition(1).withColumn("text", F.repeat(F.lit("x"), 500)).write.parquet(f"{tmp_path}/t.parquet")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
