@@ -47,8 +47,19 @@ def conflicts(df: DataFrame, by: Sequence[str], key: str, begin: str, finish: st
     return at.join(other, [*by, "bucket"]).where((F.col("a") < F.col("b")) & (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")) & first).select(*by, "a", "b")
 
 
-def tiling(df: DataFrame, by: str, begin: str, finish: str, rank: str) -> DataFrame:
-    """Elementary segments between all bounds, each with the least rank that covers it (null: none)."""
+def tiling(df: DataFrame, by: str, begin: str, finish: str, rank: str, ranks: Sequence[int] | None = None) -> DataFrame:
+    """Elementary segments between all bounds, each with the least rank that covers it (null: none). Where all ``ranks`` are named, their running
+    sums stand side by side, and each interval moves once, as two bounds."""
+    if ranks is not None:
+        ends = F.array(F.struct(F.col(begin).alias("t"), F.lit(1).alias("step")), F.struct(F.col(finish).alias("t"), F.lit(-1).alias("step")))
+        each = df.select(by, F.col(rank).alias("_rank"), F.explode(ends).alias("_end")).select(by, "_rank", "_end.t", "_end.step").repartition(by)
+        names = {r: f"_open{i}" for i, r in enumerate(sorted(ranks))}
+        steps = each.groupBy(by, "t").agg(*[F.sum(F.when(F.col("_rank") == r, F.col("step")).otherwise(0)).alias(n) for r, n in names.items()])
+        ordered = Window.partitionBy(by).orderBy("t")
+        so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+        at = steps.select(by, "t", F.lead("t").over(ordered).alias("t2"), *[F.sum(n).over(so_far).alias(n) for n in names.values()]).where("t2 is not null")
+        least = F.coalesce(*[F.when(F.col(n) > 0, F.lit(r)) for r, n in names.items()])
+        return at.select(by, "t", "t2", least.cast(df.schema[rank].dataType).alias("rank"))
     bounds = df.select(by, F.col(begin).alias("t")).union(df.select(by, F.col(finish).alias("t"))).distinct()
     segments = bounds.withColumn("t2", F.lead("t").over(Window.partitionBy(by).orderBy("t"))).where("t2 is not null")
     # open claims of each rank at each bound, by running sums: ranks are few, claims may be many

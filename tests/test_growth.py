@@ -41,6 +41,10 @@ def test_texts_move_once(spark):
     assert len(exchanges(registry.queries()["bench_token_overlap"](spark, DATA))) == 1
 
 
+def test_intervals_move_once(spark):
+    assert len(exchanges(registry.queries()["phase_tiling"](spark, DATA))) == 1
+
+
 @pytest.mark.parametrize("term", ["machine learning", "on-call", "c++", "Spark"])
 def test_terms_are_matched_where_their_words_are(spark, term):
     texts = ["machine-learnings here", "a machinelearning", "on call", "oncall.", "c++ x", "sparks", "sparkle", "learning machine", ""]
