@@ -292,7 +292,7 @@ def classify_title(spark, d):
     key = F.col("p_partkey")
     pick = lambda values, by: F.get(F.array(*map(F.lit, values)), (by % len(values)).cast("int"))
     title = F.concat(pick(FRONT, key), pick(CORE, F.floor(key / len(FRONT))), pick(BACK, F.floor(key / (len(FRONT) * len(CORE)))))
-    at = table(spark, d, "part").select("p_partkey", title.alias("title"))
+    at = spread(table(spark, d, "part").select("p_partkey")).select("p_partkey", title.alias("title"))
     return at.select("p_partkey", *[c.alias(n) for n, c in N.assessed(F.col("title"), SEARCH).items()])
 
 
