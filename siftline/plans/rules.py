@@ -170,13 +170,16 @@ KEYED = "(SELECT {0} AS id, unnest([n_name || '/' || (round({1} / 100))::BIGINT,
 
 @query(f"SELECT DISTINCT a.id AS c_custkey, b.id AS s_suppkey FROM {KEYED.format('c_custkey', 'floor(c_acctbal)', 'right(c_name, 6)', 'customer', 'c_nationkey')} a JOIN {KEYED.format('s_suppkey', 'floor(s_acctbal)', 'right(s_name, 6)', 'supplier', 's_nationkey')} b ON a.k = b.k")
 def match_key_intersection(spark, d):
-    """Entities that have any alias in common, each pair once."""
-    def keyed(name: str, p: str, key: str) -> DataFrame:
+    """Entities that have any alias in common, each pair once: it comes from the first alias that both have, so pairs are not compared again."""
+    def keyed(name: str, p: str, key: str, own: str) -> DataFrame:
         at = table(spark, d, name).join(F.broadcast(table(spark, d, "nation")), F.col(f"{p}_nationkey") == F.col("n_nationkey"))
         place = F.concat_ws("/", "n_name", F.round(F.floor(f"{p}_acctbal") / 100).cast("long").cast("string"))
-        return at.select(key, F.explode(F.array(place, F.substring(f"{p}_name", -6, 6))).alias("k"))
+        aliases = F.array_compact(F.array(place, F.substring(f"{p}_name", -6, 6)))
+        at = at.select(key, aliases.alias("k")).groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("k"))).alias(own))
+        return at.select(key, own, F.explode(own).alias("k"))
 
-    return keyed("customer", "c", "c_custkey").join(keyed("supplier", "s", "s_suppkey"), "k").select("c_custkey", "s_suppkey").distinct()
+    met = keyed("customer", "c", "c_custkey", "a").join(keyed("supplier", "s", "s_suppkey", "b"), "k")
+    return met.where(F.col("k") == F.array_min(F.array_intersect("a", "b"))).select("c_custkey", "s_suppkey")
 
 
 @query(URL_SQL + ", h AS (SELECT page_id, url, regexp_extract(url, '^[^:]*://([^/?]*)', 1) AS host FROM e), k AS (SELECT * FROM h WHERE page_id % 3 = 0) SELECT page_id, CASE WHEN url IN (SELECT url FROM k) THEN 'url' WHEN host IN (SELECT host FROM k) THEN 'company' ELSE 'none' END AS coverage FROM h")
@@ -343,7 +346,8 @@ def clipped_spans(spark, d):
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[^.!?]*[.!?]+'))::BIGINT AS sentences, len(regexp_extract_all(text, '[^\\s]+'))::BIGINT AS words, md5(trim(regexp_replace(lower(regexp_extract(text, '^[^.!?]*')), '[^a-z0-9]+', ' ', 'g'))) AS first_key FROM documents")
 def sentence_counts(spark, d):
-    """Sentences, words, and a key of the first sentence that ignores case and marks."""
+    """Sentences, words, and a key of the first sentence that ignores case and marks. Each run of marks ends one sentence: what stands
+    before it is not matched, as a pattern would read a text without marks to its end from each of its letters."""
     key = F.trim(F.regexp_replace(F.lower(F.regexp_extract("text", "^[^.!?]*", 0)), "[^a-z0-9]+", " "))
     return table(spark, d, "documents").select(
         "doc_id", T.count_matches(F.col("text"), "[.!?]+").cast("long").alias("sentences"), T.count_matches(F.col("text"), r"[^\s]+").cast("long").alias("words"), F.md5(key).alias("first_key")

@@ -45,6 +45,15 @@ def test_intervals_move_once(spark):
     assert len(exchanges(registry.queries()["phase_tiling"](spark, DATA))) == 1
 
 
+def test_pairs_are_not_grouped(spark, tmp_path):
+    spark.createDataFrame([(1, "Customer#000001", 0, 150.0), (1, "Customer#000001", 0, 950.0), (2, None, 0, 150.0)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(7, "Supplier#000001", 0, 150.0), (8, None, 0, None)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, "X")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    df = registry.queries()["match_key_intersection"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [(1, 7), (2, 7)]
+    assert not [x for x in exchanges(df) if "c_custkey" in x and "s_suppkey" in x]
+
+
 @pytest.mark.parametrize("term", ["machine learning", "on-call", "c++", "Spark"])
 def test_terms_are_matched_where_their_words_are(spark, term):
     texts = ["machine-learnings here", "a machinelearning", "on call", "oncall.", "c++ x", "sparks", "sparkle", "learning machine", ""]
