@@ -44,6 +44,8 @@ INSIDE = r"\b(?:including|includes|included|incl\.?|of which|of these|thereof|wh
 FILLER = r"[ ,;:()\[\]/&+.–—-]*(?:(?:at least|a minimum of|minimum(?: of)?|min\.?|over|more than|no less than|up to|the|an?|of|in|on)[ ,;:()\[\]/&+.–—-]*)*"
 BLANK, LINE = r"[ \t\r\f\x0B\xA0]+", r"[\n.]"
 MOST = 50
+#: Each match of PATTERN or STATED has one of these, and no match has a line feed.
+NEEDS = ("year", "yr")
 
 
 def normalised(text: Column) -> Column:
@@ -91,7 +93,7 @@ def _picked(candidates: str) -> Column:
 
 def with_years(df: DataFrame, text: str, *keep: str, cap: float | None = None) -> DataFrame:
     """``keep`` and min, max, confidence, kind, specialty (its least years), reason and decision."""
-    at = E.with_spans(df.select(*keep, normalised(F.col(text)).alias("_t")), "_t", PATTERN, "_s")
+    at = E.with_spans(df.select(*keep, normalised(F.col(text)).alias("_t")), "_t", PATTERN, "_s", "\n", NEEDS)
     at = at.withColumn("_line", F.nullif(F.instr("_t", "\n"), F.lit(0)) - 1)
     at = at.withColumn("_n", F.size("_s")).withColumn("_s", F.transform("_s", lambda s: _stated(s, F.col("_line")))).withColumn("_s", F.transform("_s", _candidate))
     at = at.withColumn("_s", F.filter("_s", lambda c: c.kind.isNotNull()))
@@ -115,7 +117,7 @@ def with_years(df: DataFrame, text: str, *keep: str, cap: float | None = None) -
     at = at.withColumn("_s", F.aggregate(F.reverse("_s"), start, raised, lambda s: s["out"]))
     at = at.withColumn("_main", F.filter("_s", lambda c: ~c.nested)).withColumn("_inner", F.filter("_s", lambda c: c.nested)).withColumn("_main", F.when(F.size("_main") > 0, F.col("_main")).otherwise(F.col("_s")))
     at = at.withColumn("_p", _picked("_main")).withColumn("_q", _picked("_inner"))
-    unread = (F.col("_n") == 0) & F.exists(F.split("_t", LINE), lambda s: s.rlike(STATED) & s.rlike(r"\bexperien(?:ce|ced)\b"))
+    unread = (F.col("_n") == 0) & E.has_any(F.col("_t"), NEEDS) & F.contains("_t", F.lit("experien")) & F.exists(F.split("_t", LINE), lambda s: s.rlike(STATED) & s.rlike(r"\bexperien(?:ce|ced)\b"))
     confidence = F.when(F.col("_p").isNull(), "unknown").when(F.col("_p.sure") == 1, "high").otherwise("medium")
     over = F.lit(False) if cap is None else F.col("_p.low") > cap
     return at.select(
