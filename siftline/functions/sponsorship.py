@@ -67,18 +67,25 @@ SPELLINGS = (
     ("[’‘]", "'"), (r"[ \t\n\r\f\x0B\xA0]+", " "), (r"\bu\. ?s\b\.?", "us"), (r"\bh-1b", "h1b"), (r"\bh1-b", "h1b"), (r"\bcannot\b", "can not"), (r"\bcan't\b", "can not"),
     (r"\bwon't\b", "will not"), (r"n't\b", " not"), (r"\bat all\b", "atall"),
 )
+#: Of each spelling, what every text that has it has; none where it is in any text.
+SPELLED = (("’", "‘"), (), ("u.",), ("h-1b",), ("h1-b",), ("cannot",), ("can't",), ("won't",), ("n't",), ("at all",))
 #: How many words may stand between: a negation and what it negates, two negations, a quantifier, an offering verb, a hedge.
 REACH, DOUBLE, BOUND, OFFERING, HEDGED = 8, 4, 6, 5, 3
 SCOPE, WINDOW = 160, 120
 PATTERN = E.alternation(RULES)
+#: Each match of PATTERN has one of the first, each of SIGNAL and of TRANSFER one of the others; no match of PATTERN has a full stop.
+NEEDS = ("sponsor", "citizen", "permanent resident", "green card", "gc only", "visa", "perm process", "exempt", "immigration", "h1b transfer")
+OF_SIGNAL, OF_TRANSFER = ("sponsor", "visa", "immigration", "work authorization", "h1b", "green card", "perm"), ("transfer", "exempt")
 
 CLASSES = ("negative", "negated_offer", "unsettled", "unreachable", "scope_limit", "ambiguous", "export_control", "hedged", "positive")
 
 
-def normalised(text: Column) -> Column:
-    at = F.translate(F.coalesce(text, F.lit("")), E.UPPER, E.LOWER)
-    for pattern, to in SPELLINGS:
-        at = F.regexp_replace(at, pattern, to)
+def with_normalised(df: DataFrame, text: Column, name: str, *keep: str) -> DataFrame:
+    """``keep`` and ``text`` in one spelling, as ``name``. Each spelling is a column of its own on the way, sought by pattern only in texts that have its cue."""
+    at = df.select(*keep, F.translate(F.coalesce(text, F.lit("")), E.UPPER, E.LOWER).alias(name))
+    for (pattern, to), cues in zip(SPELLINGS, SPELLED, strict=True):
+        new = F.regexp_replace(name, pattern, to)
+        at = at.withColumn(name, F.when(E.has_any(F.col(name), cues), new).otherwise(F.col(name)) if cues else new)
     return at
 
 
@@ -145,8 +152,8 @@ def _headed(kind: str) -> Column:
 
 def assessed(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """``keep`` and decision, verdict, confidence, rule_ids, evidence and signature for each row; one projection after another, no shuffle."""
-    at = E.with_spans(df.select(*keep, normalised(F.col(text)).alias("t")), "t", PATTERN, "s")
-    at = at.withColumn("transfer", F.col("t").rlike(TRANSFER))
+    at = E.with_spans(with_normalised(df, F.col(text), "t", *keep), "t", PATTERN, "s", ".", NEEDS)
+    at = at.withColumn("transfer", E.has_any(F.col("t"), OF_TRANSFER) & F.col("t").rlike(TRANSFER))
     for step in (_framed, _clauses, _weighed, lambda s: _graded(s, F.col("transfer"))):
         at = at.withColumn("s", F.transform("s", step))
     at = at.withColumns({c: _said("s", c) for c in CLASSES})
@@ -160,7 +167,7 @@ def assessed(df: DataFrame, text: str, *keep: str) -> DataFrame:
     families = F.concat_ws(",", *[F.when(some[c], c) for c in sorted(CLASSES)])
     at = at.select(
         *keep, by("match", "no_match", "review", "review").alias("decision"), by("likely", "unlikely", "unknown", "unknown").alias("verdict"),
-        by("high", "high", "low", "unknown").alias("confidence"), F.array_join(lists, " | ").alias("evidence"), families.alias("families"), (some["negative"] | F.col("t").rlike(SIGNAL) | (families != "")).alias("signal"),
+        by("high", "high", "low", "unknown").alias("confidence"), F.array_join(lists, " | ").alias("evidence"), families.alias("families"), (some["negative"] | (families != "") | (E.has_any(F.col("t"), OF_SIGNAL) & F.col("t").rlike(SIGNAL))).alias("signal"),
     )
     material = F.concat_ws("|", F.lit("sponsorship"), "decision", "verdict", "confidence", "families")
     return at.withColumn("signature", F.substring(F.sha2(material, 256), 1, 16))
