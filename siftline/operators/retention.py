@@ -6,7 +6,7 @@ only if every operation that refers to it lies in a tier whose rule holds for it
 fed and the latest time that it was observed. One reference of a tier that never prunes, or one date that is missing, keeps it.
 A store in which any manifest or entity is damaged has an empty plan, as what refers to what is not known there.
 
-Everything is grouped by blob: operations are a set of few kinds, entities meet manifests by fetch, damage is one row for each store.
+Everything is grouped by blob, equal rows without a step of their own: operations are flags of few kinds, entities meet manifests by fetch, damage is one row for each store.
 
 Defined results: an operation without a tier, or a tier without a rule, never prunes; a missing date is older than nothing; a blob without
 references is an orphan; a reference to bytes that are not here is ``absent``; equal rows of a manifest count once.
@@ -60,21 +60,22 @@ def plan(blobs: DataFrame, manifests: DataFrame, entities: DataFrame, tiers: Map
     status: prunable, vetoed, absent, orphan, suspended. blobs: store, sha, size. manifests: store, sha, fetch_id, operation, fetched_at, damaged.
     entities: store, key, fetch_id, posted_at, damaged."""
     harm = manifests.where("damaged").select("store").union(entities.where("damaged").select("store")).distinct().withColumn("_harm", F.lit(True))
-    refs = manifests.where("sha is not null and not damaged").select("store", "sha", "fetch_id", "operation", "fetched_at").distinct()
+    refs = manifests.where("sha is not null and not damaged").select("store", "sha", "fetch_id", "operation", "fetched_at")
+    # kinds of operations as flags: a collected set of each blob would be sorted and copied row by row
+    kinds = {f"_of{i}": F.col("operation") == operation for i, operation in enumerate(tiers)}
+    kinds["_untiered"] = ~F.col("operation").isin(*tiers) if tiers else F.col("operation").isNotNull()
     seen = refs.groupBy("store", "sha").agg(
-        F.max("fetched_at").alias("last_observed"), F.array_sort(F.collect_set("operation")).alias("operations"), F.count("*").alias("n_refs"), F.min_by("operation", F.struct("fetched_at", "fetch_id", "operation")).alias("_first")
+        F.max("fetched_at").alias("last_observed"), F.max(F.lit(True)).alias("_seen"), *[F.coalesce(F.max(c), F.lit(False)).alias(n) for n, c in kinds.items()], F.count_distinct(F.struct("fetch_id", "operation", "fetched_at")).alias("n_refs"), F.min_by("operation", F.struct("fetched_at", "fetch_id", "operation")).alias("_first")
     )
-    fed = refs.select("store", "sha", "fetch_id").distinct().join(entities.where("not damaged").select("store", "fetch_id", "key", "posted_at"), ["store", "fetch_id"])
+    fed = refs.select("store", "sha", "fetch_id").repartition("store", "fetch_id").distinct().join(entities.where("not damaged").select("store", "fetch_id", "key", "posted_at"), ["store", "fetch_id"])
     fed = fed.groupBy("store", "sha").agg(F.max("posted_at").alias("posting_date"), F.count_distinct("key").alias("n_entities"))
     at = blobs.select("store", "sha", "size", F.lit(True).alias("_here")).join(seen, ["store", "sha"], "full_outer").join(fed, ["store", "sha"], "left").join(harm, "store", "left")
     gone, tier, reason = F.lit(True), F.lit(None).cast("string"), F.lit(NEVER)
-    held = F.lit(False)
-    for operation, name in tiers.items():
+    for i, (operation, name) in enumerate(tiers.items()):
         rule = rules.get(name, NEVER)
-        gone = gone & (~F.array_contains("operations", operation) | compiled(rule, now, name))
+        gone = gone & (~F.col(f"_of{i}") | compiled(rule, now, name))
         tier, reason = F.when(F.col("_first") == operation, name).otherwise(tier), F.when(F.col("_first") == operation, described(rule)).otherwise(reason)
-    held = F.exists("operations", lambda o: ~o.isin(*tiers) if tiers else F.lit(True))
-    status = F.when(F.col("_harm"), "suspended").when(F.col("operations").isNull(), "orphan").when(F.col("_here").isNull(), "absent").when(gone & ~held, "prunable").otherwise("vetoed")
+    status = F.when(F.col("_harm"), "suspended").when(F.col("_seen").isNull(), "orphan").when(F.col("_here").isNull(), "absent").when(gone & ~F.col("_untiered"), "prunable").otherwise("vetoed")
     return at.select("store", "sha", status.alias("status"), tier.alias("tier"), reason.alias("reason"), "size", "posting_date", "last_observed", F.coalesce("n_refs", F.lit(0)).alias("n_refs"), F.coalesce("n_entities", F.lit(0)).alias("n_entities"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftline import registry
 from siftline.functions import encoding, score, text
+from siftline.operators import messages
 from siftline.plans.queries import spread
 
 DATA = "/root/testdata/sf0.001"
@@ -77,3 +78,21 @@ def test_heavy_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert parts > 4
+
+
+def test_suffixes_are_looked_up_for_domains_not_for_messages(spark):
+    rows = [("a", "inbound", "Mail.C1.example ", None), ("b", "inbound", "jobs.lever.co", None), ("c", "inbound", None, None), ("d", "outbound", "x", ["c1.example", "mail.c1.example", None, ""]), ("e", "outbound", "x", ["c1.example", "c2.example"]),
+            ("f", "outbound", "x", None), ("g", "inbound", "xlever.co", None), ("h", "inbound", "", None), ("i", "outbound", "x", [None, "lever.co"])]
+    mail = spark.createDataFrame(rows, "message_key string, direction string, sender_domain string, recipient_domains array<string>")
+    domains = spark.createDataFrame([("c1.example", "one"), ("c2.example", "two")], "domain string, company_key string")
+    found = messages.companies_of(mail, domains)
+    assert {r.message_key: r.company_key for r in found.collect()} == {"a": "one", "d": "one"}
+    assert {r.message_key for r in mail.where(messages.vetoed(("lever.co",))).collect()} == {"b", "i"}
+    generate = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in x and "split(" in x]
+    assert generate and all("message_key" not in x for x in generate)
+
+
+def test_rows_of_manifests_move_once_to_their_blob_and_once_to_their_fetch(spark):
+    plan = registry.queries()["retention_sweep"](spark, DATA)
+    assert "collect_set" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in exchanges(plan) if "operation" in x or re.search(r"sha#\d+L?, fetch_id", x)]
