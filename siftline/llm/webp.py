@@ -2,10 +2,10 @@
 
 The reader decodes prefix codes (single, one for each channel, or by region), back-references, the colour cache,
 and inverts predictor, cross-colour, green-subtraction and palette transforms; it gives pixels as RGBA bytes. The
-writer packs four bytes to a pixel and can apply each of these on request; by default it writes literal pixels in
-one prefix code for all channels, which a reader can take several samples at a time.
+writer packs four bytes to a pixel and can apply each of these on request.
 
-A payload over FRAME bytes is stored as several images one after another.
+Media columns are written and read by ``webp_many``, many images at a time, with predictor, cross-colour, references and
+cache chosen by cost. A payload over ``webp_many.FRAME`` bytes is stored as several images one after another.
 
 Defined results: null text is an empty one; an empty payload is padded to 64 zero bytes; repeated rows give equal
 values; an empty table gives an empty result; further columns are ignored. Bytes that are no such file raise
@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 
 from .tables import map_frames, stored
 
-FRAME = 1 << 20
 WIDTH = 16
+#: Bytes that are written, and read, together: it takes a step for each symbol of a code, or pixel of the largest image, whatever their number.
+WRITTEN, READ = 4 << 20, 4 << 20
 
 # Fixed values of the format (RFC 9649): order of code length codes, and places of near back-references as
 # 16 * rows up + 8 - columns to the left.
@@ -177,19 +178,6 @@ def put_code(out: Bits, lengths: Sequence[int]) -> None:
     out.put(value, size)
 
 
-def packed(values: np.ndarray, sizes: np.ndarray, begin: int) -> np.ndarray:
-    """uint64 words that hold the values (at most 60 bits each) one after another from bit ``begin``."""
-    ends = np.cumsum(sizes) + begin
-    at = ends - sizes
-    words = np.zeros((int(ends[-1]) + 63) // 64 + 1, np.uint64)
-    place, shift = at >> 6, (at & 63).astype(np.uint64)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    words[place[first]] = np.bitwise_or.reduceat(values << shift, first)
-    over = np.flatnonzero((at & 63) + sizes > 64)
-    words[place[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
-    return words
-
-
 def prefix(value: int) -> tuple[int, int, int]:
     """Prefix symbol, extra bits and their number for a length or distance."""
     v = value - 1
@@ -284,35 +272,6 @@ def header(width: int, height: int) -> Bits:
     return out
 
 
-def encode(pixels: bytes | np.ndarray, width: int) -> bytes:
-    """A file of literal pixels from RGBA bytes."""
-    rgba = np.frombuffer(pixels, np.uint8) if isinstance(pixels, bytes) else np.ascontiguousarray(pixels, np.uint8).ravel()
-    out = header(width, len(rgba) // 4 // width)
-    out.put(0, 3)  # no transform, no cache, one group
-    # short images take short codes: a reader's tables then cost little beside their pixels
-    lengths = code_lengths(np.bincount(rgba, minlength=256).tolist(), 9 if len(rgba) < 8192 else 10 if len(rgba) < 32768 else 12)
-    green = Bits()
-    put_code(green, lengths + [0] * LENGTHS)
-    others = Bits()
-    put_code(others, lengths)
-    out.put(green.value, green.size)
-    for _ in range(3):
-        out.put(others.value, others.size)
-    put_code(out, [1] + [0] * (DISTANCES - 1))
-    begin = out.size
-    if sum(map(bool, lengths)) > 1:
-        n = np.array(lengths, np.int64)[rgba].reshape(-1, 4)[:, [1, 0, 2, 3]]
-        c = np.array(reversed_codes(lengths), np.uint64)[rgba].reshape(-1, 4)[:, [1, 0, 2, 3]]
-        first, second = n[:, 0] + n[:, 1], n[:, 2]
-        value = c[:, 0] | c[:, 1] << n[:, 0].astype(np.uint64) | c[:, 2] << first.astype(np.uint64) | c[:, 3] << (first + second).astype(np.uint64)
-        sizes = first + second + n[:, 3]
-        words = packed(value, sizes, begin % 64)
-        words[0] |= np.uint64(out.value >> (begin // 64 * 64))
-        size = (begin + int(sizes.sum()) + 7) // 8
-        return container(((out.value & ((1 << (begin // 64 * 64)) - 1)).to_bytes(begin // 64 * 8, "little") + words.tobytes())[:size])
-    return container(out.value.to_bytes((begin + 7) // 8, "little"))
-
-
 def encode_with(pixels: np.ndarray, transforms: Sequence[int] = (), cache_bits: int = 0, references: bool = False, regions: int = 0) -> bytes:
     """A file that uses the named transforms, a colour cache, back-references and prefix codes by region (two groups,
     in a checkerboard of squares of 2 ** regions pixels). Pixels: (height, width, 4), RGBA."""
@@ -694,17 +653,52 @@ def decode(data: bytes) -> np.ndarray:
 # ---- media columns
 
 
+def to_media_many(payloads: Sequence[bytes]) -> list[bytes]:
+    """Each payload, of a multiple of 64 bytes, as one image for each FRAME bytes."""
+    from .webp_many import FRAME, encode_many  # which builds on this module
+
+    frames = [p[i : i + FRAME] for p in payloads for i in range(0, len(p), FRAME)]
+    files = (f for part in _parts(frames, WRITTEN) for f in encode_many(part))
+    return [b"".join(next(files) for _ in range(0, len(p), FRAME)) for p in payloads]
+
+
 def to_media(payload: bytes) -> bytes:
-    """A payload of a multiple of 64 bytes as one image for each FRAME bytes."""
-    return b"".join(encode(payload[i : i + FRAME], WIDTH) for i in range(0, len(payload), FRAME))
+    return to_media_many([payload])[0]
 
 
-def images(media: bytes) -> Iterator[np.ndarray]:
-    at = 0
+def _parts(items: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """Runs of at most 4,096 items and, where they are several, ``most`` bytes."""
+    begin, size = 0, 0
+    for i, x in enumerate(items):
+        if i > begin and (i - begin == 1 << 12 or size + len(x) > most):
+            yield items[begin:i]
+            begin, size = i, 0
+        size += len(x)
+    if items[begin:]:
+        yield items[begin:]
+
+
+def files_of(media: bytes) -> list[bytes]:
+    out, at = [], 0
     while at < len(media):
         n = int.from_bytes(media[at + 4 : at + 8], "little") + 8
-        yield decode(media[at : at + n])
+        out.append(media[at : at + n])
         at += n
+    return out
+
+
+def payloads_of(media: Sequence[bytes]) -> list[bytes]:
+    """What ``to_media_many`` stored."""
+    from .webp_many import decode_many
+
+    files = [files_of(m) for m in media]
+    found = (x for part in _parts([f for own in files for f in own], READ) for x in decode_many(part))
+    return [b"".join(next(found) for _ in own) for own in files]
+
+
+def images(media: bytes) -> Iterator[np.ndarray]:
+    for file in files_of(media):
+        yield decode(file)
 
 
 def feature(payload: bytes) -> str:
@@ -716,17 +710,29 @@ def feature(payload: bytes) -> str:
 
 def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for k in range(0, len(b), 512):
-            part = b.iloc[k : k + 512]
-            data = [(t or "").encode("utf-8", "surrogatepass") for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "n_bytes": [len(x) for x in data], "media": [to_media(x + b"\0" * (-len(x) % 64 or (0 if x else 64))) for x in data]})
+        data = [(t or "").encode("utf-8", "surrogatepass") for t in b["text"]]
+        media = to_media_many([x + b"\0" * (-len(x) % 64 or (0 if x else 64)) for x in data])
+        yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(x) for x in data], "media": media})
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches put together until they have READ bytes of media."""
+    held: list[pd.DataFrame] = []
+    size = 0
     for b in batches:
+        held.append(b)
+        size += sum(map(len, b["media"]))
+        if size >= READ:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in _gathered(batches):
         out = []
-        for doc, n, media in zip(b["doc_id"], b["n_bytes"], b["media"]):
-            payload = b"".join(x.tobytes() for x in images(media))
+        for doc, n, media, payload in zip(b["doc_id"], b["n_bytes"], b["media"], payloads_of(b["media"])):
             out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload)))
         yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
