@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from .tables import map_frames, stored
 
 WIDTH = 16
-#: Bytes that are written, and read, together: it takes a step for each symbol of a code, or pixel of the largest image, whatever their number.
-WRITTEN, READ = 4 << 20, 4 << 20
+#: Bytes that are written, and read, together. To read takes a step for each pixel of the largest image, however many there are; to
+#: write takes few steps on long arrays, which should stay in the processor's cache.
+WRITTEN, READ = 1 << 20, 4 << 20
 
 # Fixed values of the format (RFC 9649): order of code length codes, and places of near back-references as
 # 16 * rows up + 8 - columns to the left.

@@ -3,7 +3,7 @@
 Writer: an image of at most 16 colours, each four times on average, gets a palette (``webp.encode_with``). All others get, in this order, green subtracted if that lowers
 the entropy of red and blue; a predictor for each tile of 8 x 8 pixels, the cheapest of the fourteen; cross-colour factors for each
 tile, the cheapest of FACTORS; back-references to the last place of the same four pixels; a colour cache where it is hit; and five
-prefix codes. What is cheapest is told from the image alone, so equal images give equal files whatever else is in the batch.
+prefix codes, or five more from some region on where that saves bits. What is cheapest is told from the image alone, so equal images give equal files whatever else is in the batch.
 
 Reader: one pixel of every image at each step. Files of another layout than the writer's are left to ``webp.decode``.
 """
@@ -20,7 +20,7 @@ from .webp import CROSS_COLOUR, DISTANCES, LENGTHS, NEAR, PALETTE, PREDICTOR, SU
 
 #: Bytes of an image at most: 2,048 pixels; images of a batch at most: sort keys below have 11 bits for a pixel and 12 for an image.
 FRAME, BATCH = 1 << 13, 1 << 12
-SIDE, CACHE_BITS, MOST = 3, 6, 10
+SIDE, REGION, CACHE_BITS, MOST = 3, 4, 6, 10
 TOGETHER = 1 << 16  # pixels that are transformed together
 FACTORS = (0, -32, -16, 16, 32)
 HITS = 4  # of the colour cache, from which on it pays
@@ -157,9 +157,8 @@ class Parts:
         return [webp.container(data[8 * b : 8 * b + (n + 7) // 8]) for b, n in zip(base.tolist(), total.tolist())]
 
 
-def put_codes(out: Parts, lengths: np.ndarray, alphabets: np.ndarray) -> None:
-    """Five rows of lengths for each image."""
-    rows = len(lengths)
+def put_codes(out: Parts, owners: np.ndarray, lengths: np.ndarray, alphabets: np.ndarray) -> None:
+    """Five rows of lengths for each group of codes; ``owners`` are the groups' images."""
     used = lengths > 0
     m, last = used.sum(1), lengths.shape[1] - 1 - used[:, ::-1].argmax(1)
     simple = (m == 0) | (m <= 2) & (last < 256)
@@ -195,8 +194,7 @@ def put_codes(out: Parts, lengths: np.ndarray, alphabets: np.ndarray) -> None:
         size.append(LENGTH_BITS[k] + wide)
     row = np.concatenate(row)
     order = np.argsort(row, kind="stable")
-    out.put(row[order] // 5, np.concatenate(value)[order], np.concatenate(size)[order])
-    assert rows == 5 * out.images
+    out.put(owners[row[order] // 5], np.concatenate(value)[order], np.concatenate(size)[order])
 
 
 def _prefixes() -> np.ndarray:
@@ -218,13 +216,14 @@ def _distance_codes() -> np.ndarray:
 DISTANCE_CODE = _distance_codes()
 
 
-def put_image(out: Parts, image: np.ndarray, pixels: np.ndarray, cached: np.ndarray | None = None, slots: np.ndarray | None = None,
-              length: np.ndarray | None = None, distance: np.ndarray | None = None) -> None:
-    """Codes and tokens. A token has its image, its pixel (RGBA), its slot (-1: not from the cache), its length (0: no reference)
-    and distance; ``cached`` tells which images have a cache."""
-    greens = np.full(out.images, GREENS) if cached is None else np.where(cached, GREENS + (1 << CACHE_BITS), GREENS)
+def put_image(out: Parts, owners: np.ndarray, group: np.ndarray, pixels: np.ndarray, cached: np.ndarray | None = None,
+              slots: np.ndarray | None = None, length: np.ndarray | None = None, distance: np.ndarray | None = None) -> None:
+    """Codes and tokens. ``owners`` are the images of the groups of codes. A token has its group, its pixel (RGBA), its slot (-1: not
+    from the cache), its length (0: no reference) and distance; ``cached`` tells which groups have a cache."""
+    n = len(owners)
+    greens = np.full(n, GREENS) if cached is None else np.where(cached, GREENS + (1 << CACHE_BITS), GREENS)
     width = int(greens.max())
-    green, literal = pixels[:, 1].astype(np.int64), np.ones(len(image), bool)
+    green, literal = pixels[:, 1].astype(np.int64), np.ones(len(group), bool)
     refs = np.zeros(0, np.int64)
     if cached is not None:
         refs = np.flatnonzero(length)
@@ -232,17 +231,17 @@ def put_image(out: Parts, image: np.ndarray, pixels: np.ndarray, cached: np.ndar
         green = np.where(length > 0, 256 + PREFIX[length, 0], np.where(slots >= 0, GREENS + slots, green))
     lit = np.flatnonzero(literal)
     far = PREFIX[DISTANCE_CODE[distance[refs]]] if len(refs) else np.zeros((0, 3), np.int64)
-    row = image * (5 * width)
+    row = group * (5 * width)
     places = [row + green] + [row[lit] + k * width + pixels[lit, c] for k, c in ((1, 0), (2, 2), (3, 3))] + [row[refs] + 4 * width + far[:, 0]]
-    counts = np.bincount(np.concatenate(places), minlength=out.images * 5 * width).reshape(-1, width)
+    counts = np.bincount(np.concatenate(places), minlength=n * 5 * width).reshape(-1, width)
     lengths = code_lengths(counts)
-    put_codes(out, lengths, np.stack([greens, *[np.full(out.images, 256)] * 3, np.full(out.images, DISTANCES)], 1).ravel())
+    put_codes(out, owners, lengths, np.stack([greens, *[np.full(n, 256)] * 3, np.full(n, DISTANCES)], 1).ravel())
     codes = reversed_codes(lengths).ravel()
     bits = np.where(((counts > 0).sum(1) < 2)[:, None], 0, lengths).ravel()
     value, size = codes[places[0]], bits[places[0]]
     if len(refs):
-        n = PREFIX[length[refs]]
-        for v, s in ((n[:, 1], n[:, 2]), (codes[places[4]], bits[places[4]]), (far[:, 1], far[:, 2])):
+        run = PREFIX[length[refs]]
+        for v, s in ((run[:, 1], run[:, 2]), (codes[places[4]], bits[places[4]]), (far[:, 1], far[:, 2])):
             value[refs] |= v << size[refs]
             size[refs] += s
     v, s = value[lit], size[lit]
@@ -250,7 +249,7 @@ def put_image(out: Parts, image: np.ndarray, pixels: np.ndarray, cached: np.ndar
         v |= codes[p] << s
         s += bits[p]
     value[lit], size[lit] = v, s
-    out.put(image, value, size)
+    out.put(owners[group], value, size)
 
 
 def half(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -466,8 +465,34 @@ def encode_many(payloads: Sequence[bytes]) -> list[bytes]:
     return out
 
 
-def transformed(layout: Layout, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Which images have green subtracted, their pixels after all transforms, and predictors and factors of the tiles."""
+def cuts(layout: Layout, planes: np.ndarray) -> np.ndarray:
+    """Where an image's second group of codes begins, in regions of 2 ** REGION rows; 0 where it saves less than it takes to write."""
+    regions = -(-layout.heights >> REGION)
+    first = np.cumsum(regions) - regions
+    row = (np.arange(len(layout.image)) - layout.begin[layout.image]) // WIDTH
+    at = (first[layout.image] + (row >> REGION)) << 8
+    counts = sum(np.bincount(at + x, minlength=int(regions.sum()) << 8) for x in planes).reshape(-1, 256)
+    total = np.add.reduceat(counts, first)
+    image = np.repeat(np.arange(layout.n), regions)
+    before = np.cumsum(counts, axis=0) - counts
+    before -= before[first][image]
+
+    def cost(counts: np.ndarray) -> np.ndarray:
+        n = counts.sum(1)
+        return n * LOG[n] - (counts * LOG[counts]).sum(1)
+
+    # lengths of a code take some seven bits for each symbol and HEAD_BITS, in each of four channels
+    saved = cost(total)[image] - cost(before) - cost(total[image] - before) - 16 * (HEAD_BITS + 7 * (total > 0).sum(1))[image]
+    saved[first] = 0
+    best = np.maximum.reduceat(saved, first)
+    place = np.arange(len(image)) - first[image]
+    place = np.where((saved == best[image]) & (best[image] > 0), place, len(image))
+    return np.where(best > 0, np.minimum.reduceat(place, first), 0)
+
+
+def transformed(layout: Layout, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which images have green subtracted, their pixels after all transforms, predictors and factors of the tiles, and the
+    regions from which on they have a second group of codes."""
     red, green, blue = at[0], at[1], at[2]
     less = entropy(layout, red - green) + entropy(layout, blue - green) < entropy(layout, red) + entropy(layout, blue)
     i = np.flatnonzero(less[layout.image])
@@ -475,7 +500,7 @@ def transformed(layout: Layout, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     at[2, i] -= at[1, i]
     at, modes = predicted(layout, at)
     at, factors = crossed(layout, at)
-    return less, np.ascontiguousarray(at.T), modes, factors
+    return less, np.ascontiguousarray(at.T), modes, factors, cuts(layout, at)
 
 
 def written(layout: Layout, pixels: np.ndarray) -> list[bytes]:
@@ -489,7 +514,7 @@ def written(layout: Layout, pixels: np.ndarray) -> list[bytes]:
         part = Layout(layout.heights[begin:end])
         parts.append(transformed(part, np.ascontiguousarray(pixels[first : first + len(part.image)].T)))
         begin = end
-    less, at, modes, factors = (np.concatenate(x) for x in zip(*parts))
+    less, at, modes, factors, cut = (np.concatenate(x) for x in zip(*parts))
     out.put(each[less], 1 | SUBTRACT_GREEN << 1, 3)
     for kind in (PREDICTOR, CROSS_COLOUR):
         out.put(each, 1 | kind << 1 | (SIDE - 2) << 3, 7)  # and no cache
@@ -498,7 +523,7 @@ def written(layout: Layout, pixels: np.ndarray) -> list[bytes]:
             tiles[:, 1] = modes
         else:
             tiles[:, :3] = factors & 255
-        put_image(out, layout.tile_image, tiles)
+        put_image(out, each, layout.tile_image, tiles)
     colour = argb(at)
     length, distance = references(layout, colour)
     slot, hit = cache_hits(layout, colour)
@@ -506,9 +531,21 @@ def written(layout: Layout, pixels: np.ndarray) -> list[bytes]:
     image = layout.image[token]
     hit = hit[token] & (length[token] == 0)
     cached = np.bincount(image, hit, layout.n) >= HITS
-    # no more transforms; the cache; one group
-    out.put(each, np.where(cached, 1 << 1 | CACHE_BITS << 2, 0), np.where(cached, 7, 3))
-    put_image(out, image, at[token], cached, np.where(hit & cached[image], slot[token], -1), length[token], distance[token])
+    # no more transforms; the cache; one group, or two and which region has which
+    out.put(each, np.where(cached, 1 << 1 | CACHE_BITS << 2, 0) | np.where(cached, 1 << 6, 1 << 2) * (cut > 0), np.where(cached, 7, 3))
+    split = np.flatnonzero(cut)
+    if len(split):
+        out.put(split, REGION - 2, 4)  # and no cache
+        regions = -(-layout.heights[split] >> REGION)
+        of = np.repeat(np.arange(len(split)), regions)
+        board = np.tile(BLACK, (len(of), 1))
+        board[:, 1] = np.arange(len(of)) - firsts(of) >= cut[split][of]
+        put_image(out, split, of, board)
+    groups = 1 + (cut > 0)
+    owners = np.repeat(each, groups)
+    row = (token - layout.begin[image]) // WIDTH
+    group = (np.cumsum(groups) - groups)[image] + ((cut[image] > 0) & (row >> REGION >= cut[image]))
+    put_image(out, owners, group, at[token], cached[owners], np.where(hit & cached[image], slot[token], -1), length[token], distance[token])
     return out.files()
 
 
@@ -594,12 +631,23 @@ def tables(lengths: np.ndarray) -> tuple[int, np.ndarray]:
     return bits, np.repeat((symbol << 4 | np.where(alone, 0, n)).astype(np.uint16), share)
 
 
-def read_pixels(window: Window, place: np.ndarray, totals: np.ndarray, cache_bits: np.ndarray, refers: bool) -> np.ndarray:
-    """Codes and tokens of images; the pixels as numbers, one image after another. ``place`` moves on."""
+def read_pixels(window: Window, place: np.ndarray, totals: np.ndarray, cache_bits: np.ndarray, refers: bool,
+                groups: np.ndarray | None = None, regions: np.ndarray | None = None, board: np.ndarray | None = None) -> np.ndarray:
+    """Codes and tokens of images; the pixels as numbers, one image after another. ``place`` moves on. ``groups`` are the numbers of
+    groups of codes, ``regions`` where an image's regions begin in ``board``, which has their groups."""
     n = len(totals)
     sizes = np.where(cache_bits > 0, 1 << cache_bits, 0)
-    codes = read_codes(window, place, [GREENS + sizes, *[np.full(n, 256)] * 3, np.full(n, DISTANCES)])
-    bits, table = tables(codes.reshape(5 * n, -1))
+    if groups is None:
+        groups = np.ones(n, np.int64)
+    group_at = np.cumsum(groups) - groups
+    codes = np.zeros((int(groups.sum()), 5, GREENS + int(sizes.max())), np.uint8)
+    for g in range(int(groups.max())):
+        i = np.flatnonzero(groups > g)
+        p, m = place[i], len(i)
+        found = read_codes(window, p, [GREENS + sizes[i], *[np.full(m, 256)] * 3, np.full(m, DISTANCES)])
+        codes[group_at[i] + g, :, : found.shape[2]] = found
+        place[i] = p
+    bits, table = tables(codes.reshape(5 * len(codes), -1))
     mirror, mask = MIRROR[: 1 << bits] >> (15 - bits), (1 << bits) - 1
     end = np.cumsum(totals)
     out = np.zeros(int(totals.sum()), np.int64)
@@ -607,10 +655,16 @@ def read_pixels(window: Window, place: np.ndarray, totals: np.ndarray, cache_bit
     stride = int(sizes.max())
     caches, cache_at, shift = np.zeros(n * stride, np.int64), np.arange(n) * stride, 32 - np.maximum(cache_bits, 1)
     image, q, p = np.arange(n), first.copy(), place.copy()
-    bases = [(image * 5 + k) << bits for k in range(5)]
+    bases = [(group_at * 5 + k) << bits for k in range(5)]
     words = window.words
+    split = np.flatnonzero(groups > 1)
     while len(image):
         # one token of each image
+        if len(split):
+            i = image[split]
+            group = group_at[i] + board[regions[i] + ((q[split] - first[split]) // WIDTH >> REGION)]
+            for k in range(5):
+                bases[k][split] = (group * 5 + k) << bits
         w = words.take(p >> 3, mode="clip") >> (p & 7)
         green = table.take(bases[0] + mirror.take(w & mask)).astype(np.int64)
         symbol, moved = green >> 4, green & 15
@@ -667,6 +721,7 @@ def read_pixels(window: Window, place: np.ndarray, totals: np.ndarray, cache_bit
             place[image[done]] = p[done]
             more = (~done).nonzero()[0]
             image, p, q, end, first, cache_at, shift, *bases = (x[more] for x in (image, p, q, end, first, cache_at, shift, *bases))
+            split = np.flatnonzero(groups[image] > 1) if len(split) else split
     return out
 
 
@@ -747,10 +802,21 @@ def _read(window: Window, place: np.ndarray, heights: np.ndarray, green: np.ndar
     if ((bits == 0) & (w >> 1 & 1 > 0) | (bits > 11)).any():
         raise ValueError("bad size of the colour cache")
     place += np.where(bits > 0, 6, 2)
-    if (window.at(place) & 1).any():
-        raise Foreign
+    split = np.flatnonzero(window.at(place) & 1)
     place += 1
-    at = as_bytes(read_pixels(window, place, layout.pixels, bits, True))
+    groups, regions, board = np.ones(layout.n, np.int64), none, none
+    if len(split):
+        if (window.at(place[split]) & 15 != REGION - 2).any():
+            raise Foreign
+        p, number = place[split] + 4, -(-heights[split] >> REGION)
+        board = read_pixels(window, p, number, none[: len(split)], False) >> 8 & 0xFFFF
+        place[split] = p
+        regions = none.copy()
+        regions[split] = np.cumsum(number) - number
+        groups[split] = np.maximum.reduceat(board, regions[split]) + 1
+        if groups.max() > 2:
+            raise Foreign
+    at = as_bytes(read_pixels(window, place, layout.pixels, bits, True, groups, regions, board))
     if (place > ends).any():
         raise ValueError("the file ends early")
     factors = tiles[1].view(np.int8).astype(np.int16)[layout.tile]

@@ -136,6 +136,23 @@ def test_any_payloads_in_a_batch(parts):
     assert webp_many.decode_many(files) == [webp.decode(f).tobytes() for f in files] == [p + bytes(-len(p) % 64) for p in given]
 
 
+def test_codes_by_region(monkeypatch):
+    rnd = random.Random(8)
+    letters = "".join(rnd.choice("etaoin shrdlu") for _ in range(4096)).encode()
+    signs = "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(1344)).encode()
+    given = [letters + signs + bytes(64), letters[:2048], signs[:1984] + bytes(64) + letters + letters[:2048], signs]
+    found, cuts = [], webp_many.cuts
+    monkeypatch.setattr(webp_many, "cuts", lambda *x: found.append(cuts(*x)) or found[-1])
+    files = webp_many.encode_many(given)
+    assert (found[0] > 0).tolist() == [True, False, True, False]
+    assert [webp.decode(f).tobytes() for f in files] == webp_many.decode_many(files) == given
+    assert files == [webp_many.encode_many([p])[0] for p in given]
+    monkeypatch.setattr(webp_many, "cuts", lambda layout, planes: np.zeros(layout.n, np.int64))
+    single = webp_many.encode_many(given)
+    assert [len(a) < len(b) for a, b in zip(files, single)] == [True, False, True, False]
+    assert webp_many.decode_many(single + files) == given + given
+
+
 def test_every_predictor_of_many():
     rnd = np.random.default_rng(5)
     image = rnd.integers(0, 256, (24, 40, 4)).astype(np.uint8)
