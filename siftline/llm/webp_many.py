@@ -503,6 +503,20 @@ def transformed(layout: Layout, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return less, np.ascontiguousarray(at.T), modes, factors, cuts(layout, at)
 
 
+def put_tiles(out: Parts, layout: Layout, tiles: np.ndarray) -> None:
+    """The image of a transform. Where all tiles are equal, it is five codes of a single symbol."""
+    number = layout.tile_rows * layout.across
+    begin = np.cumsum(number) - number
+    mixed = np.bitwise_or.reduceat((tiles != tiles[begin][layout.tile_image]).any(1), begin)
+    i = np.flatnonzero(~mixed)
+    red, green, blue, alpha = tiles[begin[i]].T.astype(np.int64)
+    out.put(i, sum((5 | x << 3) << (11 * k) for k, x in enumerate((green, red, blue, alpha, 0))), 55)
+    i = np.flatnonzero(mixed)
+    if len(i):
+        place = np.flatnonzero(mixed[layout.tile_image])
+        put_image(out, i, np.searchsorted(i, layout.tile_image[place]), tiles[place])
+
+
 def written(layout: Layout, pixels: np.ndarray) -> list[bytes]:
     """Files of images other than those with a palette."""
     out, each = Parts(layout.n), np.arange(layout.n)
@@ -523,7 +537,7 @@ def written(layout: Layout, pixels: np.ndarray) -> list[bytes]:
             tiles[:, 1] = modes
         else:
             tiles[:, :3] = factors & 255
-        put_image(out, each, layout.tile_image, tiles)
+        put_tiles(out, layout, tiles)
     colour = argb(at)
     length, distance = references(layout, colour)
     slot, hit = cache_hits(layout, colour)
@@ -739,6 +753,11 @@ def unpredicted(layout: Layout, at: np.ndarray, modes: np.ndarray) -> None:
     at[row] = np.cumsum(top, axis=1, dtype=np.uint8)
     going = np.searchsorted(-layout.heights[order], -np.arange(int(layout.heights.max())), "left")
     side = 1 << SIDE
+    # what needs no other pixel
+    plain = (modes == 0)[layout.tile]
+    plain[::WIDTH] = False
+    plain[row.ravel()] = False
+    at[:, 3] -= plain
     for y, m in enumerate(going.tolist()):
         if not y:
             continue
@@ -746,10 +765,14 @@ def unpredicted(layout: Layout, at: np.ndarray, modes: np.ndarray) -> None:
         at[base] += at[base - WIDTH]
         for x in range(0, WIDTH, side):
             mode = modes[first_tile[:m] + (y >> SIDE) * layout.across + (x >> SIDE)]
+            if not mode.any():
+                continue
             for k in np.flatnonzero(np.bincount(mode)).tolist():
+                if not k:
+                    continue
                 of = base[mode == k]
                 start = max(x, 1)
-                if k in (0, 2, 3, 4, 8, 9) or k > 13:
+                if k in (2, 3, 4, 8, 9) or k > 13:
                     steps = [of[:, None] + np.arange(start, x + side)]
                 else:
                     steps = [of + i for i in range(start, x + side)]
