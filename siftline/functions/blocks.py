@@ -7,6 +7,8 @@ tags need no repair: a block ends where the next one begins.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +30,21 @@ DEAD = (
     "this posting is no longer available", "this position has been filled", "this role is no longer open", "the job you are looking for", "no longer accepting applications",
 )
 DEAD_LINE = 90
+BLANK = " \t\n\f\r"
+
+
+def as_read(pattern: str) -> str:
+    """A pattern for Java, which matches what the SQL's engine matches: white space without \\x0B, words of ASCII letters, and the
+    long s and the Kelvin sign as forms of s and k where case does not count."""
+    forms = {r"\s": f"[{BLANK}]", r"\b": "(?![0-9A-Za-z_])"} | ({"s": "[s\u017f]", "k": "[k\u212a]"} if pattern.startswith("(?i") else {})
+    return re.sub(r"\(\?\w+\)|\\.|[sk]", lambda m: forms.get(m[0], m[0]), pattern)
 
 
 def without_chrome(html: Column) -> Column:
-    html = F.regexp_replace(F.translate(F.coalesce(html, F.lit("")), MARK + BREAK + END, ""), CODE, "")
-    pieces = F.split(html, CHROME_TAG)
-    tags = F.concat(F.array(F.lit("")), F.regexp_extract_all(html, F.lit(CHROME_TAG), F.lit(0)))
+    html = F.regexp_replace(F.translate(F.coalesce(html, F.lit("")), MARK + BREAK + END, ""), as_read(CODE), "")
+    tag = as_read(CHROME_TAG)
+    pieces = F.split(html, tag)
+    tags = F.concat(F.array(F.lit("")), F.regexp_extract_all(html, F.lit(tag), F.lit(0)))
     start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
 
     def step(at: Column, x: Column) -> Column:
@@ -42,25 +53,29 @@ def without_chrome(html: Column) -> Column:
         return F.struct(depth.alias("depth"), F.when(depth == 0, F.concat(at["kept"], F.array(x["pieces"]))).otherwise(at["kept"]).alias("kept"))
 
     cut = F.aggregate(F.arrays_zip(tags.alias("tags"), pieces.alias("pieces")), start, step, lambda at: F.array_join(at["kept"], ""))
-    return F.when(html.rlike(CHROME_TAG), cut).otherwise(html)
+    return F.when(html.rlike(tag), cut).otherwise(html)
 
 
-def with_block_text(df: DataFrame, html: str, name: str, times: int = 1) -> DataFrame:
-    """``df`` with the readable text of column ``html``; ``times``: how often references were escaped."""
+def with_block_text(df: DataFrame, html: str, name: str, times: int = 1, references: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """``df`` with the readable text of column ``html``; ``times``: how often references were escaped; ``references``: those that are read and
+    their letters, one replaced after the other, else all of the standard."""
     at = df.withColumn("_x", without_chrome(F.col(html)))
     marked = F.col("_x")
     for pattern, to in MARKS:
-        marked = F.regexp_replace(marked, pattern, to)
+        marked = F.regexp_replace(marked, as_read(pattern), to)
     at = at.withColumn("_x", marked)
     for _ in range(times):
-        at = at.withColumn("_x", unescaped(F.col("_x")))
+        if references is None:
+            at = at.withColumn("_x", unescaped(F.col("_x")))
+        for ref, to in references or ():
+            at = at.withColumn("_x", F.replace("_x", F.lit(ref), F.lit(to)))
     kind = lambda s: F.when(F.contains(s, F.lit(END)), F.substring_index(s, END, 1)).otherwise("P")
     rest = lambda s: F.when(F.contains(s, F.lit(END)), F.substring_index(s, END, -1)).otherwise(s)
     blocks = F.flatten(F.transform(F.split("_x", MARK), lambda s: F.transform(F.split(rest(s), BREAK), lambda line: F.struct(kind(s).alias("kind"), line.alias("line")))))
 
     def shown(b: Column) -> Column:
         plain = F.trim(F.regexp_replace(b.line, SPACE, " "))
-        return F.struct(b.kind.alias("kind"), F.when(b.kind == "R", F.regexp_replace(F.regexp_replace(b.line, r"^\n+", ""), r"\s+$", "")).otherwise(plain).alias("line"))
+        return F.struct(b.kind.alias("kind"), F.when(b.kind == "R", F.rtrim(F.ltrim(b.line, F.lit("\n")), F.lit(BLANK))).otherwise(plain).alias("line"))
 
     at = at.withColumn("_b", F.filter(F.transform(blocks, shown), lambda b: b.line != ""))
     def line(b: Column, i: Column) -> Column:
